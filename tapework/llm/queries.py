@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op5_mix_sources": mixing.OP5_SQL,
 }
