@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import interval_queries
+
+MODULES = [interval_queries]
+
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
