@@ -1,21 +1,61 @@
-"""The training-corpus pipeline: stages that each read the table the one before wrote."""
+"""The training-corpus pipeline: stages that each read the table that the one before wrote.
+
+Every stage takes (spark, docs, sf_dir). The labels that the first one learns from are in sf_dir.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapework.llm import line_dedup as lines
+from tapework.llm import mixing, packing, quality, simhash
 from tapework.llm.common import cut
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the quality threshold go."""
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), at=0.3)
+    scored = docs.select("*", F.struct(*docs.columns).alias("_row"))
+    kept = quality.score_quality(scored.select("text", "_row"), model).where("predicted = 1")
+    return kept.select("_row.*")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go."""
+    """Lines that 10 documents or more share go; n_chars follows the text."""
     kept = lines.line_dedup(docs, min_docs=10, min_chars=1)
-    return kept.select(*["kept_text" if c == "text" else c for c in docs.columns]).toDF(*docs.columns)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.simhash_dedup(docs, shingle=3, radius=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those it doesn't take go."""
+    mixed = mixing.mix(docs).where("taken > 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size"))).alias("_time")
+    return mixed.select(*docs.columns, times).drop("_time")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens, as the pieces that they hold."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("packing", pack),
+]
 
+#: SQL can express neither the classifier nor the tokens.
 ORACLE_SQL = None
 
 
