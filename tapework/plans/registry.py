@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import interval_queries
+from . import decision_queries, interval_queries, text_queries
 
-MODULES = [interval_queries]
+MODULES = [interval_queries, decision_queries, text_queries]
 
 
 def queries() -> dict:
