@@ -63,16 +63,17 @@ def protected_tokens(tokens: DataFrame, spans: DataFrame | None = None, protect_
     return found.distinct()
 
 
-def delete_evidence(deletes: DataFrame, tokens: DataFrame, mode: str) -> DataFrame:
+def delete_evidence(deletes: DataFrame, tokens: DataFrame, mode: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """deletes (with contiguity()) with deleted, right_text, evidence (true or false) and evidence_reason.
 
-    What follows the deleted tokens has to show why: the next max(6, n + 2) tokens are read.
+    What follows the deleted tokens has to show why: the next max(6, n + 2) tokens are read. more: aggregates over the tokens
+    that are read, which have first_pos and last_pos beside them.
     """
     around = F.sequence("first_pos", F.col("last_pos") + F.greatest(F.lit(6), F.col("n_tokens") + 2))
-    wanted = deletes.where("contiguous AND n_tokens > 0").select(ITEM, "seq", "last_pos", F.explode(around).alias("pos"))
-    met = wanted.join(tokens.select(ITEM, "pos", "text"), [ITEM, "pos"])
+    wanted = deletes.where("contiguous AND n_tokens > 0").select(ITEM, "seq", "first_pos", "last_pos", F.explode(around).alias("pos"))
+    met = wanted.join(tokens, [ITEM, "pos"])
     side = lambda inside: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "text")))), lambda t: t["text"]), ""))
-    texts = met.groupBy(ITEM, "seq").agg(side(F.col("pos") <= F.col("last_pos")).alias("deleted"), side(F.col("pos") > F.col("last_pos")).alias("right_text"))
+    texts = met.groupBy(ITEM, "seq").agg(side(F.col("pos") <= F.col("last_pos")).alias("deleted"), side(F.col("pos") > F.col("last_pos")).alias("right_text"), *more)
     out = deletes.join(texts, [ITEM, "seq"], "left").withColumns({"deleted": F.coalesce("deleted", F.lit("")), "right_text": F.coalesce("right_text", F.lit(""))})
     deleted, right, kind = F.col("deleted"), F.col("right_text"), F.col("type")
     lengths = F.sequence(F.lit(1), F.least(F.length(deleted), F.length(right)))
@@ -108,18 +109,20 @@ def accept_deletes(deletes: DataFrame, tokens: DataFrame, mode: str, spans: Data
     of the item's tokens. Overlap and budget depend on what was accepted before, so an item's proposals are folded in order of
     seq; everything else is joined.
     """
-    known = contiguity(delete_policy(deletes, mode))
-    known = delete_evidence(known, tokens, mode)
-    hit = known.where("contiguous").select(ITEM, "seq", F.explode("positions").alias("pos")).join(protected_tokens(tokens, spans, protect_latin), [ITEM, "pos"], "left_semi")
-    known = known.join(hit.select(ITEM, "seq").distinct().withColumn("_protected", F.lit(True)), [ITEM, "seq"], "left").withColumn("_protected", F.coalesce("_protected", F.lit(False)))
-    before = (
-        F.when(~F.col("passes_policy"), "policy_or_confidence").when(~F.col("contiguous"), "non_contiguous_tokens").when(F.col("_protected"), "protected_content")
+    guarded = protected_tokens(tokens, spans, protect_latin).withColumn("_guarded", F.lit(True))
+    read = tokens.select(ITEM, "pos", "text", "start_us", "end_us").join(guarded, [ITEM, "pos"], "left")
+    inside = (F.col("pos") >= F.col("first_pos")) & (F.col("pos") <= F.col("last_pos"))
+    more = (
+        F.max(inside & F.coalesce("_guarded", F.lit(False))).alias("_protected"),
+        F.min(F.when(F.col("pos") == F.col("first_pos"), F.col("start_us"))).alias("_s"), F.max(F.when(F.col("pos") == F.col("last_pos"), F.col("end_us"))).alias("_e"),
     )
-    op = F.struct("seq", "first_pos", "last_pos", "n_tokens", before.alias("early"), F.when(~F.col("evidence"), F.col("evidence_reason")).alias("late"))
+    known = delete_evidence(contiguity(delete_policy(deletes, mode)), read, mode, more)
+    early = F.when(~F.col("passes_policy"), "policy_or_confidence").when(~F.col("contiguous"), "non_contiguous_tokens").when(F.coalesce("_protected", F.lit(False)), "protected_content")
+    op = F.struct("seq", "type", "confidence", "positions", "n_tokens", "first_pos", "last_pos", early.alias("early"), F.when(~F.col("evidence"), F.col("evidence_reason")).alias("late"), "evidence_reason", "_s", "_e")
     listed = known.groupBy(ITEM).agg(F.array_sort(F.collect_list(op)).alias("_ops"))
     totals = tokens.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_total"))
     listed = listed.join(totals, ITEM).withColumn("_budget", F.greatest(F.lit(1), F.floor(F.col("_total") * 2 / 5)).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)").alias("taken"), F.expr("cast(array() as array<struct<seq:bigint,reason:string>>)").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)").alias("taken"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         overlap = F.exists(state["taken"], lambda t: (t["a"] <= x["last_pos"]) & (x["first_pos"] <= t["b"]))
@@ -129,18 +132,15 @@ def accept_deletes(deletes: DataFrame, tokens: DataFrame, mode: str, spans: Data
         return F.struct(
             (state["used"] + F.when(good, x["n_tokens"]).otherwise(0)).alias("used"),
             F.when(good, F.concat(state["taken"], F.array(F.struct(x["first_pos"].alias("a"), x["last_pos"].alias("b"))))).otherwise(state["taken"]).alias("taken"),
-            F.concat(state["out"], F.array(F.struct(x["seq"].alias("seq"), why.alias("reason")))).alias("out"),
+            F.concat(state["out"], F.array(why)).alias("out"),
         )
 
-    folded = listed.select(ITEM, F.explode(F.aggregate("_ops", start, step)["out"]).alias("r")).select(ITEM, F.col("r.seq").alias("seq"), F.col("r.reason").alias("skip_reason"))
-    decided = known.drop("_protected", "passes_policy").join(folded, [ITEM, "seq"]).withColumn("applied", F.col("skip_reason").isNull())
-    times = tokens.select(ITEM, "pos", "start_us", "end_us")
-    decided = decided.join(times.select(ITEM, F.col("pos").alias("first_pos"), F.col("start_us").alias("_s")), [ITEM, "first_pos"], "left")
-    decided = decided.join(times.select(ITEM, F.col("pos").alias("last_pos"), F.col("end_us").alias("_e")), [ITEM, "last_pos"], "left")
+    folded = listed.select(ITEM, "_ops", F.aggregate("_ops", start, step)["out"].alias("_out"))
+    each = folded.select(ITEM, F.explode(F.arrays_zip("_ops", "_out")).alias("z")).select(ITEM, "z._ops.*", F.col("z._out").alias("skip_reason"))
+    each = each.withColumn("applied", F.col("skip_reason").isNull())
     first = F.greatest(F.lit(0), F.col("_s") - 25_000)
-    decided = decided.withColumns({"start_us": F.when(F.col("applied"), first), "end_us": F.when(F.col("applied"), F.greatest(first + 40_000, F.col("_e") + 25_000))})
-    validation = F.when(F.col("applied"), F.col("evidence_reason"))
-    return decided.select(ITEM, "seq", "type", "confidence", "positions", "n_tokens", "first_pos", "last_pos", "applied", "skip_reason", validation.alias("validation"), "start_us", "end_us")
+    times = {"start_us": F.when(F.col("applied"), first), "end_us": F.when(F.col("applied"), F.greatest(first + 40_000, F.col("_e") + 25_000)), "validation": F.when(F.col("applied"), F.col("evidence_reason"))}
+    return each.withColumns(times).select(ITEM, "seq", "type", "confidence", "positions", "n_tokens", "first_pos", "last_pos", "applied", "skip_reason", "validation", "start_us", "end_us")
 
 
 def removed_tokens(decided: DataFrame) -> DataFrame:

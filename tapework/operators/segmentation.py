@@ -178,20 +178,27 @@ def segment_lines(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataF
     opened = "array<struct<at:bigint,cost:double,units:bigint,chars:bigint>>"
     empty = F.struct(F.array(F.struct(F.col("_first").alias("at"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars"))).cast(opened).alias("open"), F.expr("cast(array() as array<struct<pos:bigint,start:bigint>>)").alias("best"))
 
+    def once(value: Column, use) -> Column:
+        """use(value) with value worked out a single time."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def width(o: Column) -> Column:
+        return o["units"] * layout.half_width + (o["chars"] - 1) * layout.spacing
+
     def step(s: Column, x: Column) -> Column:
         grown = F.transform(s["open"], lambda o: F.struct(o["at"].alias("at"), o["cost"].alias("cost"), (o["units"] + x["units"]).alias("units"), (o["chars"] + x["chars"]).alias("chars")))
-        width = lambda o: o["units"] * layout.half_width + (o["chars"] - 1) * layout.spacing
         allowed = ~x["forbidden"] | (x["pos"] == F.col("_end"))
-        ended = F.transform(grown, lambda o: F.struct((o["cost"] + _cost(width(o), x["pos"] - o["at"] + 1, x["last"], x, layout)).alias("cost"), o["at"].alias("at")))
-        least = F.array_min(ended)
-        # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
-        alive = F.filter(grown, lambda o: ~(allowed & (width(o) > layout.hard) & (x["pos"] > o["at"])))
-        fresh = F.array(F.struct((x["pos"] + 1).alias("at"), least["cost"].alias("cost"), F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars")))
-        reachable = allowed & (F.size(ended) > 0)
-        return F.struct(
-            F.when(reachable, F.concat(alive, fresh)).otherwise(alive).cast(opened).alias("open"),
-            F.when(reachable, F.concat(s["best"], F.array(F.struct(x["pos"].alias("pos"), least["at"].alias("start"))))).otherwise(s["best"]).alias("best"),
-        )
+
+        def ended(g: Column) -> Column:
+            return F.array_min(F.transform(g, lambda o: F.struct((o["cost"] + _cost(width(o), x["pos"] - o["at"] + 1, x["last"], x, layout)).alias("cost"), o["at"].alias("at"))))
+
+        def close(g: Column, least: Column) -> Column:
+            # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
+            alive = F.filter(g, lambda o: ~((width(o) > layout.hard) & (x["pos"] > o["at"])))
+            fresh = F.array(F.struct((x["pos"] + 1).alias("at"), least["cost"].alias("cost"), F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars")))
+            return F.struct(F.concat(alive, fresh).cast(opened).alias("open"), F.concat(s["best"], F.array(F.struct(x["pos"].alias("pos"), least["at"].alias("start")))).alias("best"))
+
+        return once(grown, lambda g: F.when(allowed & (F.size(g) > 0), once(ended(g), lambda least: close(g, least))).otherwise(F.struct(g.cast(opened).alias("open"), s["best"].alias("best"))))
 
     solved = spans.withColumn("_best", F.map_from_entries(F.aggregate("_t", empty, step)["best"]))
     # From the span's end back to its start: each line's start gives the end of the line before.
