@@ -10,6 +10,7 @@ from ..sources import files
 from ..streaming import live
 from ..streaming.run import event_stream, run_append, run_update
 from .conv import TURNS_SQL, conv_tokens, conv_turns, table
+from .segmentation_queries import ORACLE_SQL as SEGMENTATION_SQL
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +160,7 @@ ORACLE_SQL = {
     "write_segments": f"WITH {TURNS_SQL} SELECT item_id, start_us, end_us, coalesce(text, '') AS text, printf('u%04d', utt) AS token_ids FROM conv_turns JOIN conversations ON conv_id = item_id AND turn = utt WHERE utt % 5 <> 4 AND end_us > start_us",
     "parse_tolerant_json": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'C:\\dir\\q' END AS path, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind FROM events",
     "enrich_incremental": "WITH c AS (SELECT doc_id, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents) SELECT min(doc_id) AS chunk_id, content_key FROM c GROUP BY content_key HAVING NOT bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0)",
+    "trace_rows": f"WITH chunks AS ({SEGMENTATION_SQL['chunk_by_pause']}), {TURNS_SQL} SELECT t.item_id, chunk, arg_min(token_id, pos) AS first_token, arg_max(token_id, pos) AS last_token, count(*) AS tokens, sha256(string_agg(text, '' ORDER BY pos)) AS text_sha256 FROM chunks c JOIN conv_tokens t ON t.item_id = c.item_id AND t.pos BETWEEN first_pos AND last_pos GROUP BY t.item_id, chunk",
     "stage_progress_stream": "SELECT user_id AS item_id, arg_max(event_type, (ts, event_id)) AS stage, epoch_us(max(ts)) AS updated_us FROM events GROUP BY user_id",
     "usage_dedup_stream": "SELECT user_id, count(*) AS events, round(sum(value), 6) AS used FROM events GROUP BY user_id",
     "stage_latency_stream": "SELECT a.user_id AS item_id, a.event_id AS first_id, b.event_id AS last_id, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000000 AS seconds FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR",
