@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
+    session = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.sql.unionOutputPartitioning", "false").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
