@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.simhash_dedup(docs, shingle=3, radius=3)
+    """One document of each group of near copies stays: five-word shingles, verified to be shared by 0.8 or more."""
+    return simhash.near_dedup(docs, shingle=5, radius=15, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

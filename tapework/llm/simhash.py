@@ -27,6 +27,8 @@ SEED = 42
 CHUNK = 65_536
 #: Rows and columns of one block of the comparison within a meeting point.
 BLOCK = 2_048
+#: Rows of a block where most prints meet by chance.
+PART = 256
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -187,6 +189,198 @@ def simhash_dedup(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFra
     return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
+def _pieces(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of radius // 2 + 1 pieces of the 64 bits: prints within radius have a piece within 1 bit."""
+    n = radius // 2 + 1
+    ends = [64 * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def two_prints(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of a set of hashes, and a second one of the same hashes, mixed."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    out = np.zeros(2, np.uint64)
+    for k, h in enumerate((hashes, mixed ^ (mixed >> np.uint64(31)))):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), CHUNK):
+            ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def _two_prints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([two_prints(shingles(t, shingle)) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], ["doc_id", "text_hash", "print", "second"])
+
+    return run
+
+
+def _emit_pieces(radius: int):
+    """For each piece the piece itself, and all values with one of its set bits cleared: of two that differ in a bit, one has it set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column("print").to_numpy().view(np.uint64)
+            rest = [batch.column(n).to_numpy() for n in ("text_hash", "print", "second")]
+            for k, (first, width) in enumerate(_pieces(radius)):
+                own = ((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                at, places = [np.arange(len(own))], [own]
+                for bit in range(width):
+                    at.append(np.flatnonzero((own >> bit) & 1))
+                    places.append(own[at[-1]] ^ (1 << bit))
+                who = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places) | (k << 48)), *[pa.array(r[who]) for r in rest]], ["place", "text_hash", "print", "second"])
+
+    return run
+
+
+def _hits(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b (print and second) that are within radius, and within 2 * radius + 2 over both prints."""
+    x, y = np.nonzero(_near(a[0], b[0], radius))
+    both = np.bitwise_count(a[0][x] ^ b[0][y]) + np.bitwise_count(a[1][x] ^ b[1][y]) <= 2 * radius + 2
+    return x[both], y[both]
+
+
+def _meet_wide(radius: int):
+    """Links of a place, where many meet by chance: block by block, those that join what no earlier block has joined."""
+
+    def links(place: int, ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, width = _pieces(radius)[place >> 48]
+        own = (prints[0] >> np.uint64(first)) & np.uint64((1 << width) - 1) == np.uint64(place & ((1 << 48) - 1))
+        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+        ids, prints, n = ids[order], [p[order] for p in prints], int(own.sum())
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = k = root.get(up, up)
+            return k
+
+        a, b = [], []
+        for at in range(0, n, PART):
+            part = [p[at : at + PART] for p in prints]
+            for to in range(at, len(ids), BLOCK):
+                x, y = _hits(part, [p[to : to + BLOCK] for p in prints], radius)
+                for i, j in zip((x + at).tolist(), (y + to).tolist(), strict=True):
+                    if i < j and (p := find(i)) != (q := find(j)):
+                        root[q] = p
+                        a.append(i)
+                        b.append(j)
+        return ids[a], ids[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, ids, *prints in _by_key(batches, "place", "place", "text_hash", "print", "second"):
+            if len(ids) > 1:
+                a, b = links(int(place[0]), ids, [p.view(np.uint64) for p in prints])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["left", "right"])
+
+    return run
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[list[np.ndarray]]:
+    """The named columns of each run of equal keys, as arrays. A run may go on over many batches."""
+    open_key, held = None, []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
+        for head, end in zip(heads[:-1], heads[1:], strict=True):
+            if held and keys[head] != open_key:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            open_key = keys[head]
+            held.append([c[head:end] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def wide_links(texts: DataFrame, radius: int) -> DataFrame:
+    """left and right: links that connect the texts (text_hash, print, second) within radius bits of print, and 2 * radius + 2 of both.
+
+    At a wide radius many prints of 64 bits meet by chance; the second print lets nearly none of those pass.
+    """
+    emitted = texts.select("text_hash", "print", "second").mapInArrow(_emit_pieces(radius), "place long, text_hash long, print long, second long")
+    dealt = emitted.repartition(partitions(texts.sparkSession), "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(_meet_wide(radius), "left long, right long")
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.lower().split()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles share at least this part of their union; empty ones are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = int(np.isin(a, b, assume_unique=True, kind="sort").sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _verify(shingle: int, radius: int, least: float):
+    """text_hash and root of each text of a candidate group: the least text_hash that verified links lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, first, second, texts in _by_key(batches, "component", "text_hash", "print", "second", "text"):
+            prints = [first.view(np.uint64), second.view(np.uint64)]
+            sets = [shingles(t.encode(), shingle) for t in texts]
+            open_, root = np.ones(len(hashes), bool), hashes.copy()
+            for seed in np.argsort(hashes).tolist():
+                if not open_[seed]:
+                    continue
+                open_[seed], front = False, [seed]
+                while front:
+                    at = front.pop()
+                    rest = np.flatnonzero(open_)
+                    _, near = _hits([p[at : at + 1] for p in prints], [p[rest] for p in prints], radius)
+                    for to in rest[near].tolist():
+                        if similar(sets[at], sets[to], least):
+                            open_[to], root[to] = False, hashes[seed]
+                            front.append(to)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(root)], ["text_hash", "root"])
+
+    return run
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
+    """One row of docs for each group of near copies: that of the smallest doc_id, with all columns of docs.
+
+    Texts are linked if their fingerprints are near (see wide_links(); here of the distinct shingles) and their sets of
+    shingles share at least `least` of their union; links are followed. Which row stays is as in simhash_dedup().
+    Fingerprints alone make candidate groups; a group's distinct texts come to one task, which compares their shingles.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    prints = read.mapInArrow(_two_prints(shingle), f"doc_id {id_type}, text_hash long, print long, second long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    texts = cut(prints.groupBy("text_hash", "print", "second").agg(first))
+    nodes = connected_components(wide_links(texts, radius), "left", "right").withColumnRenamed("node", "text_hash")
+    group = texts.join(nodes, "text_hash").select("text_hash", "print", "second", "component", F.col("first.doc_id").alias("_first"))
+    # Of a text's copies the one with the first doc_id brings the text; rows that repeat it too are dropped.
+    brought = read.join(group, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["text_hash"])
+    dealt = brought.select("component", "text_hash", "print", "second", "text").repartition(partitions(docs.sparkSession), "component").sortWithinPartitions("component")
+    roots = cut(dealt.mapInArrow(_verify(shingle, radius, least), "text_hash long, root long"))
+    named = texts.join(roots, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min("first").alias("first"))
+    keep = named.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
+    own = without(docs, "_keep_id", "_keep_hash", "_text_hash").withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles of documents, linked at 3 or fewer bits."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, radius=3)

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tapework.llm import embedding_dedup, labelled, langid, line_dedup, mixing, packing, quality, simhash, token_shards, topk, toxicity
 from tapework.llm.components import connected_components
 from tapework.llm.mph import MinimalPerfectHash
@@ -203,6 +204,55 @@ def test_simhash_rows(docs, nothing):
     assert simhash.simhash_components(nothing).count() == 0 and simhash.simhash_dedup(nothing).count() == 0
 
 
+def near_copies():
+    """Texts of 40 to 300 words, and of each a copy with some words changed; ids of copies are 1,000 higher."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(40, 300)))]
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, round(len(words) * [0.005, 0.015, 0.022, 0.04][k % 4])), replace=False):
+            copy[at] = "changed"
+        rows += [(k, " ".join(words)), (1_000 + k, " ".join(copy))]
+    return [*rows, (2_000, rows[0][1]), (2_001, rows[0][1].upper()), (2_002, None), (2_003, "  "), (None, "alone")]
+
+
+def test_pipeline_finds_copies_of_four_fifths(spark):
+    rows = near_copies()
+    of = [set(zip(*[w[i:] for i in range(5)], strict=False)) if len(w := (t or "").lower().split()) > 5 else {tuple(w)} for _, t in rows]
+    root, wide, reached, alike = list(range(len(rows))), 0, 0, 0
+    both = [simhash.two_prints(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
+                bits = [simhash.fingerprint((rows[x][1] or "").encode(), 3) for x in (a, b)]
+                wide += (bits[0] ^ bits[1]).bit_count() > 3
+                alike += 1
+                apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(both[a], both[b], strict=True)]
+                if apart[0] > 15 or sum(apart) > 32:
+                    continue
+                reached += 1
+                root = [root[b] if x == root[a] else x for x in root]
+    assert wide > 5 and reached >= 0.95 * alike
+    best = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        best[r] = min(best.get(r, math.inf), math.inf if i is None else i)
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(math.inf if r["doc_id"] is None else r["doc_id"] for r in got) == sorted(best.values())
+
+
+def test_wide_links_find_all(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
+    flip = lambda x, most: int(x) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, most)), replace=False))
+    prints = [(int(x), int(y)) for x, y in base] + [(flip(x, 18), flip(y, 24)) for x, y in base]
+    bits = lambda a, b: [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
+    want = {(b, a) for a in range(120) for b in range(a) if (d := bits(a, b))[0] <= 15 and sum(d) <= 32}
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    frame = spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(prints)], "text_hash long, print long, second long")
+    got = {tuple(sorted((r["left"], r["right"]))) for r in simhash.wide_links(frame, 15).collect()}
+    assert got == want and 20 < len(want) < 60
+
+
 # -- mixing
 
 def test_mixing(docs, nothing):
