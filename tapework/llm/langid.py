@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from .common import text_or_empty, without
 from .labelled import held_out
 
-#: Documents of each language that the filters are filled from, and languages at most (bits of a mask).
+#: Documents of each language that the filters are filled from, and languages in a word of a mask (a signed number).
 SAMPLE_PER_LANGUAGE = 1_000
-MOST_LANGUAGES = 63
+WORD = 63
 #: Slots of the filters, as a power of two, and slots that an n-gram sets.
 SLOT_BITS = 21
 PROBES = 2
@@ -69,11 +69,11 @@ def slots(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class LanguageFilters:
-    """languages: their names in order of their bits; table: the mask of each slot."""
+    """languages: their names in order of their bits; table: for each 63 languages a row with the mask of each slot."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
-        filled = np.array([np.count_nonzero(table & (1 << bit)) for bit in range(len(languages))]) / len(table)
+        filled = np.array([np.count_nonzero(table[bit // WORD] & (1 << bit % WORD)) for bit in range(len(languages))]) / table.shape[1]
         self.by_mistake = filled**PROBES
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -82,12 +82,13 @@ class LanguageFilters:
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        masks = self.table[slots(h, 0)]
-        for k in range(1, PROBES):
-            masks &= self.table[slots(h, k)]
-        share = np.zeros((len(texts), len(self.languages)))
+        share, at = np.zeros((len(texts), len(self.languages))), [slots(h, k) for k in range(PROBES)]
         for bit in range(len(self.languages)):
-            claimed = np.bincount(owner, weights=(masks >> bit) & 1, minlength=len(texts))
+            if bit % WORD == 0:
+                masks = self.table[bit // WORD][at[0]]
+                for k in range(1, PROBES):
+                    masks &= self.table[bit // WORD][at[k]]
+            claimed = np.bincount(owner, weights=(masks >> (bit % WORD)) & 1, minlength=len(texts))
             wrong = self.by_mistake[bit]
             share[:, bit] = np.clip((claimed / np.maximum(total, 1) - wrong) / max(1 - wrong, 1e-9), 0, 1)
         best = share.argmax(axis=1)
@@ -110,37 +111,38 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _set_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h, mask = batch.column("gram").to_numpy().view(np.uint64), batch.column("mask").to_numpy()
+        h = batch.column("gram").to_numpy().view(np.uint64)
         for k in range(PROBES):
-            yield pa.RecordBatch.from_arrays([pa.array(slots(h, k)), pa.array(mask)], ["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(slots(h, k)), batch.column("mask")], ["word", "slot", "mask"])
 
 
 def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFilters:
     """Filters from whole texts of at most per_language documents of each lang, taken by a hash of the text.
 
-    docs: doc_id, text and lang of the rows to learn from; rows without text or lang teach nothing. Of over 63 languages,
-    those with the most documents are learned.
+    docs: doc_id, text and lang of the rows to learn from; rows without text or lang teach nothing.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).toPandas()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
     languages = sorted(counts["lang"].tolist())
+    words = -(-len(languages) // WORD)
     if not languages:
-        return LanguageFilters([], np.zeros(2**SLOT_BITS, np.int64))
-    number = F.create_map(*[x for bit, lang in enumerate(languages) for x in (F.lit(lang), F.lit(bit).cast("long"))])
+        return LanguageFilters([], np.zeros((1, 2**SLOT_BITS), np.int64))
+    bits = {lang: bit for bit, lang in enumerate(languages)}
     # A row is in the sample if its hash is below the share that gives so many rows; the bound is met on average and then held by rank.
-    shares = F.create_map(*[x for lang, n in zip(counts["lang"], counts["n"], strict=True) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / n)))])
-    few = rows.where(F.col("lang").isin(languages)).select("lang", "text", F.xxhash64("text").alias("at"))
-    few = few.where(F.pmod("at", F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000).dropDuplicates(["lang", "at"])
+    shares = docs.sparkSession.createDataFrame([(lang, bits[lang], min(1.0, 1.5 * per_language / n)) for lang, n in zip(counts["lang"], counts["n"].tolist(), strict=True)], "lang string, bit long, share double")
+    few = rows.select("lang", "text", F.xxhash64("text").alias("at")).join(F.broadcast(shares), "lang")
+    few = few.where(F.pmod("at", F.lit(1_000_000)) < F.col("share") * 1_000_000).dropDuplicates(["lang", "at"])
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1_000_000)), "at")))
-    sample = ranked.where(F.col("rank") <= per_language).select(number[F.col("lang")].alias("bit"), "text")
+    sample = ranked.where(F.col("rank") <= per_language).select("bit", "text")
     grams_ = sample.mapInArrow(_count_grams, "bit long, gram long, n long").groupBy("bit", "gram").agg(F.sum("n").alias("n"))
     totals = grams_.groupBy("bit").agg(F.sum("n").alias("total"))
     often = grams_.join(F.broadcast(totals), "bit").withColumn("share", F.col("n") / F.col("total"))  # a row for each language
     typical = often.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("n") >= LEAST_COUNT) & (F.col("share") >= TYPICAL * F.col("most")))
-    masks = typical.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
-    filled = masks.mapInArrow(_set_slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    table, got = np.zeros(2**SLOT_BITS, np.int64), filled.toPandas()  # at most a row for each slot
-    table[got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+    word = F.expr(f"bit div {WORD}").alias("word")
+    masks = typical.groupBy(word, "gram").agg(F.bit_or(F.expr(f"shiftleft(1L, cast(bit % {WORD} as int))")).alias("mask"))
+    filled = masks.mapInArrow(_set_slots, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    table, got = np.zeros((words, 2**SLOT_BITS), np.int64), filled.toPandas()  # at most a row for each word and slot
+    table[got["word"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
     return LanguageFilters(languages, table)
 
 

@@ -405,6 +405,21 @@ def test_languages(spark, docs, nothing):
     assert langid.identify(nothing, langid.fit_languages(nothing)).count() == 0
 
 
+def invented(k, rng, n=60):
+    """Words of a made-up language: each has its own syllables."""
+    own = np.random.default_rng(k)
+    syllables = ["".join(own.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+    return " ".join("".join(rng.choice(syllables, 2)) for _ in range(n))
+
+
+def test_more_languages_than_a_word_holds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i * 100 + k, invented(k, rng), f"l{k:02}") for k in range(70) for i in range(5)]
+    filters = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == [f"l{k:02}" for k in range(70)]
+    assert filters.decide([invented(k, rng) for k in range(70)])[0] == filters.languages
+
+
 def test_empty_tables(nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
     assert packing.pack(nothing, VOCABULARY).count() == 0
