@@ -122,14 +122,16 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> L
     docs: doc_id, text and lang of the rows to learn from; rows without text or lang teach nothing.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    # Copies teach nothing more, so a language's size is its number of distinct texts.
+    counts = rows.select("lang", F.xxhash64("text").alias("at")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
     languages = sorted(counts["lang"].tolist())
     words = -(-len(languages) // WORD)
     if not languages:
         return LanguageFilters([], np.zeros((1, 2**SLOT_BITS), np.int64))
     bits = {lang: bit for bit, lang in enumerate(languages)}
-    # A row is in the sample if its hash is below the share that gives so many rows; the bound is met on average and then held by rank.
-    shares = docs.sparkSession.createDataFrame([(lang, bits[lang], min(1.0, 1.5 * per_language / n)) for lang, n in zip(counts["lang"], counts["n"].tolist(), strict=True)], "lang string, bit long, share double")
+    # A text is in the sample if its hash is below a share that gives so many with room to spare; the bound is then held by rank.
+    wanted = max(1.5 * per_language, per_language + 10 * per_language**0.5 + 50)
+    shares = docs.sparkSession.createDataFrame([(lang, bits[lang], min(1.0, wanted / n)) for lang, n in zip(counts["lang"], counts["n"].tolist(), strict=True)], "lang string, bit long, share double")
     few = rows.select("lang", "text", F.xxhash64("text").alias("at")).join(F.broadcast(shares), "lang")
     few = few.where(F.pmod("at", F.lit(1_000_000)) < F.col("share") * 1_000_000).dropDuplicates(["lang", "at"])
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1_000_000)), "at")))

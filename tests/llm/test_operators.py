@@ -420,6 +420,15 @@ def test_more_languages_than_a_word_holds(spark):
     assert filters.decide([invented(k, rng) for k in range(70)])[0] == filters.languages
 
 
+def test_language_of_many_copies_is_learned(spark):
+    rng = np.random.default_rng(4)
+    texts = {lang: [invented(k, rng) for _ in range(4)] for k, lang in enumerate(("aa", "bb"))}
+    rows = [(i, texts["aa"][i % 4], "aa") for i in range(40_000)] + [(50_000 + i, t, "bb") for i, t in enumerate(texts["bb"])]
+    filters = langid.fit_languages(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text", "lang"])), per_language=3)
+    assert all(np.count_nonzero(filters.table[0] & (1 << bit)) for bit in range(2))
+    assert filters.decide([invented(k, rng) for k in (0, 1)])[0] == ["aa", "bb"]
+
+
 def test_empty_tables(nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
     assert packing.pack(nothing, VOCABULARY).count() == 0
