@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapework.operators import alignment, decisions, intervals, scripts, segmentation, timeline
+from tapework.plans import text_queries
 from tapework.sources import files
 from tapework.streaming import live
 
@@ -125,6 +126,24 @@ def test_phrases_and_sections(spark):
     assert twice["error"] == "section repeated: 逐字稿"
 
 
+def test_sections_of_whole_texts(spark, tmp_path):
+    names = ["内容标题", "逐字稿", "备注", "最终文案", "封面标题"]
+    texts = ["a\nb\nc", "\n".join(f"line {k}" for k in range(12)), "a\nb\nc\nd\ne\n\ng", "one", "x" * 5_000 + "\ny\nz\nu\nv\ntodo\nw", None, "\n\na\n\n\n\n\nb"]
+    docs = [(k, t) for k, t in enumerate(texts * 5)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["transcript"], r["transcript_source"], r["error"]) for r in text_queries.sections(spark, str(tmp_path)).collect()}
+    want = {}
+    for k, text in docs:
+        bodies = {}
+        for i, line in enumerate((text or "").split("\n")):
+            if line not in ("", "todo"):
+                bodies.setdefault(names[(k + i) % 5], []).append(line)
+        source = next((n for n in ("逐字稿", "最终文案") if n in bodies), None)
+        twice = sorted(n for n, b in bodies.items() if len(b) > 1 and n != "备注")
+        want[k] = (max(bodies[source]) if source else None, source, f"section repeated: {twice[0]}" if twice else None if source else "no transcript")
+    assert got == want and sum("repeated" in (e or "") for _, _, e in want.values()) > 5
+
+
 def test_damage(spark):
     df = spark.createDataFrame([(1, "fine\nwhat???\nbad �\n鏄x")], "doc_id long, text string")
     assert sorted((r["label"], r["line_no"]) for r in scripts.scan_text_damage(df, "doc_id").collect()) == [("common mojibake", 4), ("repeated question marks", 2), ("replacement character", 3)]
