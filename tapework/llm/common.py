@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as blank between words and around lines: space and the controls 9 to 13.
@@ -16,10 +21,12 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) one of our own where it is unset."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -62,3 +69,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the measure for how finely work is dealt out."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def some_at_a_time(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Stretches of texts of about so many bytes, and the row that each begins at, so that what is worked on at once stays small."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at = 0
+    for end in (np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes, append=-1)) + 1).tolist():
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def total_before(df: DataFrame, value: str, name: str, by: list[str], part: str, number: str) -> DataFrame:
+    """df with the sum of value over the rows of equal `by` that come earlier in the order of part and number.
+
+    Parts are summed up first, so that a window holds the parts of a group, or the numbers of a part, but never all rows.
+    """
+    keys = {c: f"_key{k}" for k, c in enumerate([*by, part])}
+    parts = df.groupBy(*[F.col(c).alias(k) for c, k in keys.items()]).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*[keys[c] for c in by]).orderBy(keys[part]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_parts_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*by, part).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    here = df.withColumn("_here_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return here.join(parts, same).select(*df.columns, (F.col("_parts_before") + F.col("_here_before")).cast("long").alias(name))

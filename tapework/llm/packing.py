@@ -5,6 +5,9 @@ piece lengths, at most as many rows as a sequence has tokens, is packed as patte
 longest first, each into the shortest pack that there is, or a new one where it doesn't fit. Patterns are joined back
 to pieces by the piece's rank among those of its length.
 
+The table of places that goes to every task doesn't grow with the documents: there are at most as many patterns as lengths (a
+step either uses up a length or a pattern), and lengths in a pattern that differ add up to no more than a sequence.
+
 Skew: ranks are a running count within the task that wrote a piece plus the counts of earlier tasks, so a length that
 most pieces have is counted in all tasks at once.
 """
@@ -22,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
-from .tokens import encoder, in_groups
+from .common import cut, some_at_a_time, text_or_empty
+from .tokens import encoder
 
 
 def pack_lengths(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -73,29 +76,34 @@ class Places:
         return self.sequence[at] + within // self.times[at], self.offset[at] + within % self.times[at] * length
 
 
+def _ranks(lengths: np.ndarray) -> np.ndarray:
+    """Each one's number among the equal ones before it."""
+    order = np.argsort(lengths, kind="stable")
+    ordered = lengths[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    out = np.empty(len(lengths), np.int64)
+    out[order] = np.arange(len(lengths)) - np.repeat(heads, np.diff(np.append(heads, len(ordered))))
+    return out
+
+
 def _pieces(vocabulary: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ranks = encoder(vocabulary), np.zeros(size + 1, np.int64)
-        end, part = np.array([end_id], words.dtype).tobytes(), TaskContext.get().partitionId()
+        encode, ranks, part = encoder(vocabulary), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            texts, row = batch.column("text").cast(pa.binary()).to_pylist(), 0
-            for group in in_groups(texts):
-                rows, starts, lengths, totals, crcs, ids, rank = [], [], [], [], [], [], []
-                for data in words.encode(group):
-                    got = np.frombuffer(data + end, words.dtype)
-                    for at in range(0, len(got), size):
-                        piece = got[at : at + size]
-                        rows.append(row)
-                        starts.append(at)
-                        lengths.append(len(piece))
-                        totals.append(len(got))
-                        crcs.append(zlib.crc32(piece.astype("<u4").tobytes()))
-                        ids.append(piece.tobytes())
-                        rank.append(ranks[len(piece)])
-                        ranks[len(piece)] += 1
-                    row += 1
-                own = {"start": starts, "length": lengths, "doc_tokens": totals, "ids_crc32": crcs, "local_rank": rank, "part": [part] * len(rows)}
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(v, pa.int64()) for v in own.values()), pa.array(ids, pa.binary())], ["doc_id", *own, "ids"])
+            for row, texts in some_at_a_time(batch.column("text")):
+                ids, starts = encode.with_end(texts, end_id)
+                totals = np.diff(starts)
+                times = -(-totals // size)
+                of = np.repeat(np.arange(len(totals)), times)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)) * size
+                length = np.minimum(size, totals[of] - start)
+                cuts = np.append(starts[of] + start, len(ids)).tolist()
+                words = memoryview(ids.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(words[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                own = {"start": start, "length": length, "doc_tokens": totals[of], "ids_crc32": np.array(crcs, np.int64), "local_rank": ranks[length] + _ranks(length), "part": np.full(len(of), part)}
+                ranks += np.bincount(length, minlength=size + 1)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.array(cuts, np.int64).astype(np.int32) * np.int32(ids.itemsize)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + of)), *(pa.array(v, pa.int64()) for v in own.values()), data], ["doc_id", *own, "ids"])
 
     return run
 
@@ -108,23 +116,26 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096) ->
     document, offset in its sequence; a sequence's pieces follow without gaps from 0, and sequence ids have no gaps.
     Ids are unsigned, little-endian, of 16 bits where the vocabulary allows and else of 32; ids_crc32 is the
     unsigned crc32 of the piece as 32-bit ids. Repeated rows are documents of their own; doc_id may be null.
-    An empty table gives no rows. Columns of docs other than doc_id and text don't matter.
+    An empty table gives no rows. Columns of docs other than doc_id and text don't matter, whatever they are named.
+    A very long text is encoded whole, by the task that reads it. Patterns depend on the numbers of lengths alone; which
+    of equally long pieces goes where depends on how the table is dealt out to tasks.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_or_empty().alias("text"))
     pieces = cut(read.mapInArrow(_pieces(vocabulary, end_id, size), f"doc_id {id_type}, start long, length long, doc_tokens long, ids_crc32 long, local_rank long, part long, ids binary"))
     by_part = cut(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
-    places = Places(pack_lengths(histogram, size))
-    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shared = spark.sparkContext.broadcast(Places(pack_lengths(histogram, size)))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     before = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = places.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+        sequence, offset = shared.value.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = pieces.join(before, ["part", "length"]).withColumn("_place", place("length", F.col("before") + F.col("local_rank")))
+    # The table of earlier counts grows with the tasks, so it is merged, not broadcast.
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("_place", place("length", F.col("before") + F.col("local_rank")))
     return ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "_place.sequence_id", "_place.offset")
 
 

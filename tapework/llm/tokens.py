@@ -1,105 +1,122 @@
 """Token ids of whole texts, by the tokenizers library.
 
-The given vocabulary splits texts at blanks first, so a text's ids are its words' ids one after the other. Words between
-blanks are encoded by the library once and remembered, for as long as a Python worker lives and up to a bound; ids of a
-text are then looked up and joined.
+The given vocabulary splits texts at blanks first, and then between letters and signs, so a text's ids are its pieces' ids one
+after the other. A group of texts is cut into words and those into pieces, both numbered by Arrow; the group's distinct pieces
+are encoded by the library, once for as long as a worker remembers them, and the texts' ids are gathered from those.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers; beyond it forgets them all and begins again.
-MOST_WORDS = 1_000_000
-#: How many pieces of words go to the library as one text.
+#: Pieces of each of the two generations that a worker remembers: a full one becomes the older, whose pieces come back when met.
+MOST_PIECES = 250_000
+#: How many pieces go to the library as one text, and a sign that stands between them there.
 TOGETHER = 512
-#: Letters of one code point up to U+00FF, then signs but the apostrophe: two pieces at most, whatever the case.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+BETWEEN = "\x01"
+#: Words in which the library's pieces begin and end where signs do, whatever stands beside them; an apostrophe can be of a letter's.
+PLAIN = "^[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-@\\[-`{-~]*$"
+SIGNS = "([!-&(-/:-@\\[-`{-~]+)"
 
 
-class WordEncoder:
-    """path: a file of the tokenizers library whose pre-tokenizer splits at white space and marks the ends of words."""
+def gather(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds runs of these sizes; the runs of all codes, one after the other, and where each begins, with the end as one more."""
+    n = sizes[codes]
+    upto = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=upto[1:])
+    at = np.arange(upto[-1], dtype=np.int32)
+    at += np.repeat(((np.cumsum(sizes) - sizes)[codes] - upto[:-1]).astype(np.int32), n)
+    return values[at], upto
 
-    def __init__(self, path: str, most_words: int = MOST_WORDS):
+
+class TextEncoder:
+    """path: a file of the tokenizers library that lower-cases, drops white space and splits there and at signs; others raise ValueError."""
+
+    def __init__(self, path: str, most_pieces: int = MOST_PIECES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 2**16 else "<u4")
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.most_words, self.known = most_words, {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        encoded = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-
-    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that the library takes as one word each."""
-        out = {}
-        groups = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
-        for group, data in zip(groups, self._encode([b" ".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(data, self.dtype)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
-                stops = (ends * self.dtype.itemsize).tolist()
-                out |= {p: data[a:b] for p, a, b in zip(group, [0, *stops[:-1]], stops, strict=True)}
-            else:
-                out |= zip(group, self._encode(group), strict=True)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.most_pieces, self.known, self.older = most_pieces, {}, {}
+        alone, probe = self._ids(BETWEEN), [("Ab", ",", "c"), ("it's",), ("É1ß", "."), ("x" * 40,), ("a", "--", "9", "!*")]
+        joined = [i for k, w in enumerate(probe) for i in [*alone[: k > 0], *(i for piece in w for i in self._ids(piece.lower()))]]
+        if len(alone) != 1 or self._ids(f" {BETWEEN} ".join(map("".join, probe))) != joined:
+            raise ValueError(f"{path} doesn't encode the words between blanks, and their letters and signs, by themselves")
+        self.between = alone[0]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that nothing is known of."""
+        out: list[bytes] = []
+        groups, size = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)], self.dtype.itemsize
+        for group, encoded in zip(groups, self.library.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, self.dtype)
+            ends = np.flatnonzero(ids == self.between)
+            if len(ends) == len(group) - 1:
+                data = ids.tobytes()
+                starts, stops = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(data)]
+                out += [data[a:b] for a, b in zip(starts, stops, strict=True)]
+            else:  # a piece has the sign itself
+                out += [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most_words:
-            self.known.clear()
-        plain, other, parts = [], [], set()
-        for word in words:
-            if m := _PLAIN.fullmatch(word):
-                plain.append((word, *m.groups()))
-                parts.update(m.groups())
-            else:
-                other.append(word)
-        parts.discard(b"")
-        ids = {p: i for p in parts if (i := self.known.get(p)) is not None}
-        ids |= self._pieces([p for p in parts if p not in ids])
-        ids[b""] = b""
-        self.known.update((word, ids[a] + ids[b]) for word, a, b in plain)
-        self.known.update(zip(other, self._encode(other), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text, as bytes of self.dtype."""
-        split = [t.lower().split() for t in texts]
-        got = [list(map(self.known.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, got, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            again = [None in ids for ids in got]
-            held = len(self.known)
-            self._learn(missing)
-            if len(self.known) < held + len(missing):  # all was forgotten
-                self._learn({w for words, redo in zip(split, again, strict=True) if redo for w in words if w not in self.known})
-            got = [list(map(self.known.get, words)) if redo else ids for words, ids, redo in zip(split, got, again, strict=True)]
-        return [b"".join(ids) for ids in got]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        ids = list(map(self.known.get, pieces))
+        new = {pieces[k]: self.older.get(pieces[k]) for k, found in enumerate(ids) if found is None}
+        if not new:
+            return ids
+        missing = [p for p, i in new.items() if i is None]
+        new.update(zip(missing, self._learn(missing), strict=True))
+        if len(self.known) + len(new) > self.most_pieces:
+            self.older, self.known = self.known, {}
+        self.known |= new
+        return [new[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, with the end as one more. No text is null."""
+        whole = {}
+        for token in self.added:  # a text with such a token is more than its words
+            for k in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                whole[k] = texts[k].as_py()
+        if whole:
+            texts = pa.array(["" if k in whole else t for k, t in enumerate(texts.to_pylist())], pa.string())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        apart = pc.if_else(pc.match_substring_regex(words.dictionary, PLAIN), pc.replace_substring_regex(words.dictionary, SIGNS, r" \1 "), words.dictionary)
+        apart = pc.ascii_split_whitespace(apart)
+        pieces = apart.flatten().dictionary_encode()
+        data = self._pieces(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.dtype.itemsize
+        of_words, upto = gather(np.frombuffer(b"".join(data), self.dtype), sizes, pieces.indices.to_numpy())
+        of_texts, starts = gather(of_words, np.diff(upto[apart.offsets.to_numpy()]), words.indices.to_numpy())
+        starts = starts[split.offsets.to_numpy()]
+        if whole:
+            parts = np.split(of_texts, starts[1:-1])
+            for k, text in whole.items():
+                parts[k] = np.array(self._ids(text), self.dtype)
+            of_texts, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return of_texts, starts
+
+    def with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with end_id at the end of each text."""
+        ids, starts = self.encode(texts)
+        return np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """A worker's encoder of a vocabulary file; later tasks of the worker use it again."""
-    return WordEncoder(path)
-
-
-def in_groups(texts: list[bytes], most_bytes: int = 4_000_000):
-    """Stretches of texts of about so many bytes, so that what is split at once stays small."""
-    at = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= most_bytes:
-            yield texts[at : k + 1]
-            at, total = k + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+    return TextEncoder(path)
+

@@ -7,14 +7,18 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapework.llm import embedding_dedup, labelled, langid, line_dedup, mixing, packing, quality, simhash, token_shards, topk, toxicity
 from tapework.llm.components import connected_components
 from tapework.llm.mph import MinimalPerfectHash
+from tapework.llm.tokens import TextEncoder, encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,7 +92,6 @@ def ids():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
     return lambda text: library.encode(text or "", add_special_tokens=False).ids
 
 
@@ -96,21 +99,36 @@ def crc(values):
     return zlib.crc32(np.array(values, "<u4").tobytes())
 
 
-ODD_TEXTS = ["Don't stop, IT'S you're", "Été ÉCOLE naïve", "a b c\x1cd", "<|endoftext|> x", "école", "日本語 text", "x" * 300, "ΣΑΣ İ ß", "123 4,5%%% ***"]
+ODD_TEXTS = ["Don't stop, IT'S you're", "Été ÉCOLE naïve", "a b c\x1cd", "<|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|>", "école", "日本語 text", "x" * 300, "ΣΑΣ İ ß", "123 4,5%%% ***", "a \x01 b\x01c", "é…,x» µm", "\n", " a  b "]
 
 
-@pytest.mark.parametrize("most_words", [1_000_000, 5])
-def test_encoder_equals_library(ids, most_words):
-    from tapework.llm.tokens import WordEncoder
-
-    own = WordEncoder(VOCABULARY, most_words)
+@pytest.mark.parametrize("most_pieces", [1_000_000, 5])
+def test_encoder_equals_library(ids, most_pieces):
+    own = TextEncoder(VOCABULARY, most_pieces)
     texts = [*ODD_TEXTS, *[t[1] or "" for t in ROWS]]
     for _ in range(2):
-        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode([t.encode() for t in texts])] == [ids(t) for t in texts]
+        flat, starts = own.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, starts[1:-1])] == [ids(t) for t in texts]
+    assert ids("<|endoftext|> x")[0] == 49407
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBé'ß.,!-<|>1 \n\x01\u0301ΣİK日…»μ×\xa0")), max_size=5))
+def test_encoder_on_any_text(texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    flat, starts = encoder(VOCABULARY).encode(pa.array(texts, pa.string()))
+    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing(docs, ids):
-    got = packing.pack(docs, VOCABULARY, end_id=2, size=64).toPandas()
+    got = packing.pack(clashing(docs, "part", "before", "length", "ids"), VOCABULARY, end_id=2, size=64).toPandas()
     assert (got.groupby(["sequence_id"])["length"].sum() <= 64).all()
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
@@ -131,19 +149,34 @@ def test_pack_lengths_uses_every_piece():
     assert used == histogram
 
 
-def test_token_shards(docs, ids, monkeypatch):
-    shards = token_shards.write_shards(docs, VOCABULARY, end_id=1)
-    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_shards(shards).collect()]
+def test_token_shards(docs, ids):
+    shards = token_shards.write_shards(clashing(docs, "shard", "part", "tie"), VOCABULARY, end_id=1)
+    index = token_shards.write_index(shards)
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_shards(shards, index).collect()]
     start, wanted = 0, []
     for r in sorted(ROWS, key=lambda r: (r[0] is None, r[0])):
         all_ids = ids(r[1]) + [1]
         wanted.append((r[0], start, len(all_ids), crc(all_ids)))
         start += len(all_ids)
     assert sorted(got, key=lambda x: x[1]) == wanted
-    row = next(r for r in shards.collect() if 8 in r["doc_ids"])
-    shard = token_shards.TokenShard(row["id_bytes"], row["mph"], row["prints"], row["starts"], row["counts"], row["payload"])
-    assert shard.ids(8).tolist() == ids(ROWS[8][1]) + [1]
-    assert shard.ids(12345) is None
+    with pytest.raises(ValueError):
+        token_shards.write_shards(docs.withColumn("doc_id", F.col("doc_id").cast("string")), VOCABULARY)
+
+
+def test_keys_of_repeated_and_missing_ids(spark, ids):
+    """Many rows of one doc_id, and many without one, over many shards: every key is there once and leads to its ids."""
+    rows = [(7, f"seven number {k}") for k in range(150)] + [(None, f"no id {k}") for k in range(100)] + [(7, "same"), (7, "same"), (8, "eight"), (-3, "minus")]
+    shards = token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, ids_per_shard=50)
+    index = token_shards.write_index(shards)
+    assert shards.count() > 15 and shards.where("n_ids >= 70").count() == 0
+    found = token_shards.read_shards(shards, index).collect()
+    keys = sorted((str(r["doc_id"]), r["earlier"]) for r in found)
+    assert keys == sorted([("7", k) for k in range(152)] + [("None", k) for k in range(100)] + [("8", 0), ("-3", 0)])
+    asked = spark.createDataFrame([(i, k) for i in (7, 8, -3, None, 99) for k in range(160)], "doc_id long, earlier long")
+    read = token_shards.lookup(shards, index, asked).collect()
+    assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u2").tolist()) for r in read) == sorted((str(d), ids(t) + [1]) for d, t in rows)
+    by_start = sorted(found, key=lambda r: r["start"])
+    assert [r["earlier"] for r in by_start if r["doc_id"] == 7] == list(range(152))
 
 
 # -- SimHash
@@ -432,4 +465,5 @@ def test_language_of_many_copies_is_learned(spark):
 def test_empty_tables(nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
     assert packing.pack(nothing, VOCABULARY).count() == 0
-    assert token_shards.read_shards(token_shards.write_shards(nothing, VOCABULARY)).count() == 0
+    shards = token_shards.write_shards(nothing, VOCABULARY)
+    assert token_shards.read_shards(shards, token_shards.write_index(shards)).count() == 0
