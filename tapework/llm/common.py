@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as blank between words and around lines: space and the controls 9 to 13.
@@ -93,3 +93,28 @@ def total_before(df: DataFrame, value: str, name: str, by: list[str], part: str,
     here = df.withColumn("_here_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
     return here.join(parts, same).select(*df.columns, (F.col("_parts_before") + F.col("_here_before")).cast("long").alias(name))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def over_texts(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[[Column], Column]:
+    """A column function of a text column by make()(texts), which is made once in each task and gets a few MB of texts at a time.
+
+    Only the texts go to Python, and only the answers come back. It counts as nondeterministic, so that the optimizer
+    doesn't put it in two places and work twice.
+    """
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        answer = make()
+        for texts in batches:
+            parts = [answer(part) for _, part in some_at_a_time(texts)]
+            yield pa.concat_arrays(parts) if parts else answer(texts)
+
+    return run.asNondeterministic()

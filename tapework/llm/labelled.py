@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, text_or_empty
+
 
 def held_out(doc_id: str = "doc_id", fold: int = 5, remainder: int = 0) -> Column:
     """True for the rows that no model learns from: crc32 of the id as text leaves this remainder. False for null ids."""
@@ -23,10 +25,13 @@ def sample_labels(labels: DataFrame, column: str, per_class: dict[int, int], fol
     return out
 
 
-def sample_texts(docs: DataFrame, sample: DataFrame, text: Column) -> DataFrame:
-    """label and text of the sampled documents. sample is bounded by its maker, so it goes to every task."""
-    found = docs.select(F.col("doc_id").alias("_id"), text.alias("text")).join(F.broadcast(sample), F.col("_id") == F.col("doc_id"))
-    return found.select("label", "text")
+def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """label and text of the sampled documents, written to a table. sample is bounded by its maker, so it goes to every task.
+
+    A doc_id that several documents have gives one text, that of the smallest hash; so the table isn't longer than the sample.
+    """
+    found = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(sample), F.col("_id") == F.col("doc_id"))
+    return cut(found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text"))
 
 
 def class_counts(labels: DataFrame, column: str, fold: int = 5, remainder: int = 0) -> dict[int, int]:
