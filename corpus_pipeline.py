@@ -1,10 +1,15 @@
 """The training-corpus pipeline: stages that each read the table that the one before wrote.
 
-Every stage takes (spark, docs, sf_dir). The labels that the first one learns from are in sf_dir.
+Every stage takes (spark, docs, sf_dir). The labels that the first one learns from are in sf_dir. Stages read doc_id, text,
+source and n_chars of docs and keep all other columns, whatever they are named. doc_id, source and text may be null (a null text
+is an empty one), repeated rows are documents of their own until the near-dedup stage, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +18,29 @@ from tapework.llm import line_dedup as lines
 from tapework.llm import mixing, packing, quality, simhash
 from tapework.llm.common import cut
 
+READ = {"doc_id", "text", "source", "n_chars"}
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _any_columns(stage: Stage) -> Stage:
+    """The stage over docs whose further columns can't clash with an operator's own: they have other names meanwhile."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_other{k}" for k, c in enumerate(docs.columns) if c not in READ}
+        return stage(spark, docs.toDF(*[names.get(c, c) for c in docs.columns]), sf_dir).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
 
+@_any_columns
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the quality threshold go."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), at=0.3)
-    scored = docs.select("*", F.struct(*docs.columns).alias("_row"))
-    kept = quality.score_quality(scored.select("text", "_row"), model).where("predicted = 1")
-    return kept.select("_row.*")
+    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+@_any_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that 10 documents or more share go; n_chars follows the text."""
     kept = lines.line_dedup(docs, min_docs=10, min_chars=1)
@@ -29,11 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
+@_any_columns
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, verified to be shared by 0.8 or more."""
     return simhash.near_dedup(docs, shingle=5, radius=15, least=0.8)
 
 
+@_any_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those it doesn't take go."""
     mixed = mixing.mix(docs).where("taken > 0")
