@@ -16,9 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import text_or_empty, without
+from .common import over_texts, some_at_a_time, text_or_empty, unused, without
 from .labelled import held_out
 
 #: Documents of each language that the filters are filled from, and languages in a word of a mask (a signed number).
@@ -102,11 +101,12 @@ class LanguageFilters:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, bits = batch.column("text").to_pylist(), np.array(batch.column("bit").to_pylist(), np.int64)
-        h, owner = grams(texts)
-        for bit in np.unique(bits).tolist():
-            gram, n = np.unique(h[bits[owner] == bit], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bit)), pa.array(gram.view(np.int64)), pa.array(n)], ["bit", "gram", "n"])
+        for row, texts in some_at_a_time(batch.column("text"), 1_000_000):
+            bits = batch.column("bit").slice(row, len(texts)).to_numpy()
+            h, owner = grams(texts.to_pylist())
+            for bit in np.unique(bits).tolist():
+                gram, n = np.unique(h[bits[owner] == bit], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bit)), pa.array(gram.view(np.int64)), pa.array(n)], ["bit", "gram", "n"])
 
 
 def _set_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,31 +151,29 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> L
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """docs with lang_pred and score.
 
-    Whole texts are looked at and nothing but the text counts. A text that is null or has no letter is `und` with score 0,
-    and so is every text if no language was learned. Equal texts get equal answers; ties go to the first language by name.
-    An empty table gives no rows. Columns of docs that are named like an output column are replaced.
+    Whole texts are looked at, however long, and nothing but the text counts. A text that is null or has no letter is `und`
+    with score 0, and so is every text if no language was learned. Equal texts get equal answers, repeated rows too; ties go
+    to the first language by name. An empty table gives no rows. Columns of docs that are named like an output column are
+    replaced.
     """
-    docs = without(docs, "lang_pred", "score", "language_text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = [f.name for f in schema.fields]
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         here = LanguageFilters(*shared.value)
-        for batch in batches:
-            texts, predicted, scores = batch.column("language_text").to_pylist(), [], []
-            at = total = 0
-            for k, text in enumerate(texts):  # a few MB of text at a time
-                total += len(text)
-                if total > 1_000_000 or k == len(texts) - 1:
-                    lang, score = here.decide(texts[at : k + 1])
-                    predicted += lang
-                    scores.append(score)
-                    at, total = k + 1, 0
-            own = {"lang_pred": pa.array(predicted, pa.string()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())}
-            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n) for n in names], names)
-
-    return docs.withColumn("language_text", text_or_empty()).mapInArrow(run, schema)
+
+        def answer(texts: pa.Array) -> pa.Array:
+            names, scores = [], []
+            for _, part in some_at_a_time(texts, 1_000_000):
+                name, score = here.decide(part.to_pylist())
+                names += name
+                scores.append(score)
+            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang_pred", "score"])
+
+        return answer
+
+    answered = unused(docs, "_answer")
+    found = without(docs, "lang_pred", "score").withColumn(answered, over_texts(make, "lang_pred string, score double")(text_or_empty()))
+    return found.withColumns({c: F.col(answered)[c] for c in ("lang_pred", "score")}).drop(answered)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
