@@ -5,8 +5,8 @@ a shard has a minimal perfect hash over its distinct keys, a 32-bit fingerprint
 Documents probe the shards with the hashes of their lines; lines themselves are never joined.
 
 Skew: a key in more than one of HOT_SHARE probes is hot. As the counts add up to the number of probes there are
-at most HOT_SHARE hot keys, so their index, of the same form, is small enough to go to every task;
-the other keys are probed where their shard is.
+at most HOT_SHARE hot keys. They have a shard of the same form of their own, which goes to every task and is probed there with
+the lines of whole texts; the other keys are probed where their shard is.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLANK, cut, text_or_empty, without
+from .common import BLANK, cut, some_at_a_time, text_or_empty, unused, without
 from .mph import MinimalPerfectHash, fingerprints
 
 KEYS_PER_SHARD = 32_768
 LEAST_SHARDS = 64
 HOT_SHARE = 65_536
+#: A key in so few probes doesn't make a shard uneven, however few probes there are.
 LEAST_HOT = 4_096
 
 
@@ -45,19 +45,21 @@ def _hash(key: bytes) -> bytes:
 
 
 def _halves(digests: list[bytes]) -> np.ndarray:
+    """Both halves of 128-bit hashes."""
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def _line_keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                keys = [k for k in {line_key(x) for x in text.split(b"\n")} if _long_enough(k, min_chars)]
-                digests += map(_hash, keys)
-                counts.append(len(keys))
-            rows, h = np.repeat(np.arange(len(counts)), counts), _halves(digests)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("text_hash").take(pa.array(rows)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "text_hash", "high", "low"])
+            for row, texts in some_at_a_time(batch.column("text")):
+                counts, digests = [], []
+                for text in texts.cast(pa.binary()).to_pylist():
+                    keys = [k for k in {line_key(x) for x in text.split(b"\n")} if _long_enough(k, min_chars)]
+                    digests += map(_hash, keys)
+                    counts.append(len(keys))
+                rows, h = pa.array(row + np.repeat(np.arange(len(counts)), counts)), _halves(digests)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "text_hash", "high", "low"])
 
     return run
 
@@ -105,31 +107,35 @@ def _probe_shard(min_docs: int):
     return run
 
 
-def _drop_lines(schema: T.StructType, min_chars: int, hot: set[bytes]):
-    names, arrow = [f.name for f in schema.fields], to_arrow_schema(schema)
+def _drop_lines(min_docs: int, min_chars: int, hot: Broadcast):
+    """A column function: kept_text, n_lines and n_dropped of a text and the hits that the shards had for it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for text, found in zip(batch.column("line_text").cast(pa.binary()).to_pylist(), batch.column("line_hits").to_pylist(), strict=True):
-                lines = text.split(b"\n")
-                n_lines.append(len(lines))
-                hits = set(found or ())
-                if hits or hot:
-                    left = []
-                    for line in lines:
-                        key = line_key(line)
-                        if not _long_enough(key, min_chars) or not ((h := _hash(key)) in hits or h in hot):
-                            left.append(line)
-                    n_dropped.append(len(lines) - len(left))
-                    kept.append(b"\n".join(left) if len(left) < len(lines) else text)
-                else:
-                    n_dropped.append(0)
-                    kept.append(text)
-            own = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n).cast(t.type) for n, t in zip(names, arrow, strict=True)], names)
+    @F.arrow_udf("kept_text string, n_lines long, n_dropped long")
+    def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        mph, prints, counts = hot.value
+        index = CountIndex(MinimalPerfectHash.from_bytes(mph), np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint32))
 
-    return run
+        def answer(texts: pa.Array, found: pa.Array) -> pa.Array:
+            lines = [t.split(b"\n") for t in texts.cast(pa.binary()).to_pylist()]
+            digests = [_hash(k) if _long_enough(k := line_key(x), min_chars) else None for of in lines for x in of]
+            asked = [d for d in digests if d is not None]
+            often = iter((index.count(*_halves(asked).T) >= min_docs).tolist())
+            kept, n_dropped, at = [], [], 0
+            for of, hits in zip(lines, found.to_pylist(), strict=True):
+                hits = set(hits or ())
+                # The hot shard is asked for every line, whatever the other shards say.
+                left = [x for x, d in zip(of, digests[at : at + len(of)], strict=True) if d is None or not (next(often) | (d in hits))]
+                at += len(of)
+                n_dropped.append(len(of) - len(left))
+                kept.append(b"\n".join(left))
+            fields = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(of) for of in lines], pa.int64()), pa.array(n_dropped, pa.int64())]
+            return pa.StructArray.from_arrays(fields, ["kept_text", "n_lines", "n_dropped"])
+
+        for texts, found in batches:
+            parts = [answer(part, found.slice(row, len(part))) for row, part in some_at_a_time(texts)]
+            yield pa.concat_arrays(parts) if parts else answer(texts, found)
+
+    return drop.asNondeterministic()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -138,10 +144,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     A text is split at line feeds; a null or empty text is one empty line. A line's key is the line without blanks at its
     ends, A-Z in lower case. Keys of at least min_chars code points that at least min_docs documents (rows; a repeated
     row counts again) hold lose all their lines in every document. Other lines stay as they are, joined by line feeds.
-    Columns of docs that are named like an output column are replaced; doc_id may be null. An empty table gives no rows.
+    Columns of docs that are named like an output column are replaced, all others stay; doc_id may be null. A very long text
+    is a row like any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = without(docs, "kept_text", "n_lines", "n_dropped", "line_text", "line_hits", "line_text_hash")
+    docs = without(docs, "kept_text", "n_lines", "n_dropped")
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     lines = cut(keyed.mapInArrow(_line_keys(min_chars), f"doc_id {id_type}, text_hash long, high long, low long"))
@@ -150,9 +157,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     hot_over = max(total // HOT_SHARE, LEAST_HOT)
     hot = counts.where(F.col("n") > hot_over).toPandas()  # at most HOT_SHARE rows
     hot_index = CountIndex.build(hot["high"].to_numpy(), hot["low"].to_numpy(), hot["n"].to_numpy())
-    high, low = hot["high"].to_numpy(np.int64), hot["low"].to_numpy(np.int64)
-    often = hot_index.count(high, low) >= min_docs
-    hot_hits = {h.tobytes() for h in np.stack([high, low], axis=1)[often].astype("<i8")}
+    hot_shard = spark.sparkContext.broadcast((hot_index.mph.to_bytes(), hot_index.prints.tobytes(), hot_index.counts.tobytes()))
 
     n_shards = max(LEAST_SHARDS, -(-total // KEYS_PER_SHARD))
     shard = F.pmod(F.col("high"), F.lit(n_shards)).alias("shard")
@@ -161,12 +166,12 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     if len(hot):
         probes = probes.join(F.broadcast(spark.createDataFrame(hot[["high", "low"]], "high long, low long")), ["high", "low"], "left_anti").select("shard", "doc_id", "text_hash", "high", "low")
     hits = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe_shard(min_docs), f"doc_id {id_type}, text_hash long, hit binary")
-    by_doc = hits.groupBy(F.col("doc_id").alias("hit_doc_id"), F.col("text_hash").alias("hit_text_hash")).agg(F.collect_set("hit").alias("line_hits"))
+    hit_id, hit_hash, found, out = (unused(docs, c) for c in ("hit_doc_id", "hit_text_hash", "line_hits", "line_answer"))
+    by_doc = hits.groupBy(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).agg(F.collect_set("hit").alias(found))
 
-    left = docs.withColumn("line_text", text_or_empty()).withColumn("line_text_hash", F.xxhash64("line_text"))
-    joined = left.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.col("line_text_hash") == F.col("hit_text_hash")), "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "line_text", "line_hits").mapInArrow(_drop_lines(schema, min_chars, hot_hits), schema)
+    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text_or_empty()) == F.col(hit_hash)), "left")
+    answered = joined.withColumn(out, _drop_lines(min_docs, min_chars, hot_shard)(text_or_empty(), F.col(found)))
+    return answered.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(out)[c].alias(c) for c in ("kept_text", "n_lines", "n_dropped")])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
