@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, cut, partitions, text_or_empty, without
+from .common import BLANK_CLASS, cut, partitions, text_or_empty, unused, without
 
 RANGES_PER_PARTITION = 4
 
 
 def _ticket() -> Column:
-    """A document's place in the shuffled order of its source."""
-    return F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), text_or_empty()))
+    """A document's place in the shuffled order of its source: null and empty values, and where one ends and the next begins, are told apart."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("-")) for c in (F.col("doc_id").cast("string"), F.col("source").cast("string"), text_or_empty())]
+    return F.md5(F.concat(*parts))
 
 
 def fill_levels(sources: DataFrame, weight: str, budget: Column, max_epochs: int) -> DataFrame:
@@ -105,9 +106,11 @@ def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3) ->
     queue together and are taken alike. Reruns agree, as the shuffle order is an md5 of the row. doc_id, source and text
     may be null. An empty table gives no rows. Columns of docs that are named like an output column are replaced.
     """
-    plan = mix_plan(docs, weights, max_epochs).select(F.col("ticket").alias("_ticket"), "size", "source_size", "target", "taken")
-    own = without(docs, "size", "source_size", "target", "taken", "_ticket", "_own_ticket")
-    return own.withColumn("_own_ticket", _ticket()).join(plan, F.col("_own_ticket") == F.col("_ticket")).drop("_own_ticket", "_ticket")
+    ticket, key = unused(docs, "_ticket"), unused(docs, "_own_ticket")
+    # Documents of one ticket are equal in doc_id, source and text, so they have one row in the plan.
+    plan = mix_plan(docs, weights, max_epochs).select(F.col("ticket").alias(ticket), "size", "source_size", "target", "taken")
+    own = without(docs, "size", "source_size", "target", "taken")
+    return own.withColumn(key, _ticket()).join(plan, F.col(key) == F.col(ticket)).drop(key, ticket)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +125,7 @@ OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS source_key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce(source, '') || chr(1) || coalesce(text, '')) AS ticket
+         md5(coalesce(length(doc_id::VARCHAR) || '=' || doc_id, '-') || coalesce(length(source) || '=' || source, '-') || length(coalesce(text, '')) || '=' || coalesce(text, '')) AS ticket
   FROM documents
 ), rows AS (
   SELECT doc_id, source, source_key, size, ticket, count(*) AS copies, sum(size) AS words FROM docs GROUP BY doc_id, source, source_key, size, ticket
