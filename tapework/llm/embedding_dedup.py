@@ -1,13 +1,17 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
-Trees are grown for each label on a bounded sample of distinct vectors: a node splits its sample by a random
-direction at the median, and vectors near the median go to both sides (spill), so that near ones are rarely parted.
-Every vector is passed down all trees; vectors are compared within leaves, in blocks, by cosine in double precision. A pair
-that meets in several leaves is counted in the first of them only, so links are counted without writing out
-pairs; what leaves the leaf is each vector's number of links and a spanning forest of them. The forests' union is
-followed to components.
-
-Skew: equal vectors of a label are one row with a count before the trees see them.
+In each tree, a node of too many vectors is split by their projections on a random direction, one for each tree and level; the
+thresholds are quantiles of a sample of the node, and vectors between them go to both sides (spill), so that near ones are
+rarely parted. Vectors are compared within leaves, in blocks, by cosine in double precision. A pair that meets in several
+leaves is counted in the first of them only, so links are counted without writing out pairs; what leaves the leaf is each
+vector's number of links and a spanning forest of them. The forests' union is followed to components.
+
+Scale: trees grow round by round over a table of projections, some levels in each, and every node is sampled anew, so leaves
+keep their size however many vectors there are. The spill shrinks with the depth, so a vector is in a bounded number of leaves
+(about 3 of each tree). No tree goes to the driver: a row meets the thresholds of its own node.
+
+Skew: equal vectors of a label are one row with a count before the trees see them. A node that no direction splits (nearly
+equal vectors) is compared in pairs of blocks, each pair in a task of its own.
 """
 
 from __future__ import annotations
@@ -20,99 +24,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut
 from .components import connected_components
 
 TREES = 8
-#: Distinct vectors that the trees are grown on, and how many of all vectors a leaf shall hold about.
-SAMPLE = 50_000
-LEAF_ROWS = 2_048
-LEAST_SAMPLE = 32
-#: Between these quantiles of its sample a node's vectors go to both sides.
-SPILL = (0.35, 0.65)
+#: Rows that a leaf shall have about, and beyond which a node is split again.
+LEAF_ROWS = 256
+MOST_ROWS = 2 * LEAF_ROWS
+#: Rows of a node's sample about, the least that a split is made on, and levels that are grown in a round.
+SAMPLE = 1_024
+LEAST_SAMPLE = 16
+LEVELS = 5
+#: Half of the share of a node's rows that go to both sides, at the root, and what becomes of it from level to level.
+SPILL, SPILL_SHRINKS = 0.15, 0.75
+MOST_LEVELS = 48
 BLOCK = 1_024
-MOST_DEPTH = 40
-
-
-def grow(sample: np.ndarray, rows_each: float, rng: np.random.Generator) -> list[tuple]:
-    """A tree as a list of nodes: (direction, low, high, left, right), or () for a leaf. sample: vectors of length 1."""
-    nodes: list[tuple] = []
-
-    def split(x: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append(())
-        if len(x) * rows_each <= LEAF_ROWS or len(x) < LEAST_SAMPLE or depth >= MOST_DEPTH:
-            return at
-        direction = rng.normal(size=x.shape[1])
-        p = x @ direction
-        low, high = np.quantile(p, SPILL)
-        to_left, to_right = p <= high, p >= low
-        if to_left.all() or to_right.all():  # nothing to tell apart
-            return at
-        left = split(x[to_left], depth + 1)
-        right = split(x[to_right], depth + 1)
-        nodes[at] = (direction, float(low), float(high), left, right)
-        return at
-
-    split(sample, 0)
-    return nodes
-
-
-def leaves(tree: list[tuple], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for every leaf that each vector comes to."""
-    rows, found, open_ = [], [], [(0, np.arange(len(x)))]
-    while open_:
-        node, at = open_.pop()
-        if not len(at):
-            continue
-        if not tree[node]:
-            rows.append(at)
-            found.append(np.full(len(at), node))
-            continue
-        direction, low, high, left, right = tree[node]
-        p = x[at] @ direction
-        open_ += [(left, at[p <= high]), (right, at[p >= low])]
-    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+NODE = ["label", "size", "tree", "path"]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _route(shared, trees: int):
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor all vanish; cosines are the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _project(trees: int, levels: int):
+    """A row for each vector and tree, at the tree's root, with the projections for all levels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        directions: dict[int, np.ndarray] = {}
         for batch in batches:
-            labels, data = np.array(batch.column("label").to_pylist(), object), batch.column("data").to_pylist()
-            codes: list[list[int]] = [[] for _ in data]
-            groups: dict[tuple, list[int]] = {}
-            for k, (label, d) in enumerate(zip(labels, data, strict=True)):
-                groups.setdefault((label, len(d)), []).append(k)
-            for key, of in groups.items():
-                x = _unit(np.frombuffer(b"".join(data[k] for k in of), "<f8").reshape(len(of), -1))
-                for tree in range(trees):
-                    row, leaf = leaves(forest[key][tree], x) if key in forest else (np.arange(len(of)), np.zeros(len(of), np.int64))
-                    for r, node in zip(row.tolist(), leaf.tolist(), strict=True):
-                        codes[of[r]].append((tree << 32) + node)
-            codes = [sorted(c) for c in codes]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "copies", "data")), pa.array(codes, pa.list_(pa.int64()))], ["rep", "label", "copies", "data", "codes"])
+            sizes, data = batch.column("size").to_numpy(), batch.column("data").to_pylist()
+            for size in np.unique(sizes).tolist():
+                of, dim = np.flatnonzero(sizes == size), size // 8
+                if size not in directions:
+                    directions[size] = np.concatenate([np.random.default_rng([11, tree]).normal(size=(levels, dim)) for tree in range(trees)]).T
+                p = _unit(np.frombuffer(b"".join(data[k] for k in of), "<f8").reshape(len(of), dim)) @ directions[size]
+                rows = pa.array(np.repeat(of, trees))
+                p = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * levels), pa.array(p.astype(np.float32).ravel()))
+                own = [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(of))), pa.array(np.ones(len(rows), np.int64)), p]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("rep", "label", "size")), *own], ["rep", "label", "size", "tree", "path", "p"])
 
     return run
 
 
+def grow(p: np.ndarray, n: int, first: int) -> np.ndarray:
+    """Thresholds (low, high) of a node's next levels, in the order of a heap; NaN where a leaf is.
+
+    p: the sample's projections for all levels, n: the node's rows, first: its level.
+    """
+    out = np.full(2 * (2**LEVELS - 1), np.nan)
+
+    def split(at: np.ndarray, heap: int, level: int) -> None:
+        if n * len(at) / len(p) <= LEAF_ROWS or len(at) < LEAST_SAMPLE or heap >= 2**LEVELS or level >= p.shape[1]:
+            return
+        spill = SPILL * SPILL_SHRINKS**level
+        low, high = np.quantile(p[at, level], (0.5 - spill, 0.5 + spill))
+        left, right = p[at, level] <= high, p[at, level] >= low
+        if left.all() or right.all():  # nothing to tell apart
+            return
+        out[2 * heap - 2 : 2 * heap] = low, high
+        split(at[left], 2 * heap, level + 1)
+        split(at[right], 2 * heap + 1, level + 1)
+
+    split(np.arange(len(p)), 1, first)
+    return out
+
+
+def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    *node, n = key
+    return pd.DataFrame([[*node, grow(np.stack(rows["p"].to_numpy()), int(n), int(node[-1]).bit_length() - 1)]], columns=[*NODE, "thresholds"])
+
+
+def descend(p: np.ndarray, thresholds: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) for every leaf that each row comes to from the node of its path."""
+    level = np.frexp(path.astype(float))[1] - 1
+    row, heap, depth, rows, paths = np.arange(len(p)), np.ones(len(p), np.int64), 0, [], []
+    while len(row):
+        low, high = (thresholds[row, 2 * heap - 2], thresholds[row, 2 * heap - 1]) if depth < LEVELS else (np.full(len(row), np.nan),) * 2
+        leaf = np.isnan(low)
+        rows.append(row[leaf])
+        paths.append((path[row[leaf]] << depth) + heap[leaf] - (1 << depth))
+        row, heap, low, high = row[~leaf], heap[~leaf], low[~leaf], high[~leaf]
+        value = p[row, level[row] + depth] if len(row) else np.zeros(0)
+        left, right = value <= high, value >= low
+        row, heap, depth = np.concatenate([row[left], row[right]]), np.concatenate([2 * heap[left], 2 * heap[right] + 1]), depth + 1
+    return np.concatenate(rows) if rows else row, np.concatenate(paths) if paths else heap
+
+
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            p, thresholds = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("p", "thresholds"))
+            rows, paths = descend(p, thresholds, batch.column("path").to_numpy())
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rep", "label", "size", "tree")), pa.array(paths), batch.column("p").take(at)], ["rep", "label", "size", "tree", "path", "p"])
+
+
+def find_leaves(reps: DataFrame, trees: int) -> DataFrame:
+    """rep, label, size and code: the leaves that each vector (rep, label, size, data) comes to. A label's vectors may be one leaf."""
+    groups = cut(reps.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")))
+    most = groups.agg(F.max("n")).first()[0] or 0
+    whole = reps.join(groups, ["label", "size"])
+    leaves = [whole.where(F.col("n") <= LEAF_ROWS).select("rep", "label", "size", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("path"))]
+    if most > LEAF_ROWS:
+        levels = min(MOST_LEVELS, int(np.ceil(np.log2(most / LEAF_ROWS))) * 2 + LEVELS)
+        shape = f"rep long, label {reps.schema['label'].dataType.simpleString()}, size int, tree int, path long, p array<float>"
+        rows = cut(whole.where(F.col("n") > LEAF_ROWS).select("rep", "label", "size", "data").mapInArrow(_project(trees, levels), shape))
+        bound = LEAF_ROWS
+        while True:
+            big = cut(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound))
+            if big.isEmpty():
+                leaves.append(rows.select("rep", *NODE))
+                break
+            counted = rows.join(big, NODE, "left")
+            leaves.append(counted.where("n is null").select("rep", *NODE))
+            open_ = counted.where("n is not null")
+            sample = open_.where(F.pmod(F.xxhash64("rep", "tree", "path"), F.lit(1 << 30)) < F.lit((1 << 30) * SAMPLE) / F.col("n"))
+            grown = cut(sample.groupBy(*NODE, "n").applyInPandas(_grow, ", ".join(f"{c} {reps.schema[c].dataType.simpleString() if c == 'label' else 'long' if c == 'path' else 'int'}" for c in NODE) + ", thresholds array<double>"))
+            met = open_.join(grown, NODE, "left")
+            split = F.coalesce(~F.isnan(F.get("thresholds", F.lit(0))), F.lit(False))
+            leaves.append(met.where(~split).select("rep", *NODE))
+            rows, bound = cut(met.where(split).select("rep", *NODE, "p", "thresholds").mapInArrow(_descend, shape)), MOST_ROWS
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return cut(out.select("rep", "label", "size", F.xxhash64("tree", "path").alias("code")))
+
+
 def _compare(least: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        code, n = int(key[-1]), len(rows)
+        code, first_block, last_block = (int(k) for k in key[-3:])
+        n, blocks = len(rows), rows["block"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(rows["data"]), "<f8").reshape(n, -1)
         norms, copies, reps = np.linalg.norm(x, axis=1), rows["copies"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
         width = max(map(len, rows["codes"]))
         codes = np.full((n, width), -1, np.int64)
+        held = np.zeros((n, width), bool)
         for k, c in enumerate(rows["codes"]):
-            codes[k, : len(c)] = c
+            codes[k, : len(c)], held[k, : len(c)] = c, True
         counted, linked = np.zeros(n, np.int64), np.zeros(n, bool)
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (x[a] @ x[b].T) / (norms[a][:, None] * norms[b][None, :]) >= least
+            hit = (x[a] @ x[b].T) / (norms[a][:, None] * norms[b][None, :]) >= least
+            # Two blocks meet here for the pairs between them; those within a block meet elsewhere.
+            return hit if first_block == last_block else hit & (blocks[a][:, None] != blocks[b][None, :])
 
         every = np.arange(n)
         for at in range(0, n, BLOCK):
@@ -121,12 +180,13 @@ def _compare(least: float):
                 i, j = np.nonzero(np.triu(hit, 1) if at == to else hit)
                 i, j = i + at, j + to
                 linked[i] = linked[j] = True
-                first = np.full(len(i), -1, np.int64)  # the smallest code that both have
+                first = np.zeros(len(i), np.int64)  # the smallest code that both have
+                open_ = np.ones(len(i), bool)
                 for k in range(width):
                     mine = codes[i, k]
-                    shared = (first < 0) & (mine >= 0) & (codes[j] == mine[:, None]).any(axis=1)
-                    first[shared] = mine[shared]
-                here = first == code
+                    shared = open_ & held[i, k] & ((codes[j] == mine[:, None]) & held[j]).any(axis=1)
+                    first[shared], open_[shared] = mine[shared], False
+                here = ~open_ & (first == code)
                 np.add.at(counted, i[here], copies[j[here]])
                 np.add.at(counted, j[here], copies[i[here]])
         parent = np.full(n, -1, np.int64)
@@ -152,13 +212,27 @@ def _compare(least: float):
     return run
 
 
+def _meetings(reps: DataFrame, trees: int) -> DataFrame:
+    """A row for each vector and each place where it is compared: a leaf, or of a leaf of too many rows a pair of blocks."""
+    leaves = find_leaves(reps, trees)
+    wide = leaves.groupBy("label", "size", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS)
+    blocks = F.coalesce(F.ceil(F.col("n") / MOST_ROWS), F.lit(1)).cast("int")
+    placed = leaves.join(wide, ["label", "size", "code"], "left").select("rep", F.struct("code", blocks.alias("blocks")).alias("place"))
+    places = placed.groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places"))  # some for each tree
+    each = reps.select("rep", "label", "size", "copies", "data").join(places, "rep").select("*", F.col("places.code").alias("codes"), F.explode("places").alias("place"))
+    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("place.blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.blocks") - 1)))
+    return each.select("rep", "label", "size", "copies", "data", "codes", "block", F.col("place.code").alias("code"), F.least("block", "other").alias("first_block"), F.greatest("block", "other").alias("last_block"))
+
+
 def embedding_dedup(vectors: DataFrame, least: float = 0.98, trees: int = TREES) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (the smallest vec_id reachable) and kept, for each row.
 
     vectors: vec_id, embedding and label. Rows are linked if their labels are equal and not null, their vectors are of as many
     components, and the cosine in double precision is at least `least`. Vectors that are null, zero or hold null or
     non-finite components link with nothing, not even with copies. Equal vectors of a label are linked, repeated rows
-    too. kept: vec_id is component_id. A null vec_id never names a component and is not kept. An empty table gives no rows.
+    too. Huge and tiny components count like any others. kept: vec_id is component_id. A null vec_id never names a component
+    and is not kept. Other columns don't matter, whatever they are named. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "embedding", "label")
@@ -173,24 +247,15 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, trees: int = TREES)
 
     def to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.array(v, "<f8").tobytes() for v in batch.column("v").to_pylist()]
+            data = [_in_range(np.array([v], "<f8"))[0].tobytes() for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(data, pa.binary())], [*names, "data"])
 
     names = ["rep", "k1", "k2", "least_id", "copies", "label"]
     label_type = vectors.schema["label"].dataType.simpleString()
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    reps = cut(groups.select(*names, "v").mapInArrow(to_binary, f"rep long, k1 long, k2 long, least_id {id_type}, copies long, label {label_type}, data binary"))
-
-    n = reps.count()
-    sample = reps.orderBy("k1", "k2").limit(SAMPLE).select("label", "data").toPandas()
-    rows_each = n / max(1, len(sample))
-    forest = {}
-    for (label, size), of in sample.groupby(["label", sample["data"].map(len)]):
-        x = _unit(np.frombuffer(b"".join(of["data"]), "<f8").reshape(len(of), -1))
-        forest[label, size] = [grow(x, rows_each, np.random.default_rng([11, tree])) for tree in range(trees)]
-    routed = reps.mapInArrow(_route(spark.sparkContext.broadcast(forest), trees), f"rep long, label {label_type}, copies long, data binary, codes array<bigint>")
-    dealt = routed.withColumn("code", F.explode("codes")).withColumn("size", F.length("data"))
-    found = cut(dealt.groupBy("label", "size", "code").applyInPandas(_compare(least), "rep long, links long, other long"))
+    reps = cut(groups.select(*names, "v").mapInArrow(to_binary, f"rep long, k1 long, k2 long, least_id {id_type}, copies long, label {label_type}, data binary").withColumn("size", F.length("data")))
+
+    found = cut(_meetings(reps, trees).groupBy("label", "size", "code", "first_block", "last_block").applyInPandas(_compare(least), "rep long, links long, other long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("rep <> other"), "rep", "other").withColumnRenamed("node", "rep")
     named = reps.select("rep", "k1", "k2", "least_id", "copies").join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
