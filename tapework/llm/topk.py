@@ -2,11 +2,13 @@
 
 Every vector's distances to many pivots are computed once and written beside it. By the triangle inequality the largest
 difference between a query's and a vector's distances to a pivot is a lower bound of their distance, hence an upper bound of
-their inner product. Within a block of vectors a query evaluates candidates in the order of these bounds and stops
-when the next bound is below its k-th best score so far.
+their inner product.
 
-Queries and vectors meet in blocks: each block of queries with each block of vectors. Only the best k of each meeting
-are shuffled on.
+Bounds eliminate twice. Vectors are dealt to blocks in the order of their nearest pivot and the distance to it, and queries
+likewise; a block's ranges of distances bound all of its vectors at once, and a query goes only to blocks whose bound reaches
+its first threshold, the k-th best score in a sample. Vectors meet only the query blocks that sent them a query. Within a
+block a query evaluates candidates in the order of their bounds and stops when the next bound is below its k-th best
+score so far. Only the best k of each meeting are shuffled on.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from .common import cut
 PIVOTS = 32
 #: Vectors that pivots and the first thresholds are taken from.
 SAMPLE = 2_048
+#: Vectors and queries of a block about, and candidates that are evaluated at once.
 BLOCK = 8_192
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 4_096
 CHUNK = 64
+#: Blocks whose ranges a task compares with a block of queries.
+RANGES = 256
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -40,13 +45,26 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _distances(pivots: dict[int, np.ndarray]):
+def _distances(pivots: dict[int, np.ndarray], samples: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Adds the distances, the nearest pivot and its distance, the squared norm, and of queries the first threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, dims = batch.column("whole").to_pylist(), batch.column("dim").to_pylist()
-            out = [np.linalg.norm(pivots[d] - np.array(v, float), axis=1).tobytes() if d in pivots else b"" for v, d in zip(whole, dims, strict=True)]
-            data = [np.array(v, "<i8").tobytes() for v in whole]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "dim", "is_query")), pa.array(data, pa.binary()), pa.array(out, pa.binary())], ["row", "vec_id", "dim", "is_query", "data", "distances"])
+            whole, dims, rows = batch.column("whole").to_pylist(), batch.column("dim").to_pylist(), batch.column("row").to_pylist()
+            data, out, cells, near, norms, first = [], [], [], [], [], []
+            for v, d, row, asks in zip(whole, dims, rows, batch.column("is_query").to_pylist(), strict=True):
+                x = np.array(v, "<i8")
+                far = np.linalg.norm(pivots[d] - x, axis=1) if d in pivots else np.zeros(0)
+                data.append(x.tobytes())
+                out.append(far.tobytes())
+                cells.append(int(far.argmin()) if len(far) else -1)
+                near.append(float(far.min()) if len(far) else 0.0)
+                norms.append(float((x.astype(float) ** 2).sum()))
+                sample_rows, sample = samples.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.int64)))
+                # k vectors of the sample reach this, so nothing below it can be among the best.
+                first.append(_kth(_dot(sample[sample_rows != row], x), k) if asks else 0.0)
+            own = [pa.array(data, pa.binary()), pa.array(out, pa.binary()), pa.array(cells, pa.int32()), *(pa.array(c, pa.float64()) for c in (near, norms, first))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "dim", "is_query")), *own], ["row", "vec_id", "dim", "is_query", "data", "distances", "cell", "near", "norm", "first"])
 
     return run
 
@@ -67,22 +85,42 @@ def _kth(scores: np.ndarray, k: int) -> float:
     return -np.inf if len(scores) < k else float(np.partition(scores.astype(float), len(scores) - k)[len(scores) - k])
 
 
-def _search(k: int, samples: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _bound(query_norms: np.ndarray, norms: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The most that inner products can be, by squared norms and a lower bound of the distance; with room for rounding."""
+    bound = (query_norms + norms - apart**2) / 2
+    return bound + 1e-6 * (1 + np.abs(query_norms) + np.abs(norms))
+
+
+def _range_of_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    d = _matrix(rows["distances"], "<f8", len(rows))
+    low, high = (f(axis=0) if d.shape[1] else np.zeros(0) for f in (d.min, d.max)) if len(rows) else (np.zeros(0),) * 2
+    return pd.DataFrame({"block": [key[0]], "dim": [key[1]], "low": [low.tobytes()], "high": [high.tobytes()], "norm": [rows["norm"].max()]})
+
+
+def _route(queries: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+    """The blocks that each query has to go to."""
+    if not len(queries) or not len(ranges):
+        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("row", "query_block", "block")})
+    d, low, high = _matrix(queries["distances"], "<f8", len(queries)), _matrix(ranges["low"], "<f8", len(ranges)), _matrix(ranges["high"], "<f8", len(ranges))
+    out, norms, first = [], queries["norm"].to_numpy(), queries["first"].to_numpy()
+    for at, (lo, hi, norm) in enumerate(zip(low, high, ranges["norm"].to_numpy(), strict=True)):
+        apart = np.maximum(d - hi, lo - d).max(axis=1, initial=0)
+        out.append((np.flatnonzero(_bound(norms, norm, apart) >= first), at))
+    asked = np.concatenate([q for q, _ in out])
+    block = np.repeat(ranges["block"].to_numpy(), [len(q) for q, _ in out])
+    return pd.DataFrame({"row": queries["row"].to_numpy()[asked], "query_block": queries["query_block"].iloc[0], "block": block}).astype("int64")
+
+
+def _search(k: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(block):
-            dim = int(queries["dim"].iloc[0])
             q, x = _matrix(queries["data"], "<i8", len(queries)), _matrix(block["data"], "<i8", len(block))
             dq, dx = _matrix(queries["distances"], "<f8", len(queries)), _matrix(block["distances"], "<f8", len(block))
-            ids, rows = block["vec_id"].to_numpy(), block["row"].to_numpy()
-            norms = (x.astype(float) ** 2).sum(axis=1)
-            sample_rows, sample = samples.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
+            ids, rows, norms = block["vec_id"].to_numpy(), block["row"].to_numpy(), block["norm"].to_numpy()
             for n in range(len(q)):
-                own = queries["row"].iloc[n]
-                # k vectors of the sample reach this, so nothing below it can be among the best.
-                best = _kth(_dot(sample[sample_rows != own], q[n]), k)
-                bound = (float((q[n].astype(float) ** 2).sum()) + norms - np.abs(dx - dq[n]).max(axis=1, initial=0) ** 2) / 2
-                bound = bound + 1e-6 * (1 + np.abs(bound))  # for rounding
+                own, best = queries["row"].iloc[n], queries["first"].iloc[n]
+                bound = _bound(queries["norm"].iloc[n], norms, np.abs(dx - dq[n]).max(axis=1, initial=0))
                 order = np.flatnonzero((bound >= best) & (rows != own))
                 order = order[np.argsort(-bound[order], kind="stable")]
                 got_at, got = [], []
@@ -96,6 +134,8 @@ def _search(k: int, samples: dict[int, tuple[np.ndarray, np.ndarray]]):
                 if got:
                     at, scores = np.concatenate(got_at), np.concatenate(got)
                     top = np.lexsort((ids[at], -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k])
+                    if any(abs(int(s)) >= 2**63 for s in scores[top]):
+                        raise OverflowError(f"a score of vector {queries['vec_id'].iloc[n]} doesn't fit 64 bits")
                     out["query_row"] += [own] * len(top)
                     out["query_id"] += [queries["vec_id"].iloc[n]] * len(top)
                     out["vec_id"] += ids[at[top]].tolist()
@@ -117,10 +157,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     vectors: vec_id and embedding; each component x becomes floor(scale * x), x as double. Candidates of a query are all rows
     but its own; rows that repeat a vec_id are candidates, and queries, of their own. Vectors that are null or hold null or
     non-finite components, and rows without vec_id, take no part. Vectors meet only vectors of as many components.
-    A query with fewer candidates returns all. An empty table gives no rows.
+    A query with fewer candidates returns all. A component or one of the best scores that doesn't fit 64 bits raises an error.
+    Other columns don't matter, whatever they are named. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     clean = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    too_large = F.raise_error(F.lit("a component doesn't fit 64 bits")).cast("long")
+    whole = F.transform("embedding", lambda x: F.when(F.abs(F.lit(scale) * x.cast("double")) < 2.0**63, F.floor(F.lit(scale) * x.cast("double"))).otherwise(too_large))
     rows = clean.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"), whole.alias("whole"))
     rows = cut(rows)
     sample = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("row", "dim", "whole").collect()
@@ -129,22 +172,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         of = [r for r in sample if r["dim"] == dim]
         samples[dim] = (np.array([r["row"] for r in of], np.int64), np.array([r["whole"] for r in of], np.int64).reshape(len(of), dim))
     chosen = {d: choose_pivots(x.astype(float), pivots) for d, (_, x) in samples.items()}
-    table = cut(rows.mapInArrow(_distances(chosen), "row long, vec_id long, dim int, is_query boolean, data binary, distances binary"))
+    shape = "row long, vec_id long, dim int, is_query boolean, data binary, distances binary, cell int, near double, norm double, first double"
     # A dimension that the sample lacks has no pivots, so its vectors are bounded by their norms alone.
-    n, n_queries = table.count(), table.where("is_query").count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    key = F.xxhash64("vec_id", "row")
-    to = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block")
-    each = table.select(F.pmod(key, F.lit(blocks)).alias("block"), to, "dim", "row", "vec_id", "data", "distances")
-    to = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    asked = table.where("is_query").select(to, F.pmod(F.shiftright(key, 20), F.lit(query_blocks)).alias("query_block"), "dim", "row", "vec_id", "data", "distances")
+    table = cut(rows.mapInArrow(_distances(chosen, samples, k), shape))
+    placed, asking = _dealt(table, BLOCK, "block"), _dealt(table.where("is_query"), QUERY_BLOCK, "query_block")
+    routed = cut(_routes(placed, asking))
+    queries = asking.join(routed, ["row", "query_block"])
+    wanted = routed.join(asking.select("row", "dim"), "row").select("block", "query_block", "dim").distinct()
     by = ["block", "query_block", "dim"]
-    asked, each = asked.withColumns({c: F.col(c).cast("long") for c in by}), each.withColumns({c: F.col(c).cast("long") for c in by})
-    met = asked.groupBy(*by).cogroup(each.groupBy(*by)).applyInPandas(_search(k, samples), "query_row long, query_id long, vec_id long, score long")
+    met = queries.groupBy(*by).cogroup(placed.join(wanted, ["block", "dim"]).groupBy(*by)).applyInPandas(_search(k), "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _dealt(table: DataFrame, rows: int, name: str) -> DataFrame:
+    """The table in blocks of about so many rows of one dimension that are near to each other: what shares a partition shares a block."""
+    n = max(1, -(-table.count() // rows))
+    dealt = table.repartitionByRange(n, "dim", "cell", "near", "row").withColumn(name, F.spark_partition_id().cast("long"))
+    return cut(dealt.select(name, "row", "vec_id", "dim", "data", "distances", "norm", "first"))
+
+
+def _routes(placed: DataFrame, asking: DataFrame) -> DataFrame:
+    """row, query_block and block: the blocks that a query's bound doesn't rule out. Ranges of blocks meet queries some at a time."""
+    ranges = cut(placed.select("block", "dim", "distances", "norm").groupBy("block", "dim").applyInPandas(_range_of_block, "block long, dim int, low binary, high binary, norm double"))
+    some = F.floor(F.col("block") / RANGES).alias("some")
+    meet = asking.select("query_block", "dim").distinct().join(ranges.select(some, "dim").distinct(), "dim")
+    left = asking.select("query_block", "row", "dim", "distances", "norm", "first").join(meet, ["query_block", "dim"])
+    right = ranges.select(some, "block", "dim", "low", "high", "norm").join(meet, ["some", "dim"])
+    by = ["query_block", "some", "dim"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_route, "row long, query_block long, block long")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of every embedding whose vec_id is divisible by 100."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
