@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_or_empty, without
+from .common import cut, partitions, some_at_a_time, text_or_empty, without
 from .components import connected_components
 
 SEED = 42
@@ -29,6 +29,8 @@ CHUNK = 65_536
 BLOCK = 2_048
 #: Rows of a block where most prints meet by chance.
 PART = 256
+#: Texts of a block of a candidate group about.
+GROUP = 256
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -53,7 +55,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            prints = [fingerprint(t, shingle) for _, texts in some_at_a_time(batch.column("text")) for t in texts.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "text_hash", "print"])
 
     return run
@@ -107,6 +109,8 @@ def _meet(radius: int):
     """Rows arrive sorted by (place, other): a place matters where an own half comes first and somebody else follows."""
 
     def groups(place: np.ndarray, other: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(place):
+            return
         heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         sizes = np.diff(np.concatenate([heads, [len(place)]]))
         a, b = [], []
@@ -125,18 +129,18 @@ def _meet(radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             new = [batch.column("place").to_numpy(), batch.column("other").to_numpy(), batch.column("print").to_numpy().view(np.uint64)]
             if not len(new[0]):
                 continue
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last place may go on in the next batch
-            if last:
-                yield from groups(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if held is not None:
-            yield from groups(*held)
+            last = int(np.searchsorted(new[0], new[0][-1]))  # the last place may go on in the next batch
+            if last or (held and held[-1][0][-1] != new[0][0]):
+                yield from groups(*(np.concatenate(x) for x in zip(*held, [c[:last] for c in new], strict=True)))
+                held = []
+            held.append([c[last:] for c in new])
+        if held:
+            yield from groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -213,7 +217,8 @@ def two_prints(hashes: np.ndarray) -> np.ndarray:
 def _two_prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([two_prints(shingles(t, shingle)) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            prints = [two_prints(shingles(t, shingle)) for _, texts in some_at_a_time(batch.column("text")) for t in texts.cast(pa.binary()).to_pylist()]
+            prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], ["doc_id", "text_hash", "print", "second"])
 
     return run
@@ -331,37 +336,102 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _verify(shingle: int, radius: int, least: float):
-    """text_hash and root of each text of a candidate group: the least text_hash that verified links lead to."""
+def _texts(rows: pa.Table, shingle: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """text_hash, both prints and the sets of shingles of texts."""
+    return rows["text_hash"].to_numpy(), [rows[c].to_numpy().view(np.uint64) for c in ("print", "second")], [shingles(t.encode(), shingle) for t in rows["text"].to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, first, second, texts in _by_key(batches, "component", "text_hash", "print", "second", "text"):
-            prints = [first.view(np.uint64), second.view(np.uint64)]
-            sets = [shingles(t.encode(), shingle) for t in texts]
-            open_, root = np.ones(len(hashes), bool), hashes.copy()
-            for seed in np.argsort(hashes).tolist():
-                if not open_[seed]:
-                    continue
-                open_[seed], front = False, [seed]
-                while front:
-                    at = front.pop()
-                    rest = np.flatnonzero(open_)
-                    _, near = _hits([p[at : at + 1] for p in prints], [p[rest] for p in prints], radius)
-                    for to in rest[near].tolist():
-                        if similar(sets[at], sets[to], least):
-                            open_[to], root[to] = False, hashes[seed]
-                            front.append(to)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(root)], ["text_hash", "root"])
+
+def _linked(hashes: list, others: list) -> pa.Table:
+    return pa.table({"text_hash": pa.array(hashes, pa.int64()), "other": pa.array(others, pa.int64())})
+
+
+def _verify_block(shingle: int, radius: int, least: float):
+    """A group of one block is walked from text to similar text; of a larger one each block's texts are held against its leader.
+
+    Gives text_hash and other: a link, or the text itself, or null where a text of a larger group isn't like its leader.
+    """
+
+    def run(members: pa.Table, leader: pa.Table) -> pa.Table:
+        if not len(members):
+            return _linked([], [])
+        hashes, prints, sets = _texts(members, shingle)
+        if members["blocks"][0].as_py() > 1:
+            own, own_prints, own_sets = _texts(leader, shingle)
+            _, near = _hits([p[:1] for p in own_prints], prints, radius)
+            like = {k for k in near.tolist() if similar(own_sets[0], sets[k], least)}
+            return _linked(hashes.tolist(), [int(own[0]) if k in like else None for k in range(len(hashes))])
+        open_, other = np.ones(len(hashes), bool), hashes.copy()
+        for seed in np.argsort(hashes).tolist():
+            if not open_[seed]:
+                continue
+            open_[seed], front = False, [seed]
+            while front:
+                at = front.pop()
+                rest = np.flatnonzero(open_)
+                _, near = _hits([p[at : at + 1] for p in prints], [p[rest] for p in prints], radius)
+                for to in rest[near].tolist():
+                    if similar(sets[at], sets[to], least):
+                        open_[to], other[to] = False, hashes[seed]
+                        front.append(to)
+        return _linked(hashes.tolist(), other.tolist())
 
     return run
 
 
+def _verify_rest(shingle: int, radius: int, least: float):
+    """Links between texts that aren't like their group's leader and a block of the group; those that join what isn't joined yet."""
+
+    def run(rest: pa.Table, members: pa.Table) -> pa.Table:
+        left, right = [], []
+        if len(rest) and len(members):
+            (a, a_prints, a_sets), (b, b_prints, b_sets) = _texts(rest, shingle), _texts(members, shingle)
+            root: dict[int, int] = {}
+
+            def find(k: int) -> int:
+                while (up := root.get(k, k)) != k:
+                    root[k] = k = root.get(up, up)
+                return k
+
+            for x, y in zip(*(p.tolist() for p in _hits(a_prints, b_prints, radius)), strict=True):
+                p, q = find(int(a[x])), find(int(b[y]))
+                if p != q and similar(a_sets[x], b_sets[y], least):
+                    root[q] = p
+                    left.append(int(a[x]))
+                    right.append(int(b[y]))
+        return _linked(left, right)
+
+    return run
+
+
+def _verified(members: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """text_hash and component of the texts that verified links join. members: component, text_hash, print, second, text and _first.
+
+    A group of many texts is dealt to blocks. Every block is held against the group's first text, which most are like; those that
+    aren't meet all blocks of their group. No task has more than two blocks, and links are followed as a table.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("_first").isNull(), "_first", "text_hash")).alias("least"))
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    dealt = cut(members.drop("_first").join(sizes.select("component", blocks.alias("blocks"), F.col("least.text_hash").alias("leader")), "component").withColumn("block", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int")))
+    leaders = dealt.where("text_hash = leader").select("component", "text_hash", "print", "second", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    key, shape = ["component", "block"], "text_hash long, other long"
+    found = cut(dealt.groupBy(*key).cogroup(leaders.groupBy(*key)).applyInArrow(_verify_block(shingle, radius, least), shape))
+    rest = dealt.join(found.where("other IS NULL").select("text_hash"), "text_hash")
+    counts = rest.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("rest_blocks"))
+    rest = cut(rest.join(counts, "component").withColumn("rest_block", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("rest_blocks")).cast("int")))
+    key = ["component", "rest_block", "block"]
+    asked = rest.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = dealt.join(counts, "component").withColumn("rest_block", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
+    more = asked.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(_verify_rest(shingle, radius, least), shape)
+    nodes = connected_components(found.where("other IS NOT NULL").unionByName(more), "text_hash", "other")
+    return nodes.withColumnRenamed("node", "text_hash")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies: that of the smallest doc_id, with all columns of docs.
 
     Texts are linked if their fingerprints are near (see wide_links(); here of the distinct shingles) and their sets of
     shingles share at least `least` of their union; links are followed. Which row stays is as in simhash_dedup().
-    Fingerprints alone make candidate groups; a group's distinct texts come to one task, which compares their shingles.
+    Fingerprints alone make candidate groups, whose distinct texts are compared by their shingles, in blocks (see _verified()).
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -372,8 +442,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float
     group = texts.join(nodes, "text_hash").select("text_hash", "print", "second", "component", F.col("first.doc_id").alias("_first"))
     # Of a text's copies the one with the first doc_id brings the text; rows that repeat it too are dropped.
     brought = read.join(group, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["text_hash"])
-    dealt = brought.select("component", "text_hash", "print", "second", "text").repartition(partitions(docs.sparkSession), "component").sortWithinPartitions("component")
-    roots = cut(dealt.mapInArrow(_verify(shingle, radius, least), "text_hash long, root long"))
+    roots = _verified(brought.select("component", "text_hash", "print", "second", "text", "_first"), shingle, radius, least).withColumnRenamed("component", "root")
     named = texts.join(roots, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min("first").alias("first"))
     keep = named.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
     own = without(docs, "_keep_id", "_keep_hash", "_text_hash").withColumn("_text_hash", F.xxhash64(text_or_empty()))
