@@ -71,7 +71,7 @@ def _project(trees: int, levels: int):
     return run
 
 
-def grow(p: np.ndarray, n: int, first: int) -> np.ndarray:
+def grow(p: np.ndarray, n: int, first: int, leaf_rows: int = LEAF_ROWS) -> np.ndarray:
     """Thresholds (low, high) of a node's next levels, in the order of a heap; NaN where a leaf is.
 
     p: the sample's projections for all levels, n: the node's rows, first: its level.
@@ -79,7 +79,7 @@ def grow(p: np.ndarray, n: int, first: int) -> np.ndarray:
     out = np.full(2 * (2**LEVELS - 1), np.nan)
 
     def split(at: np.ndarray, heap: int, level: int) -> None:
-        if n * len(at) / len(p) <= LEAF_ROWS or len(at) < LEAST_SAMPLE or heap >= 2**LEVELS or level >= p.shape[1]:
+        if n * len(at) / len(p) <= leaf_rows or len(at) < LEAST_SAMPLE or heap >= 2**LEVELS or level >= p.shape[1]:
             return
         spill = SPILL * SPILL_SHRINKS**level
         low, high = np.quantile(p[at, level], (0.5 - spill, 0.5 + spill))
@@ -94,9 +94,13 @@ def grow(p: np.ndarray, n: int, first: int) -> np.ndarray:
     return out
 
 
-def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    *node, n = key
-    return pd.DataFrame([[*node, grow(np.stack(rows["p"].to_numpy()), int(n), int(node[-1]).bit_length() - 1)]], columns=[*NODE, "thresholds"])
+def _grow(leaf_rows: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *node, n = key
+        thresholds = grow(np.stack(rows["p"].to_numpy()), int(n), int(node[-1]).bit_length() - 1, leaf_rows)
+        return pd.DataFrame([[*node, thresholds]], columns=[*NODE, "thresholds"])
+
+    return run
 
 
 def descend(p: np.ndarray, thresholds: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +122,7 @@ def descend(p: np.ndarray, thresholds: np.ndarray, path: np.ndarray) -> tuple[np
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            p, thresholds = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("p", "thresholds"))
+            p, thresholds = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("p", "thresholds"))
             rows, paths = descend(p, thresholds, batch.column("path").to_numpy())
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rep", "label", "size", "tree")), pa.array(paths), batch.column("p").take(at)], ["rep", "label", "size", "tree", "path", "p"])
@@ -144,9 +148,10 @@ def find_leaves(reps: DataFrame, trees: int) -> DataFrame:
             leaves.append(counted.where("n is null").select("rep", *NODE))
             open_ = counted.where("n is not null")
             sample = open_.where(F.pmod(F.xxhash64("rep", "tree", "path"), F.lit(1 << 30)) < F.lit((1 << 30) * SAMPLE) / F.col("n"))
-            grown = cut(sample.groupBy(*NODE, "n").applyInPandas(_grow, ", ".join(f"{c} {reps.schema[c].dataType.simpleString() if c == 'label' else 'long' if c == 'path' else 'int'}" for c in NODE) + ", thresholds array<double>"))
+            grown = cut(sample.groupBy(*NODE, "n").applyInPandas(_grow(LEAF_ROWS), ", ".join(f"{c} {reps.schema[c].dataType.simpleString() if c == 'label' else 'long' if c == 'path' else 'int'}" for c in NODE) + ", thresholds array<double>"))
             met = open_.join(grown, NODE, "left")
-            split = F.coalesce(~F.isnan(F.get("thresholds", F.lit(0))), F.lit(False))
+            first = F.get("thresholds", F.lit(0))  # a node that isn't split has none
+            split = first.isNotNull() & ~F.isnan(F.coalesce(first, F.lit(0.0)))
             leaves.append(met.where(~split).select("rep", *NODE))
             rows, bound = cut(met.where(split).select("rep", *NODE, "p", "thresholds").mapInArrow(_descend, shape)), MOST_ROWS
     out = leaves[0]

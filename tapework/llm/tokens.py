@@ -101,6 +101,7 @@ class TextEncoder:
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.dtype.itemsize
         of_words, upto = gather(np.frombuffer(b"".join(data), self.dtype), sizes, pieces.indices.to_numpy())
         of_texts, starts = gather(of_words, np.diff(upto[apart.offsets.to_numpy()]), words.indices.to_numpy())
+        pa.default_memory_pool().release_unused()  # else what texts needed stays with the worker
         starts = starts[split.offsets.to_numpy()]
         if whole:
             parts = np.split(of_texts, starts[1:-1])

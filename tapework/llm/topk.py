@@ -196,7 +196,7 @@ def _routes(placed: DataFrame, asking: DataFrame) -> DataFrame:
     """row, query_block and block: the blocks that a query's bound doesn't rule out. Ranges of blocks meet queries some at a time."""
     ranges = cut(placed.select("block", "dim", "distances", "norm").groupBy("block", "dim").applyInPandas(_range_of_block, "block long, dim int, low binary, high binary, norm double"))
     some = F.floor(F.col("block") / RANGES).alias("some")
-    meet = asking.select("query_block", "dim").distinct().join(ranges.select(some, "dim").distinct(), "dim")
+    meet = cut(asking.select("query_block", "dim").distinct().join(ranges.select(some, "dim").distinct(), "dim"))
     left = asking.select("query_block", "row", "dim", "distances", "norm", "first").join(meet, ["query_block", "dim"])
     right = ranges.select(some, "block", "dim", "low", "high", "norm").join(meet, ["some", "dim"])
     by = ["query_block", "some", "dim"]

@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on the rows that break things."""
 
+import itertools
 import math
 import re
 import zlib
@@ -8,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -63,7 +65,8 @@ def lines_by_hand(rows, least):
 
 @pytest.mark.parametrize("least", [2, 4])
 def test_line_dedup(docs, least):
-    got = line_dedup.line_dedup(clashing(docs, "kept_text", "n_lines", "line_hits"), min_docs=least)
+    got = line_dedup.line_dedup(clashing(docs, "kept_text", "n_lines", "line_hits", "hit_doc_id", "hit_text_hash", "line_answer"), min_docs=least)
+    assert got.columns == [*docs.columns, "line_hits", "hit_doc_id", "hit_text_hash", "line_answer", "kept_text", "n_lines", "n_dropped"]
     assert sorted(((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == lines_by_hand(ROWS, least)
 
 
@@ -249,7 +252,9 @@ def near_copies():
     return [*rows, (2_000, rows[0][1]), (2_001, rows[0][1].upper()), (2_002, None), (2_003, "  "), (None, "alone")]
 
 
-def test_pipeline_finds_copies_of_four_fifths(spark):
+@pytest.mark.parametrize("group", [256, 5])
+def test_pipeline_finds_copies_of_four_fifths(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rows = near_copies()
     of = [set(zip(*[w[i:] for i in range(5)], strict=False)) if len(w := (t or "").lower().split()) > 5 else {tuple(w)} for _, t in rows]
     root, wide, reached, alike = list(range(len(rows))), 0, 0, 0
@@ -273,6 +278,24 @@ def test_pipeline_finds_copies_of_four_fifths(spark):
     assert sorted(math.inf if r["doc_id"] is None else r["doc_id"] for r in got) == sorted(best.values())
 
 
+@pytest.mark.parametrize("group", [256, 16])
+def test_group_of_many_near_copies(spark, monkeypatch, group):
+    """A chain of texts, each near the next but not to the first, and a crowd around one: links are followed over all blocks."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(2)
+    words = [f"w{x}" for x in rng.integers(0, 9_000, 200)]
+    rows = []
+    for k in range(60):  # the chain: four words more are changed each time
+        if k:
+            words = [*words[: 3 * k], f"c{k}", *words[3 * k + 1 :]]
+        rows.append((k, " ".join(words)))
+    crowd = [f"v{x}" for x in rng.integers(0, 9_000, 300)]
+    for k in range(80):
+        rows.append((1_000 + k, " ".join([*crowd[: 2 * k], f"d{k}", *crowd[2 * k + 1 :]])))
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1_000]
+
+
 def test_wide_links_find_all(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
@@ -300,6 +323,14 @@ def test_mixing(docs, nothing):
     assert sorted(zip(got["doc_id"].astype(str), got["taken"], strict=True)) == sorted(zip(again["doc_id"].astype(str), again["taken"], strict=True))
 
 
+def test_mixing_tells_rows_apart(spark):
+    """Null and empty sources, and a sign that could end a source, don't make two rows one."""
+    rows = [(1, "x y", None), (1, "x y", ""), (2, "a b c", "s"), (3, "b", "a\x01"), (3, "\x01b", "a"), (2, "a b c", "s")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_ticket", F.lit("own"))).collect()
+    assert sorted((r["doc_id"], r["text"], str(r["source"])) for r in got) == sorted((a, b, str(c)) for a, b, c in rows)
+    assert {r["_ticket"] for r in got} == {"own"}
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 3}" if i % 2 else "s0", 1) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
@@ -330,7 +361,7 @@ def vectors(spark):
 
 
 def test_embedding_dedup(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 60)
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 40)
     frame, rows = vectors(spark)
     good = [r for r in rows if r[1] and r[2] is not None and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1])]
     links = {r[0]: set() for r in rows}
@@ -339,7 +370,7 @@ def test_embedding_dedup(spark, monkeypatch):
             if a[2] == b[2] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) >= 0.98:
                 links[a[0]].add(b[0])
                 links[b[0]].add(a[0])
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(frame).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(clashing(frame, "rep", "size", "code", "k1", "copies")).collect()}
     assert len(got) == len(rows)
     assert all(got[i]["n_links"] <= len(links[i]) for i in links)
     assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(map(len, links.values()))
@@ -348,18 +379,86 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.embedding_dedup(frame.limit(0)).count() == 0
 
 
-def test_top_k(spark):
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.001e200]), (3, [1e-320, 1e-320]), (4, [5.0, 5.0]), (5, [-1.0, 1.0]), (6, [1.7e308, -1.7e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4), (3, 1)), 5: (0, 5), 6: (0, 6)}
+
+
+def test_vectors_that_no_direction_splits(spark, monkeypatch):
+    """A label of nearly equal vectors is one leaf of many blocks: every link is counted once."""
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "MOST_ROWS", 32)
+    monkeypatch.setattr(embedding_dedup, "MOST_LEVELS", 1)
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.ones(8) + 1e-4 * rng.normal(size=8)).tolist(), 1) for i in range(150)] + [(1000, [-1.0] * 8, 1)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i]["n_links"] == 149 and got[i]["component_id"] == 0 for i in range(150)) and got[1000]["n_links"] == 0
+
+
+def test_recall_of_the_forest(spark, tmp_path):
+    """50,000 vectors of one label, clustered, with near copies around the limit: nine links of ten at least, and no wrong one."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(200, 48))
+    x = centers[rng.integers(0, 200, 40_000)] + 0.8 * rng.normal(size=(40_000, 48))
+    near = x[:10_000] + rng.uniform(0.05, 0.28, (10_000, 1)) * rng.normal(size=(10_000, 48))
+    x = np.concatenate([x, near])
+    offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), "label": np.ones(len(x), np.int64)}), tmp_path / "v.parquet", row_group_size=5_000)
+    frame = spark.read.parquet(str(tmp_path / "v.parquet"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = []
+    for at in range(0, len(x), 2_000):
+        links += (((unit[at : at + 2_000] @ unit.T) >= 0.98).sum(axis=1) - 1).tolist()
+    got = embedding_dedup.embedding_dedup(frame).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    recall = got.sum() / sum(links)
+    print(f"recall of the forest: {recall:.4f} of {sum(links) // 2} links")
+    assert (got <= np.array(links)).all() and recall >= 0.9
+
+
+def best_by_hand(whole, k=10):
+    out = []
+    for q in (i for i in whole if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q and len(whole[i]) == len(whole[q]))[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [8_192, 32])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "RANGES", 4)
     frame, rows = vectors(spark)
     whole = {r[0]: [math.floor(1024 * v) for v in r[1]] for r in rows if r[1] is not None and all(v is not None and math.isfinite(v) for v in r[1])}
-    wanted = []
-    for q in (i for i in whole if i % 100 == 0):
-        scored = sorted((-int(np.dot(whole[q], whole[i])), i) for i in whole if i != q and len(whole[i]) == len(whole[q]))[:10]
-        wanted += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
-    got = topk.top_k(frame, F.col("vec_id") % 100 == 0)
-    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    got = topk.top_k(clashing(frame, "row", "dim", "block", "is_query", "near"), F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == best_by_hand(whole)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_sends_queries_to_near_blocks(spark, monkeypatch):
+    """Clusters far from each other: most blocks never see a query, and the result is whole."""
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    sent = []
+    monkeypatch.setattr(topk, "cut", lambda df, cut=topk.cut: sent.append(cut(df)) or sent[-1])
+    rng = np.random.default_rng(12)
+    centers = np.linalg.qr(rng.normal(size=(12, 12)))[0] * 40
+    rows = [(i, (centers[i % 12] + rng.normal(size=12)).tolist()) for i in range(2_400)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == best_by_hand({i: [math.floor(1024 * v) for v in x] for i, x in rows})
+    routed = next(d for d in sent if d.columns == ["row", "query_block", "block"])
+    assert routed.count() < 0.3 * 24 * 24
+
+
+def test_top_k_beyond_64_bits(spark):
+    ask = lambda rows: topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    with pytest.raises(Exception, match="fit 64 bits"):
+        ask([(0, [4e6] * 64), (1, [4e6] * 64)])
+    with pytest.raises(Exception, match="fit 64 bits"):
+        ask([(0, [1e300]), (1, [1.0])])
+    assert [tuple(r) for r in ask([(0, [1e6] * 4), (1, [-1e6] * 4)])] == [(0, 1, 1, -4 * 1024**2 * 10**12)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
@@ -417,12 +516,63 @@ def test_toxicity(graded, docs, nothing):
     assert toxicity.score_toxicity(nothing, toxicity.fit_toxicity(nothing, labels)).count() == 0
 
 
+def test_composed_machine_is_its_parts_in_a_row():
+    """Against the transducers run one after the other over all short clauses and many long ones."""
+    rng, parts = np.random.default_rng(9), toxicity.grammar_parts()
+    clauses = [list(c) for n in range(4) for c in itertools.product(range(8), repeat=n)] + [rng.integers(0, 8, 20).tolist() for _ in range(500)]
+    for clause in clauses:
+        paths = [clause]
+        for part in parts:
+            paths = [out for p in paths for out in part.transduce(p)]
+        assert len(paths) == 1
+        assert toxicity.MACHINE.read(clause) == [toxicity._EMITTED.get(y, -1) for y in paths[0]]
+
+
+def outputs_by_hand(text, patterns):
+    """Rules on a clause's words, without automata."""
+    out = np.zeros(8)
+    for clause in re.split(r"[.!?;:\n]", text):
+        words = re.findall(r"[^\W\d_]+", clause)
+        weight = [max([w for p, w in patterns.items() if word == p or (p.endswith("*") and word.startswith(p[:-1]))], default=0) for word in words]
+        kind = ["insult" if w else next((k for k, of in (("before", toxicity.VERBS_BEFORE_TARGET), ("after", toxicity.VERBS_AFTER_TARGET), ("threat", toxicity.VERBS_WITH_TARGET), ("target", toxicity.TARGETS), ("not", toxicity.NEGATIONS), ("said", toxicity.REPORTS)) if word in of), "") for word, w in zip(words, weight, strict=True)]
+        aimed, heaviest = any(k in ("target", "threat") for k in kind), 0
+        for k, what in enumerate(kind):
+            denied, reported = "not" in kind[max(0, k - 3) : k], "said" in kind[:k]
+            last = kind[k - 1] if k else ""
+            if what == "insult":
+                out[2 if denied else 3 if reported else 1 if aimed else 0] += weight[k]
+                heaviest = max(heaviest, weight[k])
+            elif what == "threat" or (what == "target" and last == "before") or (what == "after" and last == "target"):
+                out[5 if denied or reported else 4] += 3
+                heaviest = max(heaviest, 3)
+        out[6], out[7] = max(out[6], heaviest), out[7] + (heaviest > 0)
+    return out
+
+
+def test_outputs_by_hand():
+    rng, patterns = np.random.default_rng(3), {"nitwit": 4.0, "block*": 2.5, "blockhead": 3.0}
+    grammar = toxicity.Grammar(patterns)
+    words = ["nitwit", "blockhead", "blocks", "unblock", "kill", "you", "te", "tuer", "matarte", "not", "said", "river", ".", "!", "he", "stone,"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words, 25))
+        assert grammar.outputs(text).tolist() == outputs_by_hand(text, patterns).tolist(), text
+
+
+def test_sample_of_repeated_ids(spark):
+    """A doc_id with many texts gives one, so the sample keeps its bound, and reruns agree."""
+    docs = spark.createDataFrame([(i % 5 + 1, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 6)], "doc_id long, toxic int")
+    got = [sorted(r["text"] for r in labelled.sample_texts(d, labelled.sample_labels(labels, "toxic", {1: 10})).collect()) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert len(got[0]) <= 5 and got[0] == got[1]
+
+
 def test_grammar_reads_clauses():
     grammar = toxicity.Grammar({"nitwit": 4.0, "block*": 4.0})
     score = lambda t: float(grammar.score(grammar.outputs(t)))
     assert score("you are a nitwit") > score("a nitwit") > score("he said it was a nitwit") > score("you are not a nitwit") > score("a fine day")
     assert score("what a blockhead") > score("a fine day") and score("unblock it") == score("a fine day")
-    assert score("i will kill you") > score("a fine day")
+    assert score("i will kill you") > score("i will not kill you") > score("you kill time") == score("a fine day")
+    assert score("je vais te tuer") > score("a fine day")
 
 
 def test_languages(spark, docs, nothing):
@@ -467,3 +617,54 @@ def test_empty_tables(nothing):
     assert packing.pack(nothing, VOCABULARY).count() == 0
     shards = token_shards.write_shards(nothing, VOCABULARY)
     assert token_shards.read_shards(shards, token_shards.write_index(shards)).count() == 0
+
+
+# -- the pipeline's stages
+
+STAGES = dict(corpus_pipeline.STAGES)
+ODD_COLUMNS = ("score", "predicted", "size", "target", "taken", "_time", "_row", "_ticket", "kept_text", "n_lines", "hit_doc_id", "_keep_id", "line_answer", "ids", "before")
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, graded, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('sf')}"
+    graded[1].write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, docs, nothing, sf_dir, name):
+    """Nulls, empty and very long texts, ties, repeated rows and other columns' names; and no rows at all."""
+    frame = clashing(docs, *ODD_COLUMNS)
+    got = STAGES[name](spark, frame, sf_dir)
+    rows = got.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS} and sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+    else:
+        assert got.columns == frame.columns and all(r[c] == "old" for r in rows for c in ODD_COLUMNS)
+    if name == "line_dedup":
+        assert len(rows) == len(ROWS) and all(r["n_chars"] == len(r["text"]) for r in rows)
+    if name == "simhash_near_dedup":
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(["1", "2", "3", "4", "7", "8", "9", "None"])
+    if name == "mix_sources":
+        assert not {4, 5, 6} & {r["doc_id"] for r in rows} and max(sum(r["doc_id"] == i for r in rows) for i in (1, 2, 3, 8)) <= 3
+    assert STAGES[name](spark, nothing, sf_dir).count() == 0
+
+
+def test_pipeline_by_hand(spark, graded, sf_dir):
+    """The stages over a table, against what each ought to keep."""
+    texts, labels, rows = graded
+    quality_of = {r[0]: r[1] for r in rows}
+    shared = [(1000 + i, f"Copyright notice of all\nown text number {i} with some words of its own {i * 7} {i * 13}", "en", "t", 1) for i in range(12)]
+    docs = texts.unionByName(spark.createDataFrame(shared, SCHEMA)).unionByName(texts.where("doc_id = 2").withColumn("doc_id", F.lit(5000).cast("long")))
+    kept = STAGES["quality_classifier"](spark, docs, sf_dir)
+    good = {r["doc_id"] for r in kept.collect()}
+    assert sum((i in good) == bool(q) for i, q in quality_of.items()) >= 0.97 * len(quality_of)
+    lines = STAGES["line_dedup"](spark, docs, sf_dir)
+    assert all("copyright" not in r["text"].lower() for r in lines.collect()) and lines.count() == docs.count()
+    once = STAGES["simhash_near_dedup"](spark, lines, sf_dir)
+    left = {r["doc_id"] for r in once.collect()}
+    assert 2 in left and 5000 not in left
+    docs.write.mode("overwrite").parquet(f"{sf_dir}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in pieces} <= good and 5000 not in {r["doc_id"] for r in pieces}
