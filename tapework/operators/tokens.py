@@ -21,10 +21,11 @@ def _with_position(df: DataFrame) -> DataFrame:
     return out.withColumns({"original_text": F.col("text"), "edited": F.lit(False)}).select(*TOKEN_COLUMNS)
 
 
-def _estimated(df: DataFrame, text: Column, start: Column, end: Column, prefix: Column) -> DataFrame:
-    cut = df.select("item_id", "utt", start.alias("_from"), end.alias("_to"), prefix.alias("_prefix"), F.posexplode(pieces(text)).alias("_at", "text"))
+def estimated_by_weight(df: DataFrame, key: list[str], text: Column, start: Column, end: Column, prefix: Column) -> DataFrame:
+    """The pieces of each text (key, _at from 0, text) with token_id and times dealt out by visual weight."""
+    cut = df.select(*key, start.alias("_from"), end.alias("_to"), prefix.alias("_prefix"), F.posexplode(pieces(text)).alias("_at", "text"))
     cut = cut.withColumn("_units", half_units(F.col("text")))
-    whole = Window.partitionBy("item_id", "utt")
+    whole = Window.partitionBy(*key)
     so_far = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumns({"_sum": F.sum("_units").over(so_far), "_total": F.sum("_units").over(whole), "_n": F.count(F.lit(1)).over(whole)})
     length = F.greatest(F.lit(1000), F.col("_to") - F.col("_from"))
@@ -41,7 +42,7 @@ def tokens_estimated(df: DataFrame, text: str = "text", start: str = "start_us",
     df: item_id, utt and the three columns; a text without pieces gives no token.
     """
     prefix = F.format_string("u%04d", "utt")
-    return _with_position(_estimated(df, F.col(text), F.col(start), F.col(end), prefix))
+    return _with_position(estimated_by_weight(df, ["item_id", "utt"], F.col(text), F.col(start), F.col(end), prefix))
 
 
 def tokens_from_words(utterances: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def tokens_from_words(utterances: DataFrame) -> DataFrame:
     )
     has_words = F.exists(F.coalesce("words", F.array()), lambda w: F.trim(F.coalesce(w["text"], F.lit(""))) != "")
     bare = utterances.where(~has_words)
-    estimated = _estimated(bare, F.col("text"), F.col("start_us"), F.col("end_us"), F.format_string("u%04d", "utt"))
+    estimated = estimated_by_weight(bare, ["item_id", "utt"], F.col("text"), F.col("start_us"), F.col("end_us"), F.format_string("u%04d", "utt"))
     return _with_position(timed.unionByName(estimated.select(*timed.columns)))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decision_queries, evaluation_queries, interval_queries, live_queries, segmentation_queries, text_queries
+from . import decision_queries, evaluation_queries, interval_queries, live_queries, sanitize_queries, segmentation_queries, text_queries
 
-MODULES = [interval_queries, decision_queries, text_queries, evaluation_queries, segmentation_queries, live_queries]
+MODULES = [interval_queries, decision_queries, text_queries, evaluation_queries, segmentation_queries, live_queries, sanitize_queries]
 
 
 def queries() -> dict:
