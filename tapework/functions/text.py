@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What a token is: a run of Latin letters, digits and joining signs, a run of blanks, or one other character.
 PIECE = r"(?s)[A-Za-z0-9_+\-./#]+|\s+|."
+BLANKS = " \t\n\x0b\x0c\r"
 #: What is left out when spans are compared.
 SPAN_NOISE = r"[\s，。！？!?；;：:,]"
 
@@ -18,9 +19,17 @@ def pieces(text: Column) -> Column:
 
 def half_units(text: Column) -> Column:
     """Visual weight in halves: an ASCII character counts 1, another 2, a blank 0; at least 1."""
-    shown = F.regexp_replace(text, r"\s", "")
-    ascii_only = F.regexp_replace(shown, r"[^\x00-\x7F]", "")
-    return F.greatest(F.lit(1), 2 * F.length(shown) - F.length(ascii_only)).cast("long")
+    shown = F.translate(text, BLANKS, "")
+    n = F.length(shown)
+    # A text of as many bytes as characters is all ASCII, which spares the pattern.
+    others = F.when(F.octet_length(shown) == n, 0).otherwise(n - F.length(F.regexp_replace(shown, r"[^\x00-\x7F]", "")))
+    return F.greatest(F.lit(1), n + others).cast("long")
+
+
+def half_units_of_pieces(text: Column) -> Column:
+    """The sum of half_units() over the pieces of a text: a run of blanks is a piece, and so weighs 1."""
+    ascii_only = F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    return (F.length(F.translate(ascii_only, BLANKS, "")) + F.regexp_count(text, F.lit(r"\s+")) + 2 * (F.length(text) - F.length(ascii_only))).cast("long")
 
 
 def fold(text: Column) -> Column:

@@ -1,16 +1,19 @@
-"""Alignment of a script to spoken tokens by staged unique anchors.
+"""Alignment of a script to spoken tokens by unique anchors and longest common subsequences between them.
 
-tokens: item_id, pos, token_id, text. scripts: item_id, script. Three passes with n-grams of 3, 2 and 1 units: in each, n-grams
-that occur once on both sides of a stretch that is still open are anchors, anchors that cross others are dropped, and
-equal neighbours of anchors join them. What stays open between matches is classified.
+tokens: item_id, pos, token_id, text. scripts: item_id, script. Three units in a row that occur once on both sides of an item are
+anchors, and those that cross others are dropped. In each stretch between anchors a longest common subsequence is paired,
+so text of which nothing occurs once is matched too. What stays open between matches is classified.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.shared import shared_path
+from ..functions.shared import stored
 from ..functions.text import fold
 
 ITEM = "item_id"
@@ -21,13 +24,6 @@ LEAST_RATIO = 0.55
 SHORT_REPLACE = 4
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a written table: each pass reads its predecessor's rows, not its plan."""
-    path = shared_path(df.sparkSession, "alignment")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def script_units(scripts: DataFrame) -> DataFrame:
     """item_id, unit (from 0), text, manual_break, punctuation: the lexical units of a script with the marks that follow them."""
     cut = scripts.select(ITEM, F.posexplode(F.regexp_extract_all(F.coalesce("script", F.lit("")), F.lit(LEXICAL), F.lit(0))).alias("_at", "text"))
@@ -49,38 +45,47 @@ def alignment_prefilter(tokens: DataFrame, units: DataFrame, least: float = LEAS
 
 
 def _grams(side: DataFrame, n: int) -> DataFrame:
-    """side (item_id, stretch, at, f) with gram, the n units from each place within its stretch."""
-    order = Window.partitionBy(ITEM, "stretch").orderBy("at")
-    parts = [F.lead("f", k).over(order) if k else F.col("f") for k in range(n)]
-    ends = F.lead("at", n - 1).over(order) if n > 1 else F.col("at")
-    return side.withColumns({"gram": F.concat_ws("\x01", *parts), "_end": ends}).where(F.col("_end") == F.col("at") + n - 1)
-
-
-def _pass(a: DataFrame, b: DataFrame, matched: DataFrame, n: int) -> DataFrame:
-    """More pairs (item_id, a, b): anchors of n units within stretches, and their equal neighbours."""
-    once = lambda side, name: _grams(side, n).groupBy(ITEM, "stretch", "gram").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias(name)).where("_n = 1").drop("_n")
-    anchors = once(a, "a").join(once(b, "b"), [ITEM, "stretch", "gram"]).select(ITEM, "stretch", "a", "b")
-    order = Window.partitionBy(ITEM, "stretch").orderBy("a")
+    """side (item_id, at, f) with gram, the n units from each place."""
+    order = Window.partitionBy(ITEM).orderBy("at")
+    return side.withColumn("gram", F.array(*[F.lead("f", k).over(order) for k in range(n)])).where(~F.exists("gram", lambda x: x.isNull()))
+
+
+def _calm(pairs: DataFrame) -> DataFrame:
+    """The pairs (item_id, a, b) that no other one crosses or shares a side with."""
+    order = Window.partitionBy(ITEM).orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min("b").over(order.rowsBetween(1, Window.unboundedFollowing))
-    calm = anchors.withColumns({"_lo": before, "_hi": after}).where("(_lo IS NULL OR _lo < b) AND (_hi IS NULL OR _hi > b)").select(ITEM, "stretch", "a", "b")
-    seeds = calm.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(ITEM, "stretch", (F.col("a") + F.col("_k")).alias("a"), (F.col("b") + F.col("_k")).alias("b")).distinct()
-    # Equal units on an anchor's diagonal that touch it join it: all equal pairs on the diagonal are cut into runs.
-    diagonals = seeds.select(ITEM, "stretch", (F.col("b") - F.col("a")).alias("_d")).distinct()
-    left = a.select(ITEM, "stretch", F.col("at").alias("a"), "f").join(diagonals, [ITEM, "stretch"]).withColumn("b", F.col("a") + F.col("_d"))
-    equal = left.join(b.select(ITEM, "stretch", F.col("at").alias("b"), "f"), [ITEM, "stretch", "b", "f"]).select(ITEM, "stretch", "a", "b", "_d")
-    line = Window.partitionBy(ITEM, "stretch", "_d").orderBy("a")
-    marked = equal.join(seeds.withColumn("_seed", F.lit(1)), [ITEM, "stretch", "a", "b"], "left")
-    marked = marked.withColumn("_run", F.col("a") - F.row_number().over(line))
-    marked = _cut(marked)
-    alive = marked.withColumn("_has", F.max("_seed").over(Window.partitionBy(ITEM, "stretch", "_d", "_run"))).where("_has = 1")
-    # Runs of different anchors may overlap in a or b; a unit keeps the pair of the seed, else of the smaller diagonal shift.
-    best = lambda side: F.row_number().over(Window.partitionBy(ITEM, side).orderBy(F.coalesce("_seed", F.lit(0)).desc(), F.abs("_d"), "_d"))
-    clean = alive.withColumns({"_x": best("a"), "_y": best("b")}).where("_x = 1 AND _y = 1")
-    inner = Window.partitionBy(ITEM, "stretch").orderBy("a")
-    clean = clean.withColumns({"_lo": F.max("b").over(inner.rowsBetween(Window.unboundedPreceding, -1)), "_hi": F.min("b").over(inner.rowsBetween(1, Window.unboundedFollowing))})
-    fresh = clean.where("(_lo IS NULL OR _lo < b) AND (_hi IS NULL OR _hi > b)").select(ITEM, "a", "b")
-    return matched.unionByName(fresh)
+    sides = {"_lo": before, "_hi": after, "_n": F.count(F.lit(1)).over(Window.partitionBy(ITEM, "a"))}
+    return pairs.withColumns(sides).where("(_lo IS NULL OR _lo < b) AND (_hi IS NULL OR _hi > b) AND _n = 1").select(ITEM, "a", "b")
+
+
+def _anchors(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
+    """Pairs (item_id, a, b) of n units in a row that occur once on both sides."""
+    once = lambda side, name: _grams(side, n).groupBy(ITEM, "gram").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias(name)).where("_n = 1").drop("_n")
+    starts = _calm(once(a, "a").join(once(b, "b"), [ITEM, "gram"]).select(ITEM, "a", "b"))
+    each = starts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(ITEM, (F.col("a") + F.col("_k")).alias("a"), (F.col("b") + F.col("_k")).alias("b"))
+    return _calm(each.distinct())
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of a longest common subsequence of a with each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two sequences, in rows of memory: halves of a meet the parts of b that suit them best."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) == 1:
+        found = np.flatnonzero(b == a[0])
+        return [(0, int(found[0]))] if len(found) else []
+    half = len(a) // 2
+    cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return common_subsequence(a[:half], b[:cut]) + [(half + x, cut + y) for x, y in common_subsequence(a[half:], b[cut:])]
 
 
 def _stretches(side: DataFrame, matched: DataFrame, name: str) -> DataFrame:
@@ -92,14 +97,24 @@ def _stretches(side: DataFrame, matched: DataFrame, name: str) -> DataFrame:
 
 def align_pairs(tokens: DataFrame, units: DataFrame) -> DataFrame:
     """item_id, a (token place) and b (unit place) of matched pairs, in order on both sides."""
-    a0 = _cut(tokens.select(ITEM, F.col("pos").alias("at"), fold(F.col("text")).alias("f")))
-    b0 = _cut(units.select(ITEM, F.col("unit").alias("at"), fold(F.col("text")).alias("f")))
-    matched = a0.select(ITEM, F.col("at").alias("a"), F.col("at").alias("b")).where(F.lit(False))
-    a, b = a0.withColumn("stretch", F.lit(0).cast("long")), b0.withColumn("stretch", F.lit(0).cast("long"))
-    for n in (3, 2, 1):
-        matched = _cut(_pass(a, b, matched, n))
-        a, b = _cut(_stretches(a0, matched, "a")), _cut(_stretches(b0, matched, "b"))
-    return matched
+    a = stored(tokens.select(ITEM, F.col("pos").alias("at"), fold(F.col("text")).alias("f")))
+    b = stored(units.select(ITEM, F.col("unit").alias("at"), fold(F.col("text")).alias("f")))
+    anchors = stored(_anchors(a, b))
+    key = [ITEM, "stretch"]
+    kinds = to_arrow_schema(a.select(ITEM).schema)
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One stretch, which its item bounds."""
+        left, right = left.sort_by("at"), right.sort_by("at")
+        number = {f: k for k, f in enumerate(set(left["f"].to_pylist()) | set(right["f"].to_pylist()))}
+        sides = [np.array([number[f] for f in side["f"].to_pylist()], np.int64) for side in (left, right)]
+        found = common_subsequence(*sides)
+        at = [side["at"].to_numpy()[[p[k] for p in found]] if found else np.zeros(0, np.int64) for k, side in enumerate((left, right))]
+        item = left[ITEM][0].as_py() if len(left) else None
+        return pa.table({ITEM: pa.array([item] * len(found), kinds.field(ITEM).type), "a": pa.array(at[0]), "b": pa.array(at[1])})
+
+    between = _stretches(a, anchors, "a").groupBy(*key).cogroup(_stretches(b, anchors, "b").groupBy(*key)).applyInArrow(pair, f"{ITEM} {a.schema[ITEM].dataType.simpleString()}, a long, b long")
+    return stored(anchors.unionByName(between))
 
 
 def align_script(tokens: DataFrame, scripts: DataFrame, least: float = LEAST_RATIO) -> dict[str, DataFrame]:
@@ -109,8 +124,8 @@ def align_script(tokens: DataFrame, scripts: DataFrame, least: float = LEAST_RAT
     corrected one by one (.96); others are spans: asr_only, script_only, and ambiguous where both are there. An item whose
     matches reach less than `least` of both lengths is rejected and its tokens stay as they are.
     """
-    tokens, units = _cut(tokens), _cut(script_units(scripts))
-    gate = _cut(alignment_prefilter(tokens, units, least))
+    tokens, units = stored(tokens), stored(script_units(scripts))
+    gate = stored(alignment_prefilter(tokens, units, least))
     passed = gate.where("passes").select(ITEM)
     near = tokens.join(passed, ITEM, "left_semi")
     pairs = align_pairs(near, units.join(passed, ITEM, "left_semi"))

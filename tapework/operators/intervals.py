@@ -118,17 +118,17 @@ def map_points(points: DataFrame, intervals: DataFrame, policy: str = "snap", po
 def map_tokens(tokens: DataFrame, keeps: DataFrame, bucket_us: int = 10_000_000) -> DataFrame:
     """Tokens on the cut timeline: those that overlap what is kept, from their first to their last overlap.
 
-    keeps don't overlap. Both sides meet in time buckets of one item, so a long recording isn't compared as a whole.
+    keeps don't overlap; pos numbers an item's tokens. Both sides meet in time buckets of one item, so a long recording isn't compared as a whole.
     source_start_us and source_end_us keep the old times; a token that would not last gets 40 to 300 ms of its length.
     """
     spans = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_us), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket_us)))
     steps = keep_steps(keeps).where("end_us > start_us").select(ITEM, F.col("start_us").alias("_ks"), F.col("end_us").alias("_ke"), "_before")
-    left = tokens.withColumn("_bucket", spans("start_us", "end_us"))
+    left = tokens.select(ITEM, "pos", "start_us", "end_us").withColumn("_bucket", spans("start_us", "end_us"))
     right = steps.withColumn("_bucket", spans("_ks", "_ke"))
     start, end = F.greatest("start_us", "_ks"), F.least("end_us", "_ke")
     met = left.join(right, [ITEM, "_bucket"]).where(end > start)
     met = met.withColumns({"_from": F.col("_before") + start - F.col("_ks"), "_to": F.col("_before") + end - F.col("_ks")})
-    found = met.groupBy(*tokens.columns).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    found = tokens.join(met.groupBy(ITEM, "pos").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")), [ITEM, "pos"])
     length = F.col("end_us") - F.col("start_us")
     to = F.when(F.col("_to") <= F.col("_from"), F.col("_from") + F.greatest(F.lit(40_000), F.least(F.lit(300_000), length))).otherwise(F.col("_to"))
     moved = found.withColumns({"source_start_us": F.col("start_us"), "source_end_us": F.col("end_us")})

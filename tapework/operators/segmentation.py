@@ -6,10 +6,14 @@ end_us. breaks: item_id, pos and kind (preferred, required, forbidden), as break
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import half_units
 from .scripts import split_phrases, strip_marks
@@ -113,33 +117,76 @@ def overlapping_chunks(tokens: DataFrame, window_us: int = 90_000_000, overlap_u
     return tokens.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
+def _by_item(known: DataFrame, columns: list[str], run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """run over the columns of each item, in order of pos, as arrays; what it returns gets the item's id."""
+    types = to_arrow_schema(known.select(ITEM).schema)
+
+    def whole(item: pa.Table) -> pa.Table:
+        item = item.sort_by("pos")
+        out = run({c: item[c].to_numpy() for c in columns})
+        n = len(next(iter(out.values())))
+        return pa.table({ITEM: pa.array([item[ITEM][0].as_py()] * n, types.field(ITEM).type), **{c: pa.array(v) for c, v in out.items()}})
+
+    return known.select(ITEM, *columns).groupBy(ITEM).applyInArrow(whole, f"{ITEM} {known.schema[ITEM].dataType.simpleString()}, {schema}")
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values)])
+
+
+def _to_tenth(x: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.floor(np.abs(x) * 10 + 0.5) / 10
+
+
+def _options(layout: Layout, at_once: int = 4_096):
+    """Options of one item; starts are taken some at a time, so that their candidates stay few."""
+    limit = layout.hard + 0.5
+
+    def run(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n, units, chars = len(t["pos"]), _sums(t["units"]), _sums(t["chars"])
+        width = lambda s, e: (units[e + 1] - units[s]) * layout.half_width + (chars[e + 1] - chars[s] - 1) * layout.spacing
+        # The last end before a line would pass a required break, and then the last before it would be too wide.
+        marks = np.append(np.flatnonzero(t["required"]), n - 1)
+        stop = np.minimum(marks[np.searchsorted(marks, np.arange(n))], n - 1)
+        if layout.spacing >= 0:
+            so_far = units * layout.half_width + chars * layout.spacing
+            stop = np.minimum(stop, np.searchsorted(so_far, so_far[:-1] + layout.spacing + limit + 1e-6, side="right") - 2)
+        else:  # a longer line can be less wide
+            for s in range(n):
+                over = np.flatnonzero(width(s, np.arange(s, stop[s] + 1)) > limit)
+                stop[s] = s + over[0] - 1 if len(over) else stop[s]
+        found = []
+        for first in range(0, n, at_once):
+            starts = np.arange(first, min(n, first + at_once))
+            counts = np.maximum(0, stop[starts] - starts + 1)
+            s = np.repeat(starts, counts)
+            e = s + np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
+            fits = (width(s, e) <= limit) & (~t["forbidden"][e] | (e == n - 1))
+            s, e = s[fits], e[fits]
+            w = width(s, e)
+            natural = t["preferred"][e] | t["required"][e] | ((e < n - 1) & (t["pause_us"][e] >= SOFT_PAUSE_US))
+            order = np.lexsort((e, np.abs(_to_tenth(w) - layout.comfort), s))
+            heads = np.searchsorted(s, s)  # s ascends, and so it does in the order
+            near = np.empty(len(s), np.int64)
+            near[order] = np.arange(len(s)) - heads
+            kept = (near < 4) | np.append(s[1:] != s[:-1], True)[: len(s)] | natural
+            alone = np.setdiff1d(starts, s[kept])
+            s, e, natural = np.concatenate([s[kept], alone]), np.concatenate([e[kept], alone]), np.concatenate([natural[kept], np.zeros(len(alone), bool)])
+            found.append((t["pos"][s], t["pos"][e], width(s, e).astype(float), natural))
+        return dict(zip(("start_pos", "end_pos", "width", "natural"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+
+    return run
+
+
 def line_options(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame:
     """Lines that may start at each token: item_id, start_pos, end_pos, width, fill, natural, and the option's id.
 
-    Ends go on until a line would be over the hard width or a required break is passed; forbidden ends are left out but
-    for the last. Of them, the four nearest to the comfortable width, the longest and all natural ones are kept; a token
-    without an option stands alone. Starts meet ends only within the most tokens that a line can hold.
+    Ends go on until a line would be over the hard width or a required break is passed, however many tokens that are;
+    forbidden ends are left out but for the last. Of them, the four nearest to the comfortable width, the longest and all
+    natural ones are kept; a token without an option stands alone.
     """
-    known = measured(tokens, breaks)
-    most = int(layout.hard / layout.half_width) + 2
-    ahead = Window.partitionBy(ITEM).orderBy("pos").rowsBetween(0, most)
-    token = F.struct("pos", "units", "chars", "preferred", "required", "forbidden", "pause_us", "last")
-    rows = known.select(ITEM, F.col("pos").alias("start_pos"), F.collect_list(token).over(ahead).alias("_t"))
-    rows = rows.select(ITEM, "start_pos", F.posexplode("_t").alias("_k", "t"))
-    so_far = Window.partitionBy(ITEM, "start_pos").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    width = F.sum("t.units").over(so_far) * layout.half_width + (F.sum("t.chars").over(so_far) - 1) * layout.spacing
-    rows = rows.withColumns({"width": width, "_passed": F.coalesce(F.max("t.required").over(before), F.lit(False))})
-    rows = rows.withColumn("_wide", F.max(F.col("width") > layout.hard + 0.5).over(so_far))
-    rows = rows.where("NOT _passed AND NOT _wide AND (NOT t.forbidden OR t.last)")
-    rows = rows.withColumn("natural", F.col("t.preferred") | F.col("t.required") | (~F.col("t.last") & (F.col("t.pause_us") >= SOFT_PAUSE_US)))
-    start = Window.partitionBy(ITEM, "start_pos")
-    near = F.row_number().over(start.orderBy(F.abs(F.round("width", 1) - layout.comfort), "_k"))
-    kept = rows.withColumns({"_near": near, "_far": F.max("_k").over(start)}).where("_near <= 4 OR _k = _far OR natural")
-    kept = kept.select(ITEM, "start_pos", F.col("t.pos").alias("end_pos"), "width", "natural")
-    alone = known.join(kept.select(ITEM, F.col("start_pos").alias("pos")).distinct(), [ITEM, "pos"], "left_anti")
-    alone = alone.select(ITEM, F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), (F.col("units") * layout.half_width + (F.col("chars") - 1) * layout.spacing).alias("width"), F.lit(False).alias("natural"))
-    every = kept.unionByName(alone)
+    columns = ["pos", "units", "chars", "preferred", "required", "forbidden", "pause_us"]
+    every = _by_item(measured(tokens, breaks), columns, _options(layout), "start_pos long, end_pos long, width double, natural boolean")
     return every.withColumns({"width": F.round("width", 1), "fill": F.round(F.col("width") / max(1.0, layout.comfort), 3), "option_id": F.format_string("o%03d-%03d", "start_pos", F.col("end_pos") + 1)})
 
 
@@ -160,56 +207,51 @@ def line_cost(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame
     return options.withColumn("cost", F.round(_cost(F.col("width"), n, F.col("_end")["last"], F.col("_end"), layout), 6)).drop("_end")
 
 
+def _least_lines(layout: Layout):
+    """Lines of one item. Of every end so far the best cost is known; a start stays open while a line from it may still end."""
+
+    def run(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n, units, chars, pause = len(t["pos"]), _sums(t["units"]), _sums(t["chars"]), t["pause_us"]
+        rest = np.where(pause >= PAUSE_US, -np.minimum(5.0, pause / 1_000_000 * 8), np.where(pause < SOFT_PAUSE_US, 1.2, 0.0))
+        rest = rest - np.where(t["signed"], 3.0, 0.0) - np.where(t["preferred"], 4.0, 0.0) + np.where(t["latin"], 1000.0, 0.0)
+        rest[n - 1] = 0.0
+        ends = t["required"].copy()
+        ends[n - 1] = True
+        start_of, open_, spent = np.zeros(n, np.int64), np.zeros(1, np.int64), np.zeros(1)
+        for i in range(n):
+            if t["forbidden"][i] and not ends[i]:
+                continue
+            width = (units[i + 1] - units[open_]) * layout.half_width + (chars[i + 1] - chars[open_] - 1) * layout.spacing
+            ratio = width / max(1.0, layout.comfort) - 0.82
+            cost = 8 * (ratio * ratio) + np.where((open_ >= i - 1) & (i < n - 1), 5.0, 0.0) + np.where(width > layout.hard, 1000.0, 0.0)
+            total = spent + (cost + rest[i])
+            best = int(total.argmin())  # of equal ones the earliest start
+            start_of[i] = open_[best]
+            if ends[i]:
+                open_, spent = np.array([i + 1]), np.zeros(1)
+            else:
+                # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
+                alive = (width <= layout.hard) | (open_ == i)
+                open_, spent = np.append(open_[alive], i + 1), np.append(spent[alive], total[best])
+        lines, end = [], n - 1
+        while end >= 0:
+            lines.append((start_of[end], end))
+            end = start_of[end] - 1
+        first, last = (t["pos"][np.array(side)] for side in zip(*reversed(lines), strict=True))
+        return {"first_pos": first, "last_pos": last, "line": np.arange(1, len(lines) + 1)}
+
+    return run
+
+
 def segment_lines(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame:
     """Each item in lines of least total cost: item_id, line, first_pos, last_pos. No line passes a required break.
 
     Candidates from a start end at every allowed token up to and including the first allowed one over the hard width.
-    Spans between required breaks are cut apart first and folded each for itself: the fold holds the best cost of every
-    place so far that a line can still start from. Of equal costs the earliest start wins.
+    Of equal costs the earliest start wins. An item's tokens are read once, and those that a line can still start from are
+    weighed together, as arrays.
     """
-    known = measured(tokens, breaks)
-    order = Window.partitionBy(ITEM).orderBy("pos")
-    span = F.coalesce(F.sum(F.col("required").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    one = F.struct("pos", "units", "chars", "forbidden", "required", "pause_us", "signed", "preferred", "latin", "last")
-    spans = known.withColumn("_span", span).groupBy(ITEM, "_span").agg(F.array_sort(F.collect_list(one)).alias("_t"))
-    first = F.element_at("_t", 1)["pos"]
-    spans = spans.withColumns({"_first": first, "_end": F.element_at("_t", -1)["pos"]})
-    # open: starts that may still take in the next token, with their best cost and width so far. best: each end's start.
-    opened = "array<struct<at:bigint,cost:double,units:bigint,chars:bigint>>"
-    empty = F.struct(F.array(F.struct(F.col("_first").alias("at"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars"))).cast(opened).alias("open"), F.expr("cast(array() as array<struct<pos:bigint,start:bigint>>)").alias("best"))
-
-    def once(value: Column, use) -> Column:
-        """use(value) with value worked out a single time."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def width(o: Column) -> Column:
-        return o["units"] * layout.half_width + (o["chars"] - 1) * layout.spacing
-
-    def step(s: Column, x: Column) -> Column:
-        grown = F.transform(s["open"], lambda o: F.struct(o["at"].alias("at"), o["cost"].alias("cost"), (o["units"] + x["units"]).alias("units"), (o["chars"] + x["chars"]).alias("chars")))
-        allowed = ~x["forbidden"] | (x["pos"] == F.col("_end"))
-
-        def ended(g: Column) -> Column:
-            return F.array_min(F.transform(g, lambda o: F.struct((o["cost"] + _cost(width(o), x["pos"] - o["at"] + 1, x["last"], x, layout)).alias("cost"), o["at"].alias("at"))))
-
-        def close(g: Column, least: Column) -> Column:
-            # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
-            alive = F.filter(g, lambda o: ~((width(o) > layout.hard) & (x["pos"] > o["at"])))
-            fresh = F.array(F.struct((x["pos"] + 1).alias("at"), least["cost"].alias("cost"), F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars")))
-            return F.struct(F.concat(alive, fresh).cast(opened).alias("open"), F.concat(s["best"], F.array(F.struct(x["pos"].alias("pos"), least["at"].alias("start")))).alias("best"))
-
-        return once(grown, lambda g: F.when(allowed & (F.size(g) > 0), once(ended(g), lambda least: close(g, least))).otherwise(F.struct(g.cast(opened).alias("open"), s["best"].alias("best"))))
-
-    solved = spans.withColumn("_best", F.map_from_entries(F.aggregate("_t", empty, step)["best"]))
-    # From the span's end back to its start: each line's start gives the end of the line before.
-    back = F.aggregate(F.sequence(F.lit(1), F.size("_t")), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), lambda s, _: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["a"] <= F.col("_first")), s).otherwise(F.concat(s, F.array(_line_before(s)))))
-    lines = solved.select(ITEM, F.explode(back).alias("l")).select(ITEM, F.col("l.a").alias("first_pos"), F.col("l.b").alias("last_pos"))
-    return lines.withColumn("line", F.row_number().over(Window.partitionBy(ITEM).orderBy("first_pos")).cast("long"))
-
-
-def _line_before(lines: Column) -> Column:
-    end = F.when(F.size(lines) == 0, F.col("_end")).otherwise(F.try_element_at(lines, F.lit(-1))["a"] - 1)
-    return F.struct(F.coalesce(F.try_element_at(F.col("_best"), end), end).alias("a"), end.alias("b"))
+    columns = ["pos", "units", "chars", "preferred", "required", "forbidden", "pause_us", "signed", "latin"]
+    return _by_item(measured(tokens, breaks), columns, _least_lines(layout), "first_pos long, last_pos long, line long")
 
 
 def validate_layout(lines: DataFrame, tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame:

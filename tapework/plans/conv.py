@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import half_units, pieces
+from ..functions.text import half_units_of_pieces
 from ..operators.tokens import tokens_estimated
 
 HALF_UNIT_US = 100_000
@@ -25,27 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def conv_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, utt, text, start_us, end_us, pause_us of each turn."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("utt"), F.coalesce("text", F.lit("")).alias("text"))
-    units = F.aggregate(F.transform(pieces(F.col("text")), half_units), F.lit(0).cast("long"), lambda a, b: a + b)
-    turns = turns.withColumns({"_length": units * HALF_UNIT_US, "pause_us": (F.col("item_id") * 7 + F.col("utt") * 13) % 10 * 100_000})
+    turns = turns.withColumns({"_length": half_units_of_pieces(F.col("text")) * HALF_UNIT_US, "pause_us": (F.col("item_id") * 7 + F.col("utt") * 13) % 10 * 100_000})
     before = Window.partitionBy("item_id").orderBy("utt").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start_us", F.coalesce(F.sum(F.col("_length") + F.col("pause_us")).over(before), F.lit(0)))
     return turns.withColumn("end_us", F.col("start_us") + F.col("_length")).drop("_length")
 
 
-def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of all turns."""
-    return tokens_estimated(conv_turns(spark, sf_dir))
+def conv_tokens(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
+    """Tokens of all turns. turns: those of conv_turns(), where they are at hand; so below."""
+    return tokens_estimated(conv_turns(spark, sf_dir) if turns is None else turns)
 
 
-def conv_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conv_media(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
     """item_id and duration_us: the last turn and its pause."""
-    return conv_turns(spark, sf_dir).groupBy("item_id").agg(F.max(F.col("end_us") + F.col("pause_us")).alias("duration_us"))
+    turns = conv_turns(spark, sf_dir) if turns is None else turns
+    return turns.groupBy("item_id").agg(F.max(F.col("end_us") + F.col("pause_us")).alias("duration_us"))
 
 
-def conv_silences(spark: SparkSession, sf_dir: str, min_silence_us: int) -> DataFrame:
+def conv_silences(spark: SparkSession, sf_dir: str, min_silence_us: int, turns: DataFrame | None = None) -> DataFrame:
     """Silences in pauses of at least min_silence_us, from 250 ms before the pause to 150 ms after it."""
+    turns = conv_turns(spark, sf_dir) if turns is None else turns
     following = F.lead("start_us").over(Window.partitionBy("item_id").orderBy("utt"))
-    pauses = conv_turns(spark, sf_dir).withColumn("_next", following).where(F.col("_next").isNotNull() & (F.col("pause_us") >= min_silence_us))
+    pauses = turns.withColumn("_next", following).where(F.col("_next").isNotNull() & (F.col("pause_us") >= min_silence_us))
     return pauses.select("item_id", (F.col("end_us") - 250_000).alias("start_us"), (F.col("_next") + 150_000).alias("end_us"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import decisions, intervals, timeline
 from ..operators.tokens import pause_after
 from .conv import DELETES_SQL, TURNS_SQL, conv_deletes, conv_media, conv_silences, conv_tokens, conv_turns, silences_sql, table
@@ -61,10 +62,11 @@ def cut_plan(tokens: DataFrame, silences: DataFrame, decided: DataFrame, media:
 
 
 def _conv_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    # Read in eight places of the plan, so the token and decision tables are made once.
-    tokens, media = conv_tokens(spark, sf_dir).persist(), conv_media(spark, sf_dir)
-    decided = decisions.accept_deletes(conv_deletes(tokens), tokens, "aggressive", protect_latin=False).persist()
-    removed, keeps = cut_plan(tokens, conv_silences(spark, sf_dir, MIN_SILENCE_US), decided, media)
+    # Turns, tokens and decisions are read in many places of the plan, so each is made once.
+    turns = stored(conv_turns(spark, sf_dir))
+    tokens, media = stored(conv_tokens(spark, sf_dir, turns)), conv_media(spark, sf_dir, turns)
+    decided = stored(decisions.accept_deletes(conv_deletes(tokens), tokens, "aggressive", protect_latin=False))
+    removed, keeps = cut_plan(tokens, conv_silences(spark, sf_dir, MIN_SILENCE_US, turns), decided, media)
     return tokens, decided, removed, keeps
 
 
@@ -164,7 +166,7 @@ def cues_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conv_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's first three seconds as a title clip; every third is off."""
     turns = conv_turns(spark, sf_dir)
-    return turns.select("item_id", F.format_string("t%03d", "utt").alias("title_id"), "start_us", (F.col("start_us") + 3_000_000).alias("end_us"), F.substring("text", 1, 20).alias("text"), ((F.col("item_id") + F.col("utt")) % 3 != 0).alias("enabled"))
+    return turns.select("item_id", F.format_string("t%03d", "utt").alias("title_id"), "start_us", (F.col("start_us") + 3_000_000).alias("end_us"), "text", ((F.col("item_id") + F.col("utt")) % 3 != 0).alias("enabled"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +373,7 @@ ORACLE_SQL = {
     "edit_plan": f"WITH {TURNS_SQL}, {SENTENCES_SQL} SELECT item_id, clip_idx, sentence_id, CASE WHEN gap THEN 'gap' ELSE 'source' END AS type, from_us AS source_start_us, to_us AS source_end_us, timeline_start_us, timeline_end_us, enabled, edited_us FROM plan",
     "sentence_cues": f"WITH {TURNS_SQL}, {SENTENCES_SQL}, placed AS (SELECT *, greatest(0, timeline_start_us + greatest(from_us, least(to_us, start_us)) - from_us + 30000) AS f, least(edited_us, timeline_start_us + least(to_us - from_us, greatest(from_us, least(to_us, end_us)) - from_us) + 30000) AS e FROM plan WHERE enabled AND trim(coalesce(text, '')) <> '') SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY clip_idx) AS idx, f::BIGINT AS start_us, e::BIGINT AS end_us, text FROM placed WHERE e > f",
     "removal_cues": f"{_KEEPS}, {SENTENCES_SQL}, mapped AS (SELECT s.*, s.start_us - coalesce((SELECT sum(r.end_us - r.start_us) FROM removed r WHERE r.item_id = s.item_id AND r.end_us <= s.start_us), 0) AS f, s.end_us - coalesce((SELECT sum(r.end_us - r.start_us) FROM removed r WHERE r.item_id = s.item_id AND r.end_us <= s.end_us), 0) AS e, (SELECT duration_us FROM conv_media m WHERE m.item_id = s.item_id) - coalesce((SELECT sum(r.end_us - r.start_us) FROM removed r WHERE r.item_id = s.item_id), 0) AS room FROM conv_sentences s WHERE enabled AND NOT remove_video AND end_us > start_us AND NOT EXISTS (SELECT 1 FROM removed r WHERE r.item_id = s.item_id AND ((r.start_us <= s.start_us AND s.start_us < r.end_us) OR (r.start_us <= s.end_us AND s.end_us < r.end_us)))) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY timeline_order, start_us, sentence_id) AS idx, greatest(0, f)::BIGINT AS start_us, least(room, e)::BIGINT AS end_us, text FROM mapped WHERE least(room, e) > greatest(0, f)",
-    "title_cues": f"WITH {TURNS_SQL}, placed AS (SELECT t.item_id, t.utt, greatest(0, least(duration_us, start_us)) AS f, greatest(0, least(duration_us, start_us + 3000000)) AS e, start_us, left(coalesce(c.text, ''), 20) AS text FROM conv_turns t JOIN conv_media USING (item_id) JOIN conversations c ON c.conv_id = t.item_id AND c.turn = t.utt WHERE (t.item_id + t.utt) % 3 <> 0) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start_us, utt) AS idx, f AS start_us, e AS end_us, text FROM placed WHERE e > f",
+    "title_cues": f"WITH {TURNS_SQL}, placed AS (SELECT t.item_id, t.utt, greatest(0, least(duration_us, start_us)) AS f, greatest(0, least(duration_us, start_us + 3000000)) AS e, start_us, coalesce(c.text, '') AS text FROM conv_turns t JOIN conv_media USING (item_id) JOIN conversations c ON c.conv_id = t.item_id AND c.turn = t.utt WHERE (t.item_id + t.utt) % 3 <> 0) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start_us, utt) AS idx, f AS start_us, e AS end_us, text FROM placed WHERE e > f",
     "fill_clip_gaps": f"WITH {TURNS_SQL}, {SENTENCES_SQL} SELECT item_id, sentence_id, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE clip_start_us END AS clip_start_us, greatest(clip_end_us, coalesce(lead(start_us) OVER w, duration_us)) AS clip_end_us FROM conv_sentences JOIN conv_media USING (item_id) WINDOW w AS (PARTITION BY item_id ORDER BY start_us, end_us, sentence_id)",
     "detect_silence": f"WITH {_LEVELS}, marked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sample_idx) - row_number() OVER (PARTITION BY item_id, value < 40 ORDER BY sample_idx) AS run, max(sample_idx) OVER (PARTITION BY item_id) AS last FROM levels), runs AS (SELECT item_id, min(sample_idx) * 10000 AS start_us, least(max(sample_idx) + 1, max(last)) * 10000 AS end_us FROM marked WHERE value < 40 GROUP BY item_id, run) SELECT * FROM runs WHERE end_us - start_us >= 20000",
     "downsample_levels": f"WITH {_LEVELS}, chunked AS (SELECT item_id, value, sample_idx // greatest(1, ceil(count(*) OVER (PARTITION BY item_id) / 20))::BIGINT AS bar FROM levels) SELECT item_id, bar, round(least(1.0, sqrt(avg(value * value)) / 32768 * 4), 4) AS level FROM chunked GROUP BY item_id, bar",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
 from ..operators import alignment, segmentation
 from ..sources import files
 from ..streaming import live
@@ -83,6 +87,58 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.pending_chunks(chunks, cache).select("chunk_id", "content_key")
 
 
+def _annotate(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stands for a model: a chunk's hash and number of words; chunks of a length divisible by 7 fail."""
+    result = [hashlib.md5(p.encode()).hexdigest() for p in rows["payload"]]
+    status = ["failed" if len(p) % 7 == 0 else "ok" for p in rows["payload"]]
+    return pd.DataFrame({"content_key": rows["content_key"], "status": status, "result": result, "tokens": [len(p.encode().split()) for p in rows["payload"]]})
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks, some of which are cached, and what all of them come to."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("payload"))
+    chunks = docs.withColumn("content_key", live.content_key("1", "analysis", "m", F.col("payload")))
+    cache = chunks.where("chunk_id % 2 = 0").select("content_key", F.when(F.col("chunk_id") % 3 == 0, "failed").otherwise("ok").alias("status"), F.lit("from the cache").alias("result"))
+    return live.enrich_incremental(chunks, cache, _annotate)[0]
+
+
+def scripts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes: as they are, with a byte order mark, with bytes that no text has, and their source with Chinese of another encoding."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    source = F.coalesce("source", F.lit("")).cast("binary")
+    made = (
+        F.when(F.col("doc_id") % 4 == 0, F.col("b")).when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.col("b")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(source, F.unhex(F.lit("20D6D0CEC4")))).otherwise(F.concat(F.col("b"), F.unhex(F.lit("FFFF"))))
+    )
+    return docs.select("doc_id", F.md5(files.script_text(made)).alias("text_md5"))
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stage's results: those of even items, then all of them twice over, and another version of some."""
+    turns = conv_turns(spark, sf_dir).select("item_id", "utt", "start_us")
+    place, key = shared_path(spark, "stages"), ["item_id", "utt"]
+    for rows, version in ((turns.where("item_id % 2 = 0"), "1"), (turns.where("utt < 2"), "2"), (turns.union(turns), "1"), (turns, "1")):
+        files.publish_stage(rows, place, "turns", version, key)
+    both = [files.read_stage(spark, place, "turns", v, key).withColumn("version", F.lit(v)) for v in ("1", "2")]
+    return both[0].unionByName(both[1])
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks of a script that has other words for every third token."""
+    tokens = conv_tokens(spark, sf_dir).select("item_id", "pos", "text")
+    signs = F.array(F.lit("。"), F.lit(","), F.lit(None).cast("string"), F.lit("；"))
+    pairs = tokens.where("pos % 5 <> 4").select("item_id", F.col("pos").alias("a"), F.when(F.col("pos") % 3 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text")).alias("replacement"), (F.col("pos") % 7 == 0).alias("manual_break"), F.get(signs, (F.col("pos") % 4).cast("int")).alias("punctuation"))
+    return alignment.carry_breaks(tokens, pairs)
+
+
+def stalled_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that are stalled when the stream of events ends; even ones can be resumed."""
+    states = F.element_at(F.array(*[F.lit(s) for s in ("running", "queued", "cancelling", "pausing", "done")]), (F.col("event_id") % 5 + 1).cast("int"))
+    events = event_stream(spark, sf_dir).select(F.col("user_id").alias("item_id"), states.alias("state"), "ts", "event_id")
+    found = run_update(live.stalled_items_stream(events, 43_200, lambda item: item % 2 == 0), "stalled", ["item_id"])
+    return found.where("stalled").select("item_id", "state", "new_state")
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = conv_tokens(spark, sf_dir)
     return live.trace_rows(tokens, segmentation.chunk_by_pause(tokens, 100))
@@ -136,7 +192,7 @@ def quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "script_units": units, "alignment_prefilter": prefilter, "align_script": aligned_tokens, "alignment_report": report, "read_asr": responses, "write_srt": srt, "read_srt": srt_read,
-    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": pending, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
+    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": enriched, "pending_chunks": pending, "read_scripts": scripts_read, "publish_stage": published, "carry_breaks": broken, "stalled_items_stream": stalled_live, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
     "stage_latency_stream": latency, "ops_metrics_stream": metrics, "edit_sessions_stream": sessions, "stalled_items": stalled, "silence_stream": quiet,
 }
 
@@ -159,7 +215,13 @@ ORACLE_SQL = {
     "read_srt": f"WITH {TURNS_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY utt) AS idx, start_us // 1000 * 1000 AS start_us, end_us // 1000 * 1000 AS end_us, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\*\\*(.+?)\\*\\*', '\\1', 'g') AS text FROM conv_turns JOIN conversations ON conv_id = item_id AND turn = utt WHERE trim(coalesce(text, '')) <> ''",
     "write_segments": f"WITH {TURNS_SQL} SELECT item_id, start_us, end_us, coalesce(text, '') AS text, printf('u%04d', utt) AS token_ids FROM conv_turns JOIN conversations ON conv_id = item_id AND turn = utt WHERE utt % 5 <> 4 AND end_us > start_us",
     "parse_tolerant_json": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'C:\\dir\\q' END AS path, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind FROM events",
-    "enrich_incremental": "WITH c AS (SELECT doc_id, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents) SELECT min(doc_id) AS chunk_id, content_key FROM c GROUP BY content_key HAVING NOT bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0)",
+    "enrich_incremental": """WITH c AS (SELECT doc_id, coalesce(text, '') AS p, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents), k AS (SELECT *, bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0) OVER (PARTITION BY content_key) AS cached FROM c)
+      SELECT doc_id AS chunk_id, content_key, CASE WHEN NOT cached AND length(p) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN cached THEN 'from the cache' ELSE md5(p) END AS result, CASE WHEN cached THEN 0 ELSE len(regexp_extract_all(p, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS tokens, cached FROM k""",
+    "read_scripts": "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN coalesce(source, '') || ' 中文' ELSE coalesce(text, '') END) AS text_md5 FROM documents",
+    "publish_stage": f"WITH {TURNS_SQL} SELECT item_id, utt, start_us, '1' AS version FROM conv_turns UNION ALL SELECT item_id, utt, start_us, '2' FROM conv_turns WHERE utt < 2",
+    "carry_breaks": f"WITH {TURNS_SQL}, p AS (SELECT item_id, pos, text, pos % 5 <> 4 AS paired, ['。', ',', NULL, '；'][pos % 4 + 1] AS sign FROM conv_tokens) SELECT item_id, pos, CASE WHEN paired AND pos % 3 = 0 THEN text || '+' ELSE text END AS text, text AS original_text, paired AND pos % 7 = 0 AS manual_break_after, CASE WHEN paired THEN sign END AS script_punctuation_after, paired AND coalesce(sign IN ('。', '；'), false) AS script_sentence_break_after, paired AND coalesce(sign = ',', false) AS script_phrase_break_after FROM p",
+    "stalled_items_stream": "WITH l AS (SELECT user_id AS item_id, arg_max(['running', 'queued', 'cancelling', 'pausing', 'done'][event_id % 5 + 1], (ts, event_id)) AS state, max(ts) AS t FROM events GROUP BY user_id) SELECT item_id, state, CASE WHEN state = 'cancelling' THEN 'cancelled' WHEN state = 'pausing' THEN 'paused' WHEN state IN ('running', 'queued') THEN CASE WHEN item_id % 2 = 0 THEN 'queued' ELSE 'paused' END ELSE state END AS new_state FROM l WHERE epoch_ms(t) + 43200000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)",
+    "pending_chunks": "WITH c AS (SELECT doc_id, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents) SELECT min(doc_id) AS chunk_id, content_key FROM c GROUP BY content_key HAVING NOT bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0)",
     "trace_rows": f"WITH chunks AS ({SEGMENTATION_SQL['chunk_by_pause']}), {TURNS_SQL} SELECT t.item_id, chunk, arg_min(token_id, pos) AS first_token, arg_max(token_id, pos) AS last_token, count(*) AS tokens, sha256(string_agg(text, '' ORDER BY pos)) AS text_sha256 FROM chunks c JOIN conv_tokens t ON t.item_id = c.item_id AND t.pos BETWEEN first_pos AND last_pos GROUP BY t.item_id, chunk",
     "stage_progress_stream": "SELECT user_id AS item_id, arg_max(event_type, (ts, event_id)) AS stage, epoch_us(max(ts)) AS updated_us FROM events GROUP BY user_id",
     "usage_dedup_stream": "SELECT user_id, count(*) AS events, round(sum(value), 6) AS used FROM events GROUP BY user_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scripts, segmentation
@@ -86,10 +86,13 @@ def script_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timed_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of a conversation's first turns as phrases, three or thirty of them, on the times of its turns."""
+    """A conversation's whole text on the times of its turns: of even items by sentences, of odd ones two turns as one phrase."""
     turns = conv_turns(spark, sf_dir)
-    words = turns.where("utt = 0").select("item_id", F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.lit(1), F.when(F.col("item_id") % 2 == 0, 3).otherwise(30)).alias("w"))
-    phrases = words.select("item_id", F.posexplode("w").alias("_k", "phrase")).select("item_id", (F.col("_k") + 1).cast("long").alias("phrase_idx"), "phrase")
+    sentences = turns.where("item_id % 2 = 0").select("item_id", F.col("utt").alias("_a"), F.posexplode(scripts.split_sentences(F.col("text"))).alias("_b", "phrase"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt", "text"))), lambda x: x["text"]), " ")
+    pairs = turns.where("item_id % 2 = 1").groupBy("item_id", F.floor(F.col("utt") / 2).alias("_a")).agg(listed.alias("phrase")).select("item_id", "_a", F.lit(0).alias("_b"), "phrase")
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy("_a", "_b")).cast("long")
+    phrases = sentences.unionByName(pairs).withColumn("phrase_idx", order).select("item_id", "phrase_idx", "phrase")
     return segmentation.cues_script_on_timings(phrases, turns.select("item_id", F.col("utt").alias("seq"), "start_us", "end_us"), conv_media(spark, sf_dir))
 
 
@@ -129,15 +132,20 @@ def _chunks_sql(limit: int, cut: str, prefer: str) -> str:
       SELECT item_id, chunk, first_pos, last_pos FROM c WHERE chunk > 0"""
 
 
-_OPTIONS = f"""{_KNOWN}, pairs AS (
-  SELECT a.item_id, a.pos AS start_pos, b.pos AS end_pos, b.required, b.forbidden, b.last, b.preferred, b.pause_us, sum(b.units) OVER w * 16.0::DOUBLE AS width,
-    coalesce(bool_or(b.required) OVER (PARTITION BY a.item_id, a.pos ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS passed
-  FROM known a JOIN known b ON a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + 61
-  WINDOW w AS (PARTITION BY a.item_id, a.pos ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+_OPTIONS = f"""{_KNOWN}, summed AS (
+  SELECT *, coalesce(sum(units) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM known
+), reach AS (
+  SELECT item_id, pos, before, max(pos) OVER (PARTITION BY item_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 59 FOLLOWING) AS far_pos,
+    min(pos) FILTER (WHERE required) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS must FROM summed
+), ends AS (
+  SELECT item_id, pos AS start_pos, before AS start_before, unnest(range(pos, least(far_pos, coalesce(must, far_pos)) + 1)) AS end_pos FROM reach
+), pairs AS (
+  SELECT ends.item_id, start_pos, end_pos, required, forbidden, last, preferred, pause_us, (before + units - start_before) * 16.0::DOUBLE AS width
+  FROM ends JOIN summed ON summed.item_id = ends.item_id AND pos = end_pos
 ), allowed AS (
   SELECT *, preferred OR required OR (NOT last AND pause_us >= 180000) AS is_natural,
     row_number() OVER (PARTITION BY item_id, start_pos ORDER BY abs(width - 800), end_pos) AS near, max(end_pos) OVER (PARTITION BY item_id, start_pos) AS far
-  FROM pairs WHERE NOT passed AND width <= 950.5 AND (NOT forbidden OR last)
+  FROM pairs WHERE width <= 950.5 AND (NOT forbidden OR last)
 ), kept AS (SELECT item_id, start_pos, end_pos, width, is_natural FROM allowed WHERE near <= 4 OR end_pos = far OR is_natural
 ), options AS (
   SELECT * FROM kept UNION ALL SELECT item_id, pos, pos, units * 16.0::DOUBLE, false FROM known k WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.item_id = k.item_id AND kept.start_pos = k.pos)
@@ -157,8 +165,10 @@ ORACLE_SQL = {
     "validate_layout": f"WITH {_KNOWN}, {_EVEN}, e AS (SELECT item_id, bool_or((item_id + line) % 50 = 49) AS cover, bool_or(through AND (item_id + line) % 50 <> 49) AS required, bool_or(ends_on AND (item_id + line) % 50 <> 49) AS forbidden, bool_or(u * 16 > 950.5 AND n > 1 AND (item_id + line) % 50 <> 49) AS wide FROM even GROUP BY item_id) SELECT item_id, concat_ws(',', CASE WHEN cover THEN 'cover' END, CASE WHEN required THEN 'required' END, CASE WHEN forbidden THEN 'forbidden' END, CASE WHEN wide THEN 'wide' END) AS errors FROM e WHERE cover OR required OR forbidden OR wide",
     "annotate_break_source": f"WITH {_KNOWN}, {_EVEN} SELECT e.item_id, line, CASE WHEN required THEN 'ai_final' WHEN preferred THEN 'ai_sentence' WHEN forbidden THEN 'ai_break' ELSE 'width' END AS break_source FROM even e JOIN known k ON k.item_id = e.item_id AND k.pos = e.last_pos WHERE (e.item_id + line) % 50 <> 49",
     "cues_from_lines": f"WITH {_KNOWN}, {_EVEN} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start_us, end_us, text) AS idx, least(duration_us, start_us + 120000)::BIGINT AS start_us, greatest(least(duration_us, start_us + 120000) + 50000, least(duration_us, end_us + 120000))::BIGINT AS end_us, trim(text) AS text FROM even JOIN conv_media USING (item_id) WHERE (item_id + line) % 50 <> 49 AND end_us > start_us AND trim(text) <> ''",
-    "cues_script_on_timings": f"""WITH {TURNS_SQL}, w AS (SELECT conv_id AS item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[:CASE WHEN conv_id % 2 = 0 THEN 3 ELSE 30 END] AS l FROM conversations WHERE turn = 0),
-      p AS (SELECT item_id, unnest(l) AS phrase, unnest(range(len(l))) AS j, len(l) AS n FROM w),
+    "cues_script_on_timings": f"""WITH {TURNS_SQL}, l AS (SELECT conv_id AS item_id, turn AS utt, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))))) AS i FROM conversations WHERE conv_id % 2 = 0),
+      s AS (SELECT item_id, utt, i, unnest(x) AS phrase, unnest(range(len(x))) AS k FROM (SELECT item_id, utt, i, regexp_extract_all(trim(line), '[^。！？!?；;，,、]*[。！？!?；;，,、]?') AS x FROM l)),
+      o AS (SELECT item_id, utt AS a, i, k, trim(phrase) AS phrase FROM s WHERE trim(phrase) <> '' UNION ALL SELECT conv_id, turn // 2, 0, 0, string_agg(coalesce(text, ''), ' ' ORDER BY turn) FROM conversations WHERE conv_id % 2 = 1 GROUP BY conv_id, turn // 2),
+      p AS (SELECT item_id, phrase, row_number() OVER (PARTITION BY item_id ORDER BY a, i, k) - 1 AS j, count(*) OVER (PARTITION BY item_id) AS n FROM o),
       q AS (SELECT *, greatest(4, length(regexp_replace(phrase, '\\*\\*(.+?)\\*\\*', '\\1', 'g'))) AS wt FROM p), r AS (SELECT *, sum(wt) OVER (PARTITION BY item_id ORDER BY j) AS c, sum(wt) OVER (PARTITION BY item_id) AS t FROM q),
       m AS (SELECT item_id, count(*) AS m, list(start_us ORDER BY utt) AS ss, list(end_us ORDER BY utt) AS es FROM conv_turns WHERE end_us > start_us GROUP BY item_id),
       x AS (SELECT *, j * m // n AS a, greatest(j * m // n + 1, (j + 1) * m // n) AS b FROM r JOIN m USING (item_id) JOIN conv_media USING (item_id))

@@ -5,9 +5,14 @@ Paths are whatever Spark's readers open. Every parser also works on a text colum
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..functions.text import srt_time, to_us
 from ..operators.scripts import strip_marks
 from ..operators.tokens import tokens_from_words
@@ -44,13 +49,29 @@ def read_asr(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return utterances, tokens_from_words(utterances)
 
 
+def _read_other(data: bytes) -> str:
+    """Bytes that aren't UTF-8 as GB18030, and failing that as UTF-8 without what can't be read."""
+    try:
+        return data.decode("gb18030")
+    except UnicodeDecodeError:
+        return data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "ignore")
+
+
+def script_text(content: Column) -> Column:
+    """The text of a script's bytes: UTF-8 with or without its mark, else GB18030, else UTF-8 without unreadable bytes."""
+
+    @F.arrow_udf("string")
+    def other(data: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else _read_other(d) for d in data.to_pylist()], pa.string())
+
+    valid = F.is_valid_utf8(content.cast("string"))
+    # Only bytes that aren't UTF-8 go to Python.
+    return F.coalesce(F.when(valid, F.regexp_replace(content.cast("string"), "^\ufeff", "")), other(F.when(~valid, content)))
+
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """file and text: UTF-8 with or without its mark, else GB18030 where the session allows, else with unreadable bytes replaced."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    chinese = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
-    other = F.decode("content", "GB18030") if chinese else F.make_valid_utf8(F.col("content").cast("string"))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(other)
-    return files.select("file", F.regexp_replace(text, "^﻿", "").alias("text"))
+    """file and text of the script files at path, but for empty ones; see script_text()."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), script_text(F.col("content")).alias("text"))
 
 
 def _srt_us(text: Column) -> Column:
@@ -147,22 +168,34 @@ def read_job_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return tables
 
 
+def _published(spark: SparkSession, path: str, stage: str, version: str) -> DataFrame | None:
+    """All rows that the table at path has of a stage and version; None if there is no table."""
+    try:
+        return spark.read.parquet(path).where((F.col("stage") == stage) & (F.col("version") == version))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def publish_stage(df: DataFrame, path: str, stage: str, version: str, key: list[str]) -> int:
     """Append the rows of df whose key the stage and version of the table at path doesn't have; how many that were.
 
-    Rows that are there already are kept, so a repeated run publishes nothing twice.
+    A repeated run publishes nothing. Two runs at once may both append a key; read_stage() gives it once, from the first of
+    their names. Spark's committer shows a run's files only when all of them are written.
     """
-    spark = df.sparkSession
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    fresh = df.dropDuplicates(key)
-    if there:
-        known = spark.read.parquet(path).where((F.col("stage") == stage) & (F.col("version") == version)).select(*key)
-        fresh = fresh.join(known, key, "left_anti")
-    fresh = fresh.withColumns({"stage": F.lit(stage), "version": F.lit(version)}).persist()
+    fresh, known = df.dropDuplicates(key), _published(df.sparkSession, path, stage, version)
+    if known is not None:
+        fresh = fresh.join(known.select(*key), key, "left_anti")
+    fresh = stored(fresh.withColumns({"run": F.lit(uuid.uuid4().hex), "stage": F.lit(stage), "version": F.lit(version)}))
     n = fresh.count()
-    if n or not there:
+    if n or known is None:
         fresh.write.mode("append").partitionBy("stage", "version").parquet(path)
-    fresh.unpersist()
     return n
+
+
+def read_stage(spark: SparkSession, path: str, stage: str, version: str, key: list[str]) -> DataFrame:
+    """The rows of a published stage, each key once."""
+    rows = _published(spark, path, stage, version)
+    rest = [c for c in rows.columns if c not in (*key, "run", "stage", "version")]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), "run").alias("_row")).select(*key, "_row.*") if rest else rows.select(*key).distinct()

@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.shared import stored
 
 
 def stage_progress(events: DataFrame) -> DataFrame:
@@ -57,6 +60,36 @@ def stalled_items(events: DataFrame, now: Column, timeout_s: int, resumable: Col
     return last.select("item_id", "state", new.alias("new_state"))
 
 
+def stalled_items_stream(events: DataFrame, timeout_s: int, resumable: Callable[[object], bool], delay: str = "10 minutes") -> DataFrame:
+    """item_id, state, new_state, stalled: a row when an item has been without an event for timeout_s of event time, and one when it goes on.
+
+    new_state is as in stalled_items(); resumable(item_id) tells whether an item can be resumed. Use update mode. An item's state
+    is its last event and a timer; late events beyond the delay are dropped, and one before the last event changes nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        was_stalled = bool(held and held[3])
+        if state.hasTimedOut:
+            now = held[2]
+            new = {"cancelling": "cancelled", "pausing": "paused"}.get(now, ("queued" if resumable(key[0]) else "paused") if now in ("running", "queued") else now)
+            state.update((*held[:3], True))
+            yield pd.DataFrame({"item_id": [key[0]], "state": [now], "new_state": [new], "stalled": [True]})
+            return
+        for batch in batches:
+            for ts, event_id, name in zip(batch["ts"], batch["event_id"], batch["state"], strict=True):
+                held = max(held or (-(2**62), 0, "", False), (int(ts.value // 1000), int(event_id), name, False), key=lambda x: x[:2])
+        state.update((*held[:3], held[3]))
+        if not held[3]:
+            state.setTimeoutTimestamp(max(held[0] // 1000 + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+            if was_stalled:
+                yield pd.DataFrame({"item_id": [key[0]], "state": [held[2]], "new_state": [held[2]], "stalled": [False]})
+
+    kind = events.schema["item_id"].dataType.simpleString()
+    by = events.select("item_id", "state", "ts", "event_id").withWatermark("ts", delay).groupBy("item_id")
+    return by.applyInPandasWithState(step, f"item_id {kind}, state string, new_state string, stalled boolean", "ts_us long, event_id long, state string, stalled boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def silence(levels: DataFrame, threshold: float, frame: str, min_s: float, delay: str = "10 minutes") -> DataFrame:
     """Runs of samples below the threshold that follow each other within `frame` and last min_s: item_id, start, end, samples."""
     by = levels.where(F.col("value") < threshold).withWatermark("ts", delay).groupBy("item_id", F.session_window("ts", frame).alias("s"))
@@ -77,17 +110,20 @@ def pending_chunks(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def enrich_incremental(chunks: DataFrame, cache: DataFrame, annotate: Callable[[pd.DataFrame], pd.DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Results of all chunks and the new cache rows. annotate gets pending chunks (content_key, payload) and gives content_key,
-    status, result, tokens; only ok results are cached, and a cached row counts no tokens.
+    """Results of all chunks (chunk_id, content_key, status, result, tokens, cached) and the new cache rows.
+
+    annotate gets pending chunks (content_key, payload) and gives content_key, status, result, tokens; it is asked once for each
+    key, and what it says is written before anything reads it, as it may be paid for. Only ok results are cached, and a
+    cached row counts no tokens. cache: content_key, status, result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield annotate(batch[["content_key", "payload"]])
 
-    fresh = pending_chunks(chunks, cache).mapInPandas(run, "content_key string, status string, result string, tokens long").persist()
-    known = cache.where("status = 'ok'").select("content_key", "status", "result", F.lit(0).cast("long").alias("tokens"), F.lit(True).alias("cached"))
-    every = known.unionByName(fresh.withColumn("cached", F.lit(False)))
+    fresh = stored(pending_chunks(chunks, cache).mapInPandas(run, "content_key string, status string, result string, tokens long"))
+    known = cache.where("status = 'ok'").groupBy("content_key", "status").agg(F.min("result").alias("result"))
+    every = known.withColumns({"tokens": F.lit(0).cast("long"), "cached": F.lit(True)}).unionByName(fresh.withColumn("cached", F.lit(False)))
     return chunks.select("chunk_id", "content_key").join(every, "content_key"), fresh.where("status = 'ok'")
 
 
