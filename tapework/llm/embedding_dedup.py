@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 from .components import connected_components
 
 TREES = 8
@@ -131,6 +131,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_leaves(reps: DataFrame, trees: int) -> DataFrame:
     """rep, label, size and code: the leaves that each vector (rep, label, size, data) comes to. A label's vectors may be one leaf."""
     groups = cut(reps.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")))
+    used = [groups]
     most = groups.agg(F.max("n")).first()[0] or 0
     whole = reps.join(groups, ["label", "size"])
     leaves = [whole.where(F.col("n") <= LEAF_ROWS).select("rep", "label", "size", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("path"))]
@@ -140,15 +141,18 @@ def find_leaves(reps: DataFrame, trees: int) -> DataFrame:
         rows = cut(whole.where(F.col("n") > LEAF_ROWS).select("rep", "label", "size", "data").mapInArrow(_project(trees, levels), shape))
         bound = LEAF_ROWS
         while True:
+            used.append(rows)
             big = cut(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound))
             if big.isEmpty():
                 leaves.append(rows.select("rep", *NODE))
                 break
+            used.append(big)
             counted = rows.join(big, NODE, "left")
             leaves.append(counted.where("n is null").select("rep", *NODE))
             open_ = counted.where("n is not null")
             sample = open_.where(F.pmod(F.xxhash64("rep", "tree", "path"), F.lit(1 << 30)) < F.lit((1 << 30) * SAMPLE) / F.col("n"))
             grown = cut(sample.groupBy(*NODE, "n").applyInPandas(_grow(LEAF_ROWS), ", ".join(f"{c} {reps.schema[c].dataType.simpleString() if c == 'label' else 'long' if c == 'path' else 'int'}" for c in NODE) + ", thresholds array<double>"))
+            used.append(grown)
             met = open_.join(grown, NODE, "left")
             first = F.get("thresholds", F.lit(0))  # a node that isn't split has none
             split = first.isNotNull() & ~F.isnan(F.coalesce(first, F.lit(0.0)))
@@ -157,7 +161,10 @@ def find_leaves(reps: DataFrame, trees: int) -> DataFrame:
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return cut(out.select("rep", "label", "size", F.xxhash64("tree", "path").alias("code")))
+    out = cut(out.select("rep", "label", "size", F.xxhash64("tree", "path").alias("code")))
+    for table in used:
+        forget(table)
+    return out
 
 
 def _compare(least: float):

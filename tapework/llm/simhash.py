@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, some_at_a_time, text_or_empty, without
+from .common import cut, forget, partitions, some_at_a_time, text_or_empty, without
 from .components import connected_components
 
 SEED = 42
@@ -423,6 +423,8 @@ def _verified(members: DataFrame, shingle: int, radius: int, least: float) -> Da
     others = dealt.join(counts, "component").withColumn("rest_block", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
     more = asked.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(_verify_rest(shingle, radius, least), shape)
     nodes = connected_components(found.where("other IS NOT NULL").unionByName(more), "text_hash", "other")
+    for table in (dealt, found, rest):
+        forget(table)
     return nodes.withColumnRenamed("node", "text_hash")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 PIVOTS = 32
 #: Vectors that pivots and the first thresholds are taken from.
@@ -175,7 +175,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     shape = "row long, vec_id long, dim int, is_query boolean, data binary, distances binary, cell int, near double, norm double, first double"
     # A dimension that the sample lacks has no pivots, so its vectors are bounded by their norms alone.
     table = cut(rows.mapInArrow(_distances(chosen, samples, k), shape))
-    placed, asking = _dealt(table, BLOCK, "block"), _dealt(table.where("is_query"), QUERY_BLOCK, "query_block")
+    forget(rows)
+    placed, asking = _dealt(table, BLOCK, "block"), _filled(_dealt(table.where("is_query"), QUERY_BLOCK, "query_block"), QUERY_BLOCK, "query_block")
+    forget(table)
     routed = cut(_routes(placed, asking))
     queries = asking.join(routed, ["row", "query_block"])
     wanted = routed.join(asking.select("row", "dim"), "row").select("block", "query_block", "dim").distinct()
@@ -192,6 +194,15 @@ def _dealt(table: DataFrame, rows: int, name: str) -> DataFrame:
     return cut(dealt.select(name, "row", "vec_id", "dim", "data", "distances", "norm", "first"))
 
 
+def _filled(dealt: DataFrame, rows: int, name: str) -> DataFrame:
+    """The same with neighbouring blocks as one until it is full, as a session may deal rows out more finely than asked."""
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    sizes = dealt.groupBy(F.col(name).alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.floor(F.coalesce(before, F.lit(0)) / rows).alias("_block"))
+    filled = cut(dealt.join(sizes, F.col(name) == F.col("_part")).withColumn(name, F.col("_block")).drop("_part", "_block"))
+    forget(dealt)
+    return filled
+
+
 def _routes(placed: DataFrame, asking: DataFrame) -> DataFrame:
     """row, query_block and block: the blocks that a query's bound doesn't rule out. Ranges of blocks meet queries some at a time."""
     ranges = cut(placed.select("block", "dim", "distances", "norm").groupBy("block", "dim").applyInPandas(_range_of_block, "block long, dim int, low binary, high binary, norm double"))

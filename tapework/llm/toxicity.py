@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_texts, some_at_a_time, text_or_empty, without
+from .common import forget, over_texts, some_at_a_time, text_or_empty, without
 from .labelled import held_out, sample_labels, sample_texts
 
 #: Labelled rows of each class that patterns and weights are learned from.
@@ -307,6 +307,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", most
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, len(x)), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     rows = texts.mapInArrow(describe, "label int, x array<double>").toPandas()  # no more rows than the sample
+    forget(texts)
     if not len(rows) or rows["label"].nunique() < 2:
         return Grammar(patterns)
     x, y = np.array(rows["x"].tolist()), rows["label"].to_numpy(float)
