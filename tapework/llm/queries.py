@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, langid, line_dedup, mixing, packing, quality, simhash, token_shards, topk, toxicity
+from . import embedding_dedup, fill_middle, fingerprints, langid, line_dedup, mixing, packing, periodic_runs, quality, simhash, token_shards, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_top_k": topk.op9_top_k,
     "op10_quality": quality.op10_quality,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op11_fingerprints": fingerprints.OP11_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
 }
