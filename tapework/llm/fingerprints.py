@@ -10,15 +10,16 @@ A shingle's hash is a sum of its words' 64-bit hashes, each times an odd number
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, over_texts, partitions, some_at_a_time, table, text_or_empty, unused, without
+from .common import over_texts, partitions, some_at_a_time, table, text_or_empty
 from .flat import runs_of
 
 #: Of the hashes, one in so many is kept.
@@ -120,8 +121,6 @@ def merged(fingerprints: Column, scale: int = SCALE) -> Column:
 
 
 MADE = ["n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-#: What a row of a partition is: one that is done, and the first and last text of a partition, which neighbours need.
-DONE, FIRST, LAST = 0, 1, 2
 
 
 def _edit(text: str, following: str) -> str:
@@ -130,53 +129,50 @@ def _edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _compared(rows: pa.RecordBatch, following: pa.Array, shingle: int, scale: int, own: tuple | None = None, after: tuple | None = None) -> pa.RecordBatch:
-    """doc_id and MADE of rows (doc_id, text) by the texts that follow them. own and after: the sketches of both, if they are there already."""
-    texts = rows.column("text").to_pylist()
-    edited = pa.array(list(map(_edit, texts, following.to_pylist())), pa.string())
-    own, after = own or sketches(rows.column("text"), shingle, scale), after or sketches(following, shingle, scale)
+def _compared(rows: pa.RecordBatch, shingle: int, scale: int) -> pa.RecordBatch:
+    """doc_id and MADE of all rows but the last, each by the text that follows it."""
+    hashes, bounds = sketches(rows.column("text"), shingle, scale)
+    n, texts = len(rows) - 1, rows.column("text").to_pylist()
+    own, after = (hashes[: bounds[n]], bounds[: n + 1]), (hashes[bounds[1] :], bounds[1:] - bounds[1])
+    edited = pa.array(list(map(_edit, texts[:-1], texts[1:])), pa.string())
     changed = sketches(edited, shingle, scale)
-    columns = [pa.array(list(map(len, texts)), pa.int64()), edited, pa.array(_written(*own), pa.string()), pa.array(_written(*changed), pa.string()), pa.array(_likeness(own, changed)), pa.array(_likeness(own, after))]
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", *MADE])
+    columns = [pa.array(list(map(len, texts[:-1])), pa.int64()), edited, pa.array(_written(*own), pa.string()), pa.array(_written(*changed), pa.string()), pa.array(_likeness(own, changed)), pa.array(_likeness(own, after))]
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").slice(0, n), *columns], ["doc_id", *MADE])
 
 
-def _in_order(shingle: int, scale: int):
-    """Rows come in order, whole partitions. Every row but the last is done; the first and the last text also leave as they are."""
-
-    def end(row: pa.RecordBatch, kind: int, part: int) -> pa.RecordBatch:
-        blank = [pa.nulls(1, pa.int64()), row.column("text"), *[pa.nulls(1, pa.string())] * 2, *[pa.nulls(1, pa.float64())] * 2]
-        return pa.RecordBatch.from_arrays([row.column("doc_id"), *blank, pa.array([kind], pa.int32()), pa.array([part], pa.int64())], ["doc_id", *MADE, "kind", "part"])
+def _walk(shingle: int, scale: int):
+    """Rows come in order, range by range; each range ends in a borrowed row, the first of the next range, which gives nothing itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last = TaskContext.get().partitionId(), None
+        last = None
         for batch in batches:
             for at, texts in some_at_a_time(batch.column("text")):
                 rows = batch.slice(at, len(texts))
-                if last is None:
-                    yield end(rows.slice(0, 1), FIRST, part)
-                else:
+                if last is not None:
                     rows = pa.Table.from_batches([last, rows]).combine_chunks().to_batches()[0]
                 last = rows.slice(len(rows) - 1)
-                n = len(rows) - 1
-                if n:
-                    hashes, bounds = sketches(rows.column("text"), shingle, scale)
-                    own, after = (hashes[: bounds[n]], bounds[: n + 1]), (hashes[bounds[1] :], bounds[1:] - bounds[1])
-                    done = _compared(rows.slice(0, n), rows.column("text").slice(1), shingle, scale, own, after)
-                    yield pa.RecordBatch.from_arrays([*done.columns, pa.array(np.full(n, DONE), pa.int32()), pa.array(np.full(n, part), pa.int64())], [*done.schema.names, "kind", "part"])
-        if last is not None:
-            yield end(last, LAST, part)
+                if len(rows) > 1:
+                    own = pc.invert(rows.column("borrowed").slice(0, len(rows) - 1))
+                    yield _compared(rows, shingle, scale).filter(own)
 
     return run
 
 
-def _between(shingle: int, scale: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _compared(batch, batch.column("following"), shingle, scale)
+def _ranges(keys: list[tuple]):
+    """The range of each key, and for the first key of a range the range before too, which borrows it; the last range is before the first."""
+    first = {key: k for k, key in enumerate(keys)}
 
-    return run
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, hashes in batches:
+            out = []
+            for doc_id, text_hash in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+                key = (doc_id is None, *([] if doc_id is None else [doc_id]), text_hash)
+                k = bisect_right(keys, key) - 1
+                out.append([k, (k - 1) % len(keys)] if key in first else [k])
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return run.asNondeterministic()
 
 
 def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -187,23 +183,22 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SC
     next text's first, or all of that. near_edited and near_next are likenesses() of the fingerprint to that of the edited and of the next text.
     Null texts are empty ones: their fingerprint is empty, like only to another empty one. An empty table gives no rows.
 
-    Texts are dealt once, by ranges of doc_id, and walked in order; where two ranges meet, two texts a range are put together afterwards.
+    The table is dealt into as many ranges of doc_id as the session has shuffle partitions; the driver holds the first id of each. Texts are
+    shuffled once, to their range, and the first text of each range also to the one before; ranges are then walked in order.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_hash").asc()]
-    dealt = read.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    named = F.col("doc_id").isNull().alias("unnamed")
+    spread = read.select("doc_id", "text_hash").repartitionByRange(partitions(spark), *order)
+    firsts = spread.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(named, "doc_id", "text_hash")).alias("first")).select("first.*").collect()
+    keys = sorted((r["unnamed"], *([] if r["unnamed"] else [r["doc_id"]]), r["text_hash"]) for r in firsts)
+    to = F.posexplode(_ranges(keys)(F.col("doc_id"), F.col("text_hash"))).alias("turn", "range")
+    dealt = read.select("doc_id", "text", "text_hash", to).withColumn("borrowed", F.col("turn") > 0)
+    in_order = dealt.repartition(partitions(spark), "range").sortWithinPartitions("range", "borrowed", *order).select("doc_id", "text", "borrowed")
     shape = f"doc_id {id_type}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    walked = cut(dealt.mapInArrow(_in_order(shingle, scale), f"{shape}, kind int, part long"))
-    # From here two rows a partition.
-    ends = walked.where(F.col("kind") != DONE).select("doc_id", F.col("edited_text").alias("text"), "kind", "part")
-    parts = ends.where(F.col("kind") == FIRST).select("part")
-    start = parts.agg(F.min("part").alias("start"))
-    after = parts.withColumn("next_part", F.lead("part").over(Window.orderBy("part"))).crossJoin(F.broadcast(start)).select("part", F.coalesce("next_part", "start").alias("next_part"))
-    firsts = ends.where(F.col("kind") == FIRST).select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    lasts = ends.where(F.col("kind") == LAST).join(after, "part").join(firsts, "next_part").select("doc_id", "text", "following")
-    return walked.where(F.col("kind") == DONE).drop("kind", "part").unionByName(lasts.mapInArrow(_between(shingle, scale), shape))
+    return in_order.mapInArrow(_walk(shingle, scale), shape)
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
