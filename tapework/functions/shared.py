@@ -26,3 +26,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str):  # noqa: ANN201
+    """The file system of a path, as Hadoop has it, and the path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder with all in it; whether there was one."""
+    system, place = files(spark, path)
+    return system.delete(place, True)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.redaction import allowed, redacted, redacted_json
+from ..functions.shared import remove, stored
+
 ITEM = "item_id"
-# Keys that never leave, at any depth; so does every key that ends in _path.
-SENSITIVE_KEYS = {"api_key", "authorization", "volc_access_token", "access_token", "current_video", "render_source_video"}
 DECISION_KEYS = ["corrections", "break_hints", "allowed_breaks", "forbidden_breaks", "protected_spans", "delete_ranges", "applied_delete_ranges", "skipped_delete_ranges", "final_sentences"]
 SNAPSHOT_FIELDS = ["sentence_id", "start_us", "end_us", "text", "enabled", "remove_video", "timeline_order"]
 
@@ -78,37 +82,48 @@ def review_state(feedback: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select(ITEM, F.when(done & same, "completed").when(done, "needs_review").otherwise(F.coalesce("review_status", F.lit("pending"))).alias("state"))
 
 
-def _allowed(name: str) -> bool:
-    return name.lower() not in SENSITIVE_KEYS and not name.lower().endswith("_path")
-
+def redact(df: DataFrame, json_columns: Iterable[str] = ()) -> DataFrame:
+    """df without sensitive keys, at every depth of columns, structs, arrays, maps, VARIANT values and JSON in texts.
 
-def _redacted(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StructType):
-        kept = F.struct(*[_redacted(value[f.name], f.dataType).alias(f.name) for f in kind.fields if _allowed(f.name)])
-        return F.when(value.isNotNull(), kept)
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _redacted(x, kind.elementType))
-    if isinstance(kind, T.MapType):
-        safe = F.map_filter(value, lambda k, _: ~F.lower(k).isin(*SENSITIVE_KEYS) & ~F.lower(k).endswith("_path"))
-        return F.transform_values(safe, lambda _, v: _redacted(v, kind.valueType))
-    return value
+    A text in json_columns has to be JSON and is null where it can't be read. Any other text stays unless it is JSON with such keys, which go,
+    or broken JSON that shows one, which is null.
+    """
+    strict = set(json_columns)
+    columns = [(f.name, F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if allowed(f.name)]
+    return df.select(*[(redacted_json(c) if name in strict else redacted(c, kind)).alias(name) for name, c, kind in columns])
+
+
+def feedback_records(files: DataFrame, text: str = "value") -> DataFrame:
+    """Feedback files (a JSON text each) as rows that training_export() takes, their free parts as VARIANT. Unreadable files give no row."""
+    read = files.select(F.try_parse_json(text).alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    part = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    consent = F.coalesce(part("data_policy.training_consent", "boolean"), F.lit(False))
+    or_empty = lambda name, empty: F.coalesce(part(name, "variant"), F.parse_json(F.lit(empty))).alias(name)
+    return read.select(
+        part("job_id", "string").alias("job_id"), part("item_id", "string").alias("item_id"), part("updated_at", "string").alias("updated_at"), consent.alias("training_consent"),
+        or_empty("raw_transcript", "[]"), or_empty("initial_result", "{}"), or_empty("final_result", "{}"), or_empty("user_changes", "{}"), or_empty("ai_decision", "{}"),
+    )
 
 
-def redact(df: DataFrame) -> DataFrame:
-    """df without sensitive keys, in columns, structs, arrays and maps at every depth. Only the schema is looked at on the driver."""
-    return df.select(*[_redacted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if _allowed(f.name)])
+def _decision(feedback: DataFrame) -> tuple[Column, Column]:
+    """The decision keys of ai_decision, an empty list for those it hasn't, and its mode."""
+    kind, whole = feedback.schema["ai_decision"].dataType, F.col("ai_decision")
+    if isinstance(kind, T.VariantType):
+        part = lambda name: F.coalesce(F.try_variant_get(whole, f"$.{name}", "variant"), F.parse_json(F.lit("[]")))
+        return F.struct(*[part(k).alias(k) for k in DECISION_KEYS]), F.coalesce(F.try_variant_get(whole, "$.auto_edit_mode", "string"), F.lit("standard"))
+    has = set(kind.names)
+    parts = F.struct(*[(whole[k] if k in has else F.expr("cast(array() as array<string>)")).alias(k) for k in DECISION_KEYS])
+    return parts, F.coalesce(whole["auto_edit_mode"], F.lit("standard")) if "auto_edit_mode" in has else F.lit("standard")
 
 
 def training_export(feedback: DataFrame) -> DataFrame:
     """Records of feedback with consent, redacted: id, schema_version, prompt, rejected, chosen, ai_decision, user_changes.
 
     feedback: job_id, item_id, updated_at, training_consent, raw_transcript, initial_result, final_result, user_changes and
-    ai_decision, a struct with some of the decision keys. id is 24 signs of a hash of job, item and time of update.
+    ai_decision, a struct with some of the decision keys or a VARIANT. id is 24 signs of a hash of job, item and time of update.
     """
     ident = F.left(F.sha2(F.to_json(F.struct(F.col("item_id").alias("item"), F.col("job_id").alias("job"), F.col("updated_at").alias("updated"))), 256), F.lit(24))
-    has = set(feedback.schema["ai_decision"].dataType.names)
-    decision = F.struct(*[(F.col("ai_decision")[k] if k in has else F.expr("cast(array() as array<string>)")).alias(k) for k in DECISION_KEYS])
-    mode = F.coalesce(F.col("ai_decision")["auto_edit_mode"], F.lit("standard")) if "auto_edit_mode" in has else F.lit("standard")
+    decision, mode = _decision(feedback)
     records = feedback.where("coalesce(training_consent, false)").select(
         ident.alias("id"), F.lit(1).alias("schema_version"), F.struct(F.col("raw_transcript"), mode.alias("auto_edit_mode")).alias("prompt"),
         F.col("initial_result").alias("rejected"), F.col("final_result").alias("chosen"), decision.alias("ai_decision"), "user_changes",
@@ -116,11 +131,65 @@ def training_export(feedback: DataFrame) -> DataFrame:
     return redact(records)
 
 
+def write_training_export(feedback: DataFrame, path: str) -> tuple[int, int]:
+    """Write training_export() as a JSON row for each record, in place of what is at path; how many were exported, and skipped for want of consent.
+
+    Both are counted in the pass that writes, by an observation below the filter, so nothing is read twice.
+    """
+    seen = Observation()
+    consent = F.coalesce(F.col("training_consent"), F.lit(False))
+    counted = feedback.observe(seen, F.count_if(consent).alias("exported"), F.count_if(~consent).alias("skipped"))
+    training_export(counted).write.mode("overwrite").json(path)
+    return seen.get["exported"], seen.get["skipped"]
+
+
 def forget(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """df without the items of keys. Write it back by dynamic partition overwrite."""
+    """df without the items of keys."""
     return df.join(keys.select(ITEM).distinct(), ITEM, "left_anti")
 
 
+def _folder(values: Row) -> str:
+    """The folder that Spark's writer gives a partition."""
+    escape = lambda v: "__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 else c for c in str(v))
+    return "/".join(f"{k}={escape(v)}" for k, v in values.asDict().items())
+
+
+# Signs that are escaped in the names of partitions' folders.
+_ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"_{c}"]) for c in by])
+
+
+def forget_in_tables(spark: SparkSession, tables: dict[str, list[str]], keys: DataFrame) -> DataFrame:
+    """Delete the items of keys from partitioned Parquet tables, with proof. A row for each table: path, partitions, rewritten, emptied, deleted, left.
+
+    tables: path to partition columns. Only partitions that hold a key (`rewritten`, of so many `partitions`) are read as a whole and
+    replaced, by dynamic partition overwrite from a copy in the shared folder; those that hold nothing else (`emptied` of them) lose
+    their folder. deleted counts rows; left counts rows of the keys afterwards, over all files of the table, and is 0. A null item_id in keys
+    matches nothing. What is deleted isn't found again, so a run can be repeated; nobody else may write those partitions meanwhile, and if
+    Spark dies while it puts the new partitions in place, their rows are in the copy.
+    """
+    wanted, report = stored(keys.select(ITEM).where(F.col(ITEM).isNotNull()).distinct()), []
+    for path, by in tables.items():
+        # As text, partition values keep the very form that their folders have.
+        shape = T.StructType([T.StructField(f.name, T.StringType() if f.name in by else f.dataType) for f in spark.read.parquet(path).schema])
+        table = spark.read.schema(shape).parquet(path)
+        partitions = table.select(*by).distinct().count()
+        held = stored(table.join(wanted, ITEM, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("deleted")))
+        touched = held.select(*[F.col(c).alias(f"_{c}") for c in by])
+        rest = stored(table.join(touched, _same(table, touched, by), "left_semi").join(wanted, ITEM, "left_anti"))
+        rest.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        kept = rest.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+        emptied = [remove(spark, f"{path}/{_folder(row)}") for row in held.join(kept, _same(held, kept, by), "left_anti").select(*by).toLocalIterator()]
+        spark.catalog.refreshByPath(path)
+        rewritten, deleted = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("deleted"), F.lit(0))).first()
+        left = spark.read.schema(shape).parquet(path).join(wanted, ITEM, "left_semi").count()
+        report.append((path, partitions, rewritten, len(emptied), deleted, left))
+    return spark.createDataFrame(report, "path string, partitions long, rewritten long, emptied long, deleted long, left long")
+
+
 def auto_apply(suggestions: DataFrame) -> DataFrame:
     """Suggestions that may be applied unasked: sure, of low risk, repeats or fillers, of at most two seconds."""
     return suggestions.where((F.col("confidence") >= 0.9) & (F.col("risk") == "low") & F.col("category").isin("repeat", "filler") & (F.col("seconds") <= 2.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
 from ..operators import evaluation, governance
 from .conv import TURNS_SQL, conv_turns, table
 from .interval_queries import SENTENCES_SQL, conv_sentences
@@ -118,10 +119,38 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties as a map, with keys that mustn't leave."""
-    extra = F.map_from_arrays(F.array(F.lit("source_path"), F.lit("API_KEY"), F.lit("kind")), F.array(F.lit("/x"), F.lit("k"), F.col("event_type")))
-    rows = table(spark, sf_dir, "events").select("event_id", extra.alias("props"), F.lit("t").alias("access_token"), F.struct(F.col("user_id"), F.lit("v").alias("current_video")).alias("who"))
-    return governance.redact(rows).select("event_id", F.to_json("props").alias("props"), F.to_json("who").alias("who"))
+    """Event properties, a JSON text each, put beside keys that mustn't leave and under them, as text, as VARIANT and in a map; some are broken."""
+    put = lambda a, b: F.concat(F.lit(a), F.coalesce("props", F.lit("{}")), F.lit(b))
+    nested = put('{"Api_Key":"S3CRET","deep":[{"source_path":"/x","props":', '},{"authorization":{"k":"S3CRET"}}],"access_token":["S3CRET"]}')
+    text = F.when(F.col("event_id") % 10 == 0, put('{"api_key":"S3CRET","props":', "")).otherwise(nested)
+    extra = F.map_from_arrays(F.array(F.lit("source_path"), F.lit("API_KEY"), F.lit("kind"), F.lit("props")), F.array(F.lit("/x"), F.lit("k"), F.col("event_type"), nested))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("props"), text.alias("note"), F.parse_json(nested).alias("value"), extra.alias("extra"), F.lit("t").alias("access_token"), F.struct(F.col("user_id"), F.lit("v").alias("current_video")).alias("who"))
+    clean = governance.redact(rows, json_columns=["props"])
+    return clean.select("event_id", "props", "note", F.to_json("value").alias("value"), F.col("extra")["kind"].alias("kind"), F.col("extra")["props"].alias("extra_props"), F.size("extra").alias("extras"), F.to_json("who").alias("who"))
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback files made of orders and their lines, exported to JSON rows and read again, with how many were exported and skipped.
+
+    One order in three has consent; one in fifty is a broken file.
+    """
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("text"), F.lit("/x/y").alias("clip_path"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("raw_transcript"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    secret = F.struct(F.lit("S3CRET").alias("api_key"), F.col("o_orderstatus").alias("state"), F.to_json(F.struct(F.lit("S3CRET").alias("Authorization"), F.col("o_orderkey").alias("n"))).alias("settings"))
+    file = F.struct(
+        F.concat(F.lit("job-"), "o_custkey").alias("job_id"), F.col("o_orderkey").cast("string").alias("item_id"), F.lit("2024-01-01T00:00:00").alias("updated_at"), F.struct((F.col("o_orderkey") % 3 == 0).alias("training_consent")).alias("data_policy"),
+        F.col("raw_transcript"), secret.alias("initial_result"), F.struct(F.array(secret).alias("sentences")).alias("final_result"), F.struct(F.array("o_orderkey").alias("corrections"), F.lit("aggressive").alias("auto_edit_mode"), F.lit("S3CRET").alias("volc_access_token")).alias("ai_decision"),
+    )
+    value = F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("{"), F.to_json(file))).otherwise(F.to_json(file))
+    path = shared_path(spark, "export")
+    done, skipped = governance.write_training_export(governance.feedback_records(orders.select(value.alias("value"))), path)
+    rows = spark.read.text(path)
+    at = lambda p: F.get_json_object("value", f"$.{p}")
+    return rows.select(
+        at("id").alias("id"), at("prompt.auto_edit_mode").alias("mode"), F.size(F.from_json(at("prompt.raw_transcript"), "array<struct<n:int>>")).cast("long").alias("lines"), at("rejected").alias("rejected"), at("chosen.sentences[0].state").alias("state"),
+        at("ai_decision.corrections").alias("corrections"), at("ai_decision.final_sentences").alias("final_sentences"), at("user_changes").alias("user_changes"), (F.col("value").contains("S3CRET") | F.col("value").contains("_path")).alias("leaks"), F.lit(done).alias("exported"), F.lit(skipped).alias("skipped"),
+    )
 
 
 def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +158,19 @@ def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.forget(docs, table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("item_id")))
 
 
+def forgotten_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback and baseline of orders as two tables by priority and day of the month, after orders of two customers in a hundred are deleted from both."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_custkey")
+    feedback, baseline = shared_path(spark, "feedback"), shared_path(spark, "baseline")
+    orders.repartition("priority").write.partitionBy("priority").parquet(feedback)
+    orders.repartition("month").write.partitionBy("month").parquet(baseline)
+    gone = orders.where("o_custkey % 50 = 7 OR month = '1995-03'").select("item_id")
+    report = governance.forget_in_tables(spark, {feedback: ["priority"], baseline: ["month"]}, gone)
+    read = lambda path, name: spark.read.parquet(path).select(F.lit(name).alias("name"), F.lit(path).alias("path"), "item_id")
+    left = read(feedback, "feedback").unionByName(read(baseline, "baseline")).join(report, "path")
+    return left.select("name", "item_id", "partitions", "rewritten", "emptied", "deleted", F.col("left").alias("found"))
+
+
 def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     category = F.element_at(F.array(F.lit("repeat"), F.lit("filler"), F.lit("pause")), (F.col("event_id") % 3 + 1).cast("int"))
@@ -139,7 +181,7 @@ def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "evaluation_samples": _samples, "evaluation_metrics": metrics, "evaluation_summary": summary, "duplicate_sources": duplicates, "fingerprint": prints, "stage_elapsed": elapsed,
     "usage_rollup": usage, "decision_metrics": traces, "snapshot": snapshots, "diff_snapshots": differences, "review_state": reviews, "training_export": export, "redact": redacted,
-    "forget": forgotten, "auto_apply_filter": applied,
+    "forget": forgotten, "forget_in_tables": forgotten_in_tables, "export_feedback": exported, "auto_apply_filter": applied,
 }
 
 _AUTO = ", ".join(f"coalesce(sum({c}) FILTER (WHERE eligible), 0)::BIGINT AS {c}" for c in evaluation.DECISION_COLUMNS)
@@ -184,7 +226,15 @@ ORACLE_SQL = {
     "review_state": "SELECT l.doc_id AS item_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'completed' WHEN quality = 1 THEN 'needs_review' ELSE 'pending' END AS state FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
     "training_export": """WITH t AS (SELECT conv_id, count(*)::INTEGER AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
       SELECT left(sha256('{"item":' || conv_id || ',"job":"job","updated":"2024-01-01T00:00:00"}'), 24) AS id, 1 AS schema_version, turns, 'aggressive' AS mode, md5(text) AS rejected_md5, '{"added":[' || conv_id || ']}' AS user_changes, 'c1' AS corrections, 0 AS final_sentences FROM t WHERE conv_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
-    "redact": """SELECT event_id, '{"kind":"' || event_type || '"}' AS props, '{"user_id":' || user_id || '}' AS who FROM events""",
+    "redact": """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN '{"deep":[{"props":' || replace(coalesce(props, '{}'), ' ', '') || '},{}]}' END AS props, CASE WHEN event_id % 10 <> 0 THEN '{"deep":[{"props":' || replace(coalesce(props, '{}'), ' ', '') || '},{}]}' END AS note,
+      '{"deep":[{"props":' || replace(coalesce(props, '{}'), ' ', '') || '},{}]}' AS value, event_type AS kind, '{"deep":[{"props":' || replace(coalesce(props, '{}'), ' ', '') || '},{}]}' AS extra_props, 2::INTEGER AS extras, '{"user_id":' || user_id || '}' AS who FROM events""",
+    "export_feedback": """WITH o AS (SELECT *, row_number() OVER () AS r FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), n AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY ALL)
+      SELECT left(sha256('{"item":"' || o_orderkey || '","job":"job-' || o_custkey || '","updated":"2024-01-01T00:00:00"}'), 24) AS id, 'aggressive' AS mode, lines, '{"settings":"{\\"n\\":' || o_orderkey || '}","state":"' || o_orderstatus || '"}' AS rejected, o_orderstatus AS state, '[' || o_orderkey || ']' AS corrections, '[]' AS final_sentences, '{}' AS user_changes, false AS leaks,
+      (SELECT count(*) FROM o WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 <> 0) AS exported, (SELECT count(*) FROM o WHERE o_orderkey % 3 <> 0 AND o_orderkey % 50 <> 0) AS skipped FROM o JOIN n ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 <> 0""",
+    "forget_in_tables": """WITH o AS (SELECT o_orderkey AS item_id, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m') AS month, o_custkey % 50 = 7 OR strftime(o_orderdate, '%Y-%m') = '1995-03' AS gone FROM orders),
+      t AS (SELECT 'feedback' AS name, item_id, priority AS part, gone FROM o UNION ALL SELECT 'baseline', item_id, month, gone FROM o),
+      p AS (SELECT name, part, bool_or(gone) AS touched, bool_and(gone) AS emptied FROM t GROUP BY ALL), c AS (SELECT name, count(*) AS partitions, count(*) FILTER (WHERE touched) AS rewritten, count(*) FILTER (WHERE emptied) AS emptied FROM p GROUP BY ALL), d AS (SELECT name, count(*) FILTER (WHERE gone) AS deleted FROM t GROUP BY ALL)
+      SELECT name, item_id, partitions, rewritten, emptied, deleted, 0::BIGINT AS found FROM t JOIN c USING (name) JOIN d USING (name) WHERE NOT gone""",
     "forget": "SELECT doc_id AS item_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "auto_apply_filter": "SELECT * FROM (SELECT event_id, event_id % 101 / 100 AS confidence, CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END AS risk, ['repeat', 'filler', 'pause'][event_id % 3 + 1] AS category, event_id % 7 / 2 AS seconds FROM events) WHERE confidence >= 0.9 AND risk = 'low' AND category IN ('repeat', 'filler') AND seconds <= 2.0",
 }

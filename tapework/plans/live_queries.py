@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_path
 from ..operators import alignment, segmentation
-from ..sources import files
+from ..sources import files, stages
 from ..streaming import live
 from ..streaming.run import event_stream, run_append, run_update
 from .conv import TURNS_SQL, conv_tokens, conv_turns, table
@@ -118,11 +119,28 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conv_turns(spark, sf_dir).select("item_id", "utt", "start_us")
     place, key = shared_path(spark, "stages"), ["item_id", "utt"]
     for rows, version in ((turns.where("item_id % 2 = 0"), "1"), (turns.where("utt < 2"), "2"), (turns.union(turns), "1"), (turns, "1")):
-        files.publish_stage(rows, place, "turns", version, key)
-    both = [files.read_stage(spark, place, "turns", v, key).withColumn("version", F.lit(v)) for v in ("1", "2")]
+        stages.publish_stage(rows, place, "turns", version, key)
+    both = [stages.read_stage(spark, place, "turns", v).withColumn("version", F.lit(v)) for v in ("1", "2")]
     return both[0].unionByName(both[1])
 
 
+def published_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of orders' lines as a stage whose input changes for some orders, published by two runs at once, and then without some orders.
+
+    What has the same input isn't stored again, although the second result would be another.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("long").alias("length"))
+    place, key = shared_path(spark, "stages"), ["item_id", "line"]
+    stages.publish_stage(lines, place, "lengths", "1", key, F.md5(F.col("length").cast("string")))
+    changed = F.col("item_id") % 5 == 0
+    again = lines.withColumn("length", F.col("length") + F.when(changed, 1000).otherwise(7))
+    read = F.md5((F.col("length") - F.when(changed, 0).otherwise(7)).cast("string"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda rows: stages.publish_stage(rows, place, "lengths", "1", key, read), [again.where("line < 4"), again.where("line > 2")]))
+    stages.forget_published(spark, place, lines.where("item_id % 7 = 0").select("item_id"))
+    return stages.read_stage(spark, place, "lengths", "1")
+
+
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks of a script that has other words for every third token."""
     tokens = conv_tokens(spark, sf_dir).select("item_id", "pos", "text")
@@ -192,7 +210,7 @@ def quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "script_units": units, "alignment_prefilter": prefilter, "align_script": aligned_tokens, "alignment_report": report, "read_asr": responses, "write_srt": srt, "read_srt": srt_read,
-    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": enriched, "pending_chunks": pending, "read_scripts": scripts_read, "publish_stage": published, "carry_breaks": broken, "stalled_items_stream": stalled_live, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
+    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": enriched, "pending_chunks": pending, "read_scripts": scripts_read, "publish_stage": published, "publish_changed": published_again, "carry_breaks": broken, "stalled_items_stream": stalled_live, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
     "stage_latency_stream": latency, "ops_metrics_stream": metrics, "edit_sessions_stream": sessions, "stalled_items": stalled, "silence_stream": quiet,
 }
 
@@ -218,6 +236,7 @@ ORACLE_SQL = {
     "enrich_incremental": """WITH c AS (SELECT doc_id, coalesce(text, '') AS p, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents), k AS (SELECT *, bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0) OVER (PARTITION BY content_key) AS cached FROM c)
       SELECT doc_id AS chunk_id, content_key, CASE WHEN NOT cached AND length(p) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN cached THEN 'from the cache' ELSE md5(p) END AS result, CASE WHEN cached THEN 0 ELSE len(regexp_extract_all(p, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS tokens, cached FROM k""",
     "read_scripts": "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN coalesce(source, '') || ' 中文' ELSE coalesce(text, '') END) AS text_md5 FROM documents",
+    "publish_changed": "SELECT l_orderkey AS item_id, l_linenumber AS line, sum(l_quantity)::BIGINT + CASE WHEN l_orderkey % 5 = 0 THEN 1000 ELSE 0 END AS length FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey, l_linenumber",
     "publish_stage": f"WITH {TURNS_SQL} SELECT item_id, utt, start_us, '1' AS version FROM conv_turns UNION ALL SELECT item_id, utt, start_us, '2' FROM conv_turns WHERE utt < 2",
     "carry_breaks": f"WITH {TURNS_SQL}, p AS (SELECT item_id, pos, text, pos % 5 <> 4 AS paired, ['。', ',', NULL, '；'][pos % 4 + 1] AS sign FROM conv_tokens) SELECT item_id, pos, CASE WHEN paired AND pos % 3 = 0 THEN text || '+' ELSE text END AS text, text AS original_text, paired AND pos % 7 = 0 AS manual_break_after, CASE WHEN paired THEN sign END AS script_punctuation_after, paired AND coalesce(sign IN ('。', '；'), false) AS script_sentence_break_after, paired AND coalesce(sign = ',', false) AS script_phrase_break_after FROM p",
     "stalled_items_stream": "WITH l AS (SELECT user_id AS item_id, arg_max(['running', 'queued', 'cancelling', 'pausing', 'done'][event_id % 5 + 1], (ts, event_id)) AS state, max(ts) AS t FROM events GROUP BY user_id) SELECT item_id, state, CASE WHEN state = 'cancelling' THEN 'cancelled' WHEN state = 'pausing' THEN 'paused' WHEN state IN ('running', 'queued') THEN CASE WHEN item_id % 2 = 0 THEN 'queued' ELSE 'paused' END ELSE state END AS new_state FROM l WHERE epoch_ms(t) + 43200000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)",

@@ -1,18 +1,14 @@
-"""Readers and writers of transcripts, scripts, subtitles, segments and job folders, and published stages.
+"""Readers and writers of transcripts, scripts, subtitles, segments and job folders.
 
 Paths are whatever Spark's readers open. Every parser also works on a text column, so that it can be used on tables.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
 from ..functions.text import srt_time, to_us
 from ..operators.scripts import strip_marks
 from ..operators.tokens import tokens_from_words
@@ -166,36 +162,3 @@ def read_job_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         valid = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise("{}")
         tables[kind] = files.select(F.regexp_extract("file", r"([^/]+)/work/", 1).alias("job_id"), F.regexp_extract("file", r"/work/([^/]+)/", 1).alias("item_id"), valid.alias("value"))
     return tables
-
-
-def _published(spark: SparkSession, path: str, stage: str, version: str) -> DataFrame | None:
-    """All rows that the table at path has of a stage and version; None if there is no table."""
-    try:
-        return spark.read.parquet(path).where((F.col("stage") == stage) & (F.col("version") == version))
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def publish_stage(df: DataFrame, path: str, stage: str, version: str, key: list[str]) -> int:
-    """Append the rows of df whose key the stage and version of the table at path doesn't have; how many that were.
-
-    A repeated run publishes nothing. Two runs at once may both append a key; read_stage() gives it once, from the first of
-    their names. Spark's committer shows a run's files only when all of them are written.
-    """
-    fresh, known = df.dropDuplicates(key), _published(df.sparkSession, path, stage, version)
-    if known is not None:
-        fresh = fresh.join(known.select(*key), key, "left_anti")
-    fresh = stored(fresh.withColumns({"run": F.lit(uuid.uuid4().hex), "stage": F.lit(stage), "version": F.lit(version)}))
-    n = fresh.count()
-    if n or known is None:
-        fresh.write.mode("append").partitionBy("stage", "version").parquet(path)
-    return n
-
-
-def read_stage(spark: SparkSession, path: str, stage: str, version: str, key: list[str]) -> DataFrame:
-    """The rows of a published stage, each key once."""
-    rows = _published(spark, path, stage, version)
-    rest = [c for c in rows.columns if c not in (*key, "run", "stage", "version")]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), "run").alias("_row")).select(*key, "_row.*") if rest else rows.select(*key).distinct()

@@ -151,49 +151,6 @@ def test_job_tree(spark, tmp_path):
     assert {r["item_id"] for r in tree["ai_decisions"].collect()} == {"001"} and tree["training_feedback"].count() == 0
 
 
-def test_stages_that_two_runs_publish_at_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v long")
-    place = str(tmp_path / "stages")
-    files.publish_stage(rows, place, "s", "1", ["key"])
-    # What a second run writes that looked before the first had written.
-    rows.withColumns({"run": F.lit("other"), "stage": F.lit("s"), "version": F.lit("1")}).write.mode("append").partitionBy("stage", "version").parquet(place)
-    assert sorted(map(tuple, files.read_stage(spark, place, "s", "1", ["key"]).collect())) == [("a", 1), ("b", 2)]
-
-
-# -- streams of several files, with rows that come too late
-
-
-HOUR = 3600
-#: What the times count from, a full hour. A row is late if it is behind the watermark that the batch before was done with.
-BASE = 472_222 * HOUR
-
-
-class Feed:
-    """A folder that gets one file after the other, each of which is a micro-batch."""
-
-    def __init__(self, spark, tmp_path, columns):
-        self.spark, self.tmp, self.n = spark, tmp_path, 0
-        self.columns = columns
-        (tmp_path / "in").mkdir()
-
-    def add(self, *rows):
-        self.n += 1
-        frame = self.spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in self.columns.items()))
-        frame.toPandas().to_parquet(self.tmp / f"{self.n:03}.parquet", coerce_timestamps="us")
-        (self.tmp / f"{self.n:03}.parquet").rename(self.tmp / "in" / f"{self.n:03}.parquet")
-
-    def stream(self):
-        shape = ", ".join(f"{c} {t}" for c, t in self.columns.items())
-        raw = self.spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(self.tmp / "in"))
-        return raw.withColumn("ts", F.timestamp_seconds(F.col("at") + BASE)).drop("at")
-
-    def run(self, stream, mode):
-        """All that the stream emits for the files that are there; its checkpoint goes on where the last run stopped."""
-        seen = []
-        query = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, _: seen.extend(r.asDict() for r in rows.collect())).option("checkpointLocation", str(self.tmp / "checkpoint")).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return seen
-
 
 def test_late_rows_of_metrics(spark, tmp_path):
     feed = Feed(spark, tmp_path, {"at": "long", "ok": "boolean", "tokens": "long"})

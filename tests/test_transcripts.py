@@ -158,9 +158,6 @@ def test_files(spark, tmp_path):
     files.write_srt(cue, str(tmp_path / "srt"))
     back = files.read_srt(spark, str(tmp_path / "srt" / "item_id=1")).collect()
     assert [(r["start_us"], r["end_us"], r["text"]) for r in back] == [(500_000, 2_000_000, "a b")]
-    rows = spark.createDataFrame([("k1", 1), ("k2", 2)], "key string, v long")
-    place = str(tmp_path / "stage")
-    assert files.publish_stage(rows, place, "s", "1", ["key"]) == 2 and files.publish_stage(rows, place, "s", "1", ["key"]) == 0 and files.publish_stage(rows, place, "s", "2", ["key"]) == 2
     (tmp_path / "job1").mkdir()
     (tmp_path / "job1" / "job.json").write_text("not json")
     assert files.read_job_tree(spark, str(tmp_path / "job1"))["jobs"].collect()[0]["status"] is None
