@@ -230,6 +230,24 @@ def token_conservation(source: DataFrame, mapped: DataFrame, removed: DataFrame)
     return counted.withColumn("order_changed", clean & (F.col("_backs") > 0)).drop("_backs").where(~clean | F.col("order_changed"))
 
 
+def write_conserved(source: DataFrame, mapped: DataFrame, removed: DataFrame, path: str, fail: bool = False) -> None:
+    """Write mapped, in place of what is at path, in one pass that lets only conserved items through; see token_conservation().
+
+    Rows of good items are in the folder's partition gate=clean, those of items with lost, added, repeated or moved tokens in gate=quarantine,
+    with an error that says what is wrong. An item that lost all of its tokens has a row there of its own, without a position. With fail
+    the write fails at the first such row, and nothing is at path then.
+    """
+    parts = [F.when(F.col(c) > 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in ("missing", "unexpected", "duplicates")]
+    error = F.concat_ws("; ", *parts, F.when(F.col("order_changed"), F.lit("order_changed=true")))
+    broken = token_conservation(source, mapped, removed).select(ITEM, error.alias("error"))
+    gone = broken.join(mapped.select(ITEM).distinct(), ITEM, "left_anti")
+    rows = mapped.join(broken, ITEM, "left").unionByName(gone, allowMissingColumns=True)
+    if fail:
+        message = F.concat(F.lit("token integrity check failed for item "), F.col(ITEM).cast("string"), F.lit(": "), "error")
+        rows = rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(message).cast("string")))
+    rows.withColumn("gate", F.when(F.col("error").isNull(), "clean").otherwise("quarantine")).write.mode("overwrite").partitionBy("gate").parquet(path)
+
+
 def flag_repeats(sentences: DataFrame, candidates: DataFrame) -> DataFrame:
     """sentences with repeat_candidate: one of their positions is in a candidate. Both: item_id and positions; sentences: sentence_id."""
     marked = candidates.select(ITEM, F.explode("positions").alias("pos")).distinct()

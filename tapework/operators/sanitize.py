@@ -20,29 +20,31 @@ KINDS = ["corrections", "break_hints", "allowed_breaks", "forbidden_breaks", "pr
 GAP_END_US, MOST_ORDER = 3_600_000_000, 100_000.0
 
 
-def sanitize_annotations(raw: DataFrame, value: str = "value") -> DataFrame:
+def sanitize_annotations(raw: DataFrame, value: str = "value", response: str | None = None) -> DataFrame:
     """Annotations of model responses: item_id, kind, seq (from 1 among what the kind lists), token_ids, after_token_id, type, text, replacement, confidence, reason.
 
-    raw: item_id and value, a response as JSON text, perhaps with chatter around it. Entries without what their kind needs are
+    raw: item_id and value, a response as JSON text, perhaps with chatter around it. An item has one response, or several that the column
+    `response` tells apart, which then comes after item_id; each is numbered and judged by itself. Entries without what their kind needs are
     left out. A response with a confidence that is no number, in an entry that would have stayed, is not used: it gives one row of
     the kind quarantined, as does a response that can't be read. Missing confidences are 0, others are held within 0 and 1.
     """
+    by = [ITEM] if response is None else [ITEM, response]
     body = F.regexp_extract(F.coalesce(F.col(value), F.lit("")), r"(?s)\{.*\}", 0)
-    read = raw.select(ITEM, F.try_parse_json(body).alias("_json"))
+    read = raw.select(*by, F.try_parse_json(body).alias("_json"))
     none = F.expr("cast(array() as array<variant>)")
 
     def entries(kind: str) -> Column:
         return F.transform(F.coalesce(F.try_variant_get("_json", f"$.{kind}", "array<variant>"), none), lambda v, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("seq"), v.alias("v")))
 
     listed = F.concat(*map(entries, KINDS))
-    rows = read.select(ITEM, F.col("_json").isNull().alias("_unread"), F.explode_outer(listed).alias("e")).select(ITEM, "_unread", "e.kind", "e.seq", "e.v")
+    rows = read.select(*by, F.col("_json").isNull().alias("_unread"), F.explode_outer(listed).alias("e")).select(*by, "_unread", "e.kind", "e.seq", "e.v")
     get = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
     said = lambda name, most: F.left(F.coalesce(get(name), F.lit("")), F.lit(most))
     given = get("confidence", "variant")
     number = get("confidence", "double")
     ids = get("token_ids", "array<string>")
     rows = rows.select(
-        ITEM, "_unread", "kind", "seq", ids.isNotNull().alias("_list"), F.filter(F.coalesce(ids, F.expr("cast(array() as array<string>)")), lambda x: x.isNotNull() & (x != "")).alias("token_ids"), get("after_token_id").alias("_after"),
+        *by, "_unread", "kind", "seq", ids.isNotNull().alias("_list"), F.filter(F.coalesce(ids, F.expr("cast(array() as array<string>)")), lambda x: x.isNotNull() & (x != "")).alias("token_ids"), get("after_token_id").alias("_after"),
         get("type").alias("_type"), F.when(F.col("kind") == "final_sentences", said("text", SENTENCE_CHARS)).otherwise(said("text", REASON_CHARS)).alias("text"), said("replacement", REASON_CHARS).alias("replacement"),
         F.when(given.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).alias("confidence"), (given.isNotNull() & number.isNull()).alias("_no_number"), said("reason", REASON_CHARS).alias("reason"),
     )
@@ -57,15 +59,15 @@ def sanitize_annotations(raw: DataFrame, value: str = "value") -> DataFrame:
     # What fails a response is read before the entry is judged in full: of corrections and forbidden breaks every entry's confidence counts.
     asked = F.when(kind == "forbidden_breaks", F.lit(True)).when(kind == "corrections", F.col("_list")).when(kind == "final_sentences", F.lit(False)).otherwise(stays)
     rows = rows.withColumns({"_stays": F.coalesce(stays, F.lit(False)), "_fails": F.coalesce(asked & F.col("_no_number"), F.lit(False)) | F.col("_unread")})
-    rows = rows.withColumn("_failed", F.max("_fails").over(Window.partitionBy(ITEM)))
+    rows = rows.withColumn("_failed", F.max("_fails").over(Window.partitionBy(*by)))
     boundary = kind.isin("break_hints", "allowed_breaks") | ((kind == "forbidden_breaks") & ~span)
     none = F.lit(None).cast("string")
     good = rows.where("_stays AND NOT _failed").select(
-        ITEM, "kind", "seq", F.when(boundary, F.expr("cast(array() as array<string>)")).otherwise(F.col("token_ids")).alias("token_ids"), F.when(boundary, F.col("_after")).alias("after_token_id"),
+        *by, "kind", "seq", F.when(boundary, F.expr("cast(array() as array<string>)")).otherwise(F.col("token_ids")).alias("token_ids"), F.when(boundary, F.col("_after")).alias("after_token_id"),
         F.when(kind == "delete_ranges", F.when(F.col("_type").isin(DELETE_TYPES), F.col("_type")).otherwise(OTHER_TYPE)).alias("type"), F.when(kind.isin("protected_spans", "final_sentences") | ((kind == "forbidden_breaks") & span), F.col("text")).alias("text"),
         F.when(kind == "corrections", F.col("replacement")).alias("replacement"), F.when(kind != "final_sentences", F.col("confidence")).alias("confidence"), F.when(kind != "final_sentences", F.col("reason")).alias("reason"),
     )
-    bad = rows.where("_failed").select(ITEM).distinct().select(ITEM, F.lit("quarantined").alias("kind"), F.lit(0).cast("long").alias("seq"), F.expr("cast(array() as array<string>)").alias("token_ids"), *[none.alias(c) for c in ("after_token_id", "type", "text", "replacement")], F.lit(None).cast("double").alias("confidence"), none.alias("reason"))
+    bad = rows.where("_failed").select(*by).distinct().select(*by, F.lit("quarantined").alias("kind"), F.lit(0).cast("long").alias("seq"), F.expr("cast(array() as array<string>)").alias("token_ids"), *[none.alias(c) for c in ("after_token_id", "type", "text", "replacement")], F.lit(None).cast("double").alias("confidence"), none.alias("reason"))
     return good.unionByName(bad)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import half_units
-from .scripts import split_phrases, strip_marks
+from .scripts import NO_TITLE, split_phrases, strip_marks
 
 ITEM = "item_id"
 PAUSE_US = 250_000
@@ -272,21 +272,45 @@ def validate_layout(lines: DataFrame, tokens: DataFrame, breaks: DataFrame, layo
     return out.select(ITEM, F.array_join(errors, ",").alias("errors")).where("errors <> ''")
 
 
-def wrap_titles(df: DataFrame, key: str, title: str, most_half_units: int = 20, most_lines: int = 3) -> DataFrame:
-    """df with lines: a title wrapped at words to at most so many half units a line, own line feeds kept, at most so many lines."""
+def wrap_titles(df: DataFrame, title: str, most_units: int = 10, most_lines: int = 3) -> DataFrame:
+    """df with lines: a title as a cover shows it, wrapped to at most so many visual units a line and so many lines, own line feeds kept.
+
+    A line takes words, signs and blanks as long as its units, of which an ASCII sign is half of one, round to no more than most_units; halves
+    round to the even number. A word that is longer alone has a line of its own. A blank title is NO_TITLE.
+    """
+    most = 2 * most_units + (most_units % 2 == 0)  # in half units
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("units"))
-    words = lambda line: F.regexp_extract_all(F.trim(line), F.lit(r"[A-Za-z0-9_+\-./#]+|\s+|."), F.lit(0))
+    words = lambda line: F.regexp_extract_all(F.trim(line), F.lit(r"[A-Za-z0-9_-]+|\s+|."), F.lit(0))
     weigh = lambda x: F.when(F.trim(x) == "", 0).otherwise(half_units(x)).cast("long")
 
     def step(s: Column, x: Column) -> Column:
-        over = (s["now"] != "") & (s["units"] + weigh(x) > most_half_units)
-        return F.struct(F.when(over, F.concat(s["done"], F.array(F.trim(s["now"])))).otherwise(s["done"]).alias("done"), F.when(over, x).otherwise(F.concat(s["now"], x)).alias("now"), F.when(over, weigh(x)).otherwise(s["units"] + weigh(x)).alias("units"))
+        over = (s["now"] != "") & (s["units"] + weigh(x) > most)
+        return F.struct(F.when(over, F.concat(s["done"], F.array(F.trim(s["now"])))).otherwise(s["done"]).alias("done"), F.when(over, F.ltrim(x)).otherwise(F.concat(s["now"], x)).alias("now"), F.when(over, weigh(x)).otherwise(s["units"] + weigh(x)).alias("units"))
 
     wrap = lambda line: F.aggregate(words(line), start, step, lambda s: F.concat(s["done"], F.array(F.trim(s["now"]))))
-    lines = F.filter(F.flatten(F.transform(F.split(F.col(title), "\r?\n"), wrap)), lambda x: x != "")
+    shown = F.coalesce(F.nullif(F.trim(F.col(title)), F.lit("")), F.lit(NO_TITLE))
+    lines = F.filter(F.flatten(F.transform(F.split(shown, "\r?\n"), wrap)), lambda x: x != "")
     return df.withColumn("lines", F.array_join(F.slice(lines, 1, most_lines), "\n"))
 
 
+def wrap_title_text(df: DataFrame, key: str, title: str, layout: Layout, breaks: DataFrame | None = None) -> DataFrame:
+    """df with lines: each line of the title wrapped by segment_lines() to the layout, by itself; empty lines go. key: a column that names a row.
+
+    breaks: item_id (the key, a colon and the number of the title's line, from 1), pos and kind, as for segment_lines().
+    """
+    source = F.split(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), "\r\n?", "\n"), "\n")
+    named = F.concat_ws(":", F.col(key).cast("string"), (F.col("_at") + 1).cast("string"))
+    lines = df.select(key, F.posexplode(source).alias("_at", "_line")).where(F.trim("_line") != "").select(key, "_at", named.alias(ITEM), F.trim("_line").alias("_line"))
+    pieces = F.regexp_extract_all("_line", F.lit(r"[A-Za-z0-9_+\-./#]+|\s+|."), F.lit(0))
+    tokens = lines.select(ITEM, F.posexplode(pieces).alias("pos", "text")).withColumns({"pos": F.col("pos").cast("long"), "start_us": F.lit(0).cast("long"), "end_us": F.lit(0).cast("long")})
+    found = segment_lines(tokens, breaks, layout)
+    inside = found.select(ITEM, "line", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(tokens.select(ITEM, "pos", "text"), [ITEM, "pos"])
+    in_order = lambda c, what: F.transform(F.array_sort(F.collect_list(c)), lambda x: x[what])
+    texts = inside.groupBy(ITEM, "line").agg(F.trim(F.array_join(in_order(F.struct("pos", "text"), "text"), "")).alias("_text")).where("_text <> ''")
+    joined = texts.join(lines.select(ITEM, key, "_at"), ITEM).groupBy(key).agg(F.array_join(in_order(F.struct("_at", "line", "_text"), "_text"), "\n").alias("lines"))
+    return df.join(joined, key, "left").withColumn("lines", F.coalesce("lines", F.lit("")))
+
+
 def reflow(sentences: DataFrame, tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame:
     """Sentences whose runs between barriers are cut into lines anew; barriers stay as they are.
 
@@ -381,3 +405,22 @@ def cues_script_on_timings(phrases: DataFrame, timings: DataFrame, media: DataFr
     point = lambda c: (F.col("_s") + F.floor((F.col("_e") - F.col("_s")) * c / F.col("_t"))).cast("long")
     few = few.select(ITEM, F.col("phrase_idx").alias("idx"), point(F.col("_c") - F.col("_w")).alias("start_us"), F.when(F.col("_j") == F.col("_n") - 1, F.col("_e")).otherwise(point(F.col("_c"))).cast("long").alias("end_us"), F.col("phrase").alias("text"))
     return dealt.unionByName(few)
+
+
+def cues_from_timing_text(timings: DataFrame, media: DataFrame, delay_us: int = 0) -> DataFrame:
+    """Cues of each timing's own text: its phrases share the timing's time by length. timings: item_id, seq, start_us, end_us, text.
+
+    A phrase weighs its visible characters, at least 4. Timings are moved by the delay and held within the item, and last at least 200 ms;
+    those without time or text have no cue. idx counts an item's cues from 1.
+    """
+    some = timings.where("end_us > start_us AND trim(text) <> ''").join(media.where("duration_us > 0").select(ITEM, "duration_us"), ITEM)
+    split = split_phrases(some)
+    whole = some.join(split.select(ITEM, "seq").distinct(), [ITEM, "seq"], "left_anti").withColumns({"phrase_idx": F.lit(1).cast("long"), "phrase": F.trim("text")})
+    rows = split.unionByName(whole.select(*split.columns)).withColumn("_w", F.greatest(F.lit(4), F.length(strip_marks(F.col("phrase")))))
+    of_timing = Window.partitionBy(ITEM, "seq")
+    rows = rows.withColumns({"_c": F.sum("_w").over(of_timing.orderBy("phrase_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_t": F.sum("_w").over(of_timing)})
+    rows = rows.withColumn("_s", F.greatest(F.lit(0), F.least("duration_us", F.col("start_us") + delay_us)))
+    rows = rows.withColumn("_e", F.greatest(F.col("_s") + 200_000, F.least("duration_us", F.col("end_us") + delay_us)))
+    point = lambda c: (F.col("_s") + F.floor((F.col("_e") - F.col("_s")) * c / F.col("_t"))).cast("long")
+    idx = F.row_number().over(Window.partitionBy(ITEM).orderBy("seq", "phrase_idx")).cast("long")
+    return rows.select(ITEM, idx.alias("idx"), point(F.col("_c") - F.col("_w")).alias("start_us"), point(F.col("_c")).alias("end_us"), F.col("phrase").alias("text"))

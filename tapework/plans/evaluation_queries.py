@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_path
+from ..functions.shared import shared_path, stored
 from ..operators import evaluation, governance
 from .conv import TURNS_SQL, conv_turns, table
 from .interval_queries import SENTENCES_SQL, conv_sentences
@@ -62,10 +62,21 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.usage_rollup(items, "l_orderkey")
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    rows = events.select(F.col("event_type").alias("provider"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.when(F.col("event_id") % 9 == 0, "failed").otherwise("ok").alias("status"), (1 + F.col("event_id") % 2).alias("attempts"), (F.col("event_id") % 4 == 0).alias("cache_hit"), (F.col("event_id") % 1000).alias("total_tokens"), (F.col("event_id") * 37 % 5003).cast("double").alias("latency_ms"))
-    return evaluation.decision_metrics(rows)
+    return events.select(F.col("event_type").alias("provider"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.when(F.col("event_id") % 9 == 0, "failed").otherwise("ok").alias("status"), (1 + F.col("event_id") % 2).alias("attempts"), (F.col("event_id") % 4 == 0).alias("cache_hit"), (F.col("event_id") % 1000).alias("total_tokens"), (F.col("event_id") * 37 % 5003).cast("double").alias("latency_ms"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.decision_metrics(_traces(spark, sf_dir), exact=True)
+
+
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics from merged sketches, and whether their percentiles are within .005 of the calls."""
+    rows = _traces(spark, sf_dir)
+    metrics = stored(evaluation.decision_metrics(rows))
+    errors = evaluation.quantile_errors(rows, metrics).select("provider", "model", (F.col("error_p50") <= 0.005).alias("p50_within"), (F.col("error_p95") <= 0.005).alias("p95_within"))
+    return metrics.drop("latency_p50", "latency_p95").join(errors, ["provider", "model"])
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +191,7 @@ def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "evaluation_samples": _samples, "evaluation_metrics": metrics, "evaluation_summary": summary, "duplicate_sources": duplicates, "fingerprint": prints, "stage_elapsed": elapsed,
-    "usage_rollup": usage, "decision_metrics": traces, "snapshot": snapshots, "diff_snapshots": differences, "review_state": reviews, "training_export": export, "redact": redacted,
+    "usage_rollup": usage, "decision_metrics": traces, "decision_quantiles": quantiles, "snapshot": snapshots, "diff_snapshots": differences, "review_state": reviews, "training_export": export, "redact": redacted,
     "forget": forgotten, "forget_in_tables": forgotten_in_tables, "export_feedback": exported, "auto_apply_filter": applied,
 }
 
@@ -199,6 +210,8 @@ ORACLE_SQL = {
     "usage_rollup": "SELECT l_orderkey, sum(l_linenumber)::DOUBLE AS asr_audio_seconds, sum(l_partkey % 1000)::BIGINT AS prompt_tokens, sum(l_suppkey % 100)::BIGINT AS completion_tokens, sum(l_partkey % 1000 + l_suppkey % 100)::BIGINT AS total_tokens, sum(l_partkey * 10)::BIGINT AS input_bytes, sum(l_suppkey * 10)::BIGINT AS output_bytes, sum(CASE WHEN l_linenumber > 2 THEN l_partkey ELSE 0 END)::BIGINT AS work_bytes FROM lineitem GROUP BY l_orderkey",
     "decision_metrics": """WITH t AS (SELECT event_type AS provider, 'm' || user_id % 5 AS model, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, 1 + event_id % 2 AS attempts, event_id % 4 = 0 AS cache_hit, event_id % 1000 AS total_tokens, (event_id * 37 % 5003)::DOUBLE AS latency_ms FROM events)
       SELECT coalesce(provider, '*') AS provider, coalesce(model, '*') AS model, count(*) AS calls, round(avg(CASE WHEN status <> 'ok' THEN 1.0::DOUBLE ELSE 0 END), 6) AS error_rate, sum(attempts - 1)::BIGINT AS retries, count(*) FILTER (WHERE cache_hit) AS cache_hits, sum(total_tokens)::BIGINT AS total_tokens, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, CASE WHEN bool_and(status = 'ok') THEN 'ai' ELSE 'mixed' END AS state FROM t GROUP BY GROUPING SETS ((provider, model), (provider), (model), ())""",
+    "decision_quantiles": """WITH t AS (SELECT event_type AS provider, 'm' || user_id % 5 AS model, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, 1 + event_id % 2 AS attempts, event_id % 4 = 0 AS cache_hit, event_id % 1000 AS total_tokens, (event_id * 37 % 5003)::DOUBLE AS latency_ms FROM events)
+      SELECT coalesce(provider, '*') AS provider, coalesce(model, '*') AS model, count(*) AS calls, round(avg(CASE WHEN status <> 'ok' THEN 1.0::DOUBLE ELSE 0 END), 6) AS error_rate, sum(attempts - 1)::BIGINT AS retries, count(*) FILTER (WHERE cache_hit) AS cache_hits, sum(total_tokens)::BIGINT AS total_tokens, true AS p50_within, true AS p95_within, CASE WHEN bool_and(status = 'ok') THEN 'ai' ELSE 'mixed' END AS state FROM t GROUP BY GROUPING SETS ((provider, model), (provider), (model), ())""",
     "snapshot": f"WITH {TURNS_SQL}, {SENTENCES_SQL} SELECT item_id, sha256(to_json(list({{'timeline_order': timeline_order, 'sentence_id': sentence_id, 'start_us': start_us, 'end_us': end_us, 'text': text, 'enabled': enabled, 'remove_video': remove_video}} ORDER BY timeline_order, sentence_id))) AS snapshot_sha256 FROM conv_sentences GROUP BY item_id",
     "diff_snapshots": f"""WITH {TURNS_SQL}, {SENTENCES_SQL},
       b AS (SELECT item_id, sentence_id, start_us, end_us, text, remove_video, timeline_order, '{{}}' AS style, sentence_id || '-b' AS last_token FROM conv_sentences WHERE (item_id * 3 + timeline_order) % 13 <> 0),

@@ -13,7 +13,7 @@ from ..functions.shared import shared_path
 from ..operators import alignment, segmentation
 from ..sources import files, stages
 from ..streaming import live
-from ..streaming.run import event_stream, run_append, run_update
+from ..streaming.run import event_stream, rocksdb_state, run_append, run_update
 from .conv import TURNS_SQL, conv_tokens, conv_turns, table
 from .segmentation_queries import ORACLE_SQL as SEGMENTATION_SQL
 
@@ -114,6 +114,31 @@ def scripts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(files.script_text(made)).alias("text_md5"))
 
 
+def job_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs and their orders as items, as the files of a job tree: what each item has, and what was unreadable.
+
+    Every other order has decisions, one in ten of broken JSON, every third a length, and one job file in seven is broken too.
+    """
+    orders = table(spark, sf_dir, "orders")
+    outputs = F.when(F.col("o_orderkey") % 4 == 0, F.create_map(F.lit("video"), F.lit("v.mp4")))
+    item = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), outputs.alias("outputs"))
+    jobs = orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.lit("done").alias("status"), F.struct(F.collect_list(item).alias("items")).alias("params"))).alias("value"))
+    path = lambda rest: F.concat(F.lit("file:/jobs/c"), F.col("o_custkey").cast("string"), rest)
+    broken = lambda c, when: F.when(when, F.concat(F.lit("{"), c)).otherwise(c)
+    in_item = lambda name: F.concat(F.lit("/work/"), F.col("o_orderkey").cast("string"), F.lit(name))
+    parts = [
+        jobs.select(path(F.lit("/job.json")).alias("path"), broken(F.col("value"), F.col("o_custkey") % 7 == 0).alias("value")),
+        orders.where("o_orderkey % 2 = 0").select(path(in_item("/ai_decisions.json")).alias("path"), broken(F.concat(F.lit('{"deleted":'), F.col("o_orderkey"), F.lit("}")), F.col("o_orderkey") % 10 == 0).alias("value")),
+        orders.where("o_orderkey % 3 = 0").select(path(in_item("/checkpoints/media.json")).alias("path"), F.lit('{"original_duration":2.5}').alias("value")),
+        orders.select(path(in_item("/other.json")).alias("path"), F.lit("{}").alias("value")),
+    ]
+    tree = files.job_tables(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    named = lambda kind, c: tree[kind].select("job_id", "item_id", F.col("value").alias(c))
+    corrupt = tree["corrupt"].where("item_id IS NOT NULL").select("job_id", "item_id", F.col("kind").alias("corrupt"))
+    key = ["job_id", "item_id"]
+    return tree["items"].select(*key, "status", "output_count").join(named("ai_decisions", "decisions"), key, "full").join(named("media", "media"), key, "full").join(corrupt, key, "left")
+
+
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a stage's results: those of even items, then all of them twice over, and another version of some."""
     turns = conv_turns(spark, sf_dir).select("item_id", "utt", "start_us")
@@ -153,7 +178,8 @@ def stalled_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that are stalled when the stream of events ends; even ones can be resumed."""
     states = F.element_at(F.array(*[F.lit(s) for s in ("running", "queued", "cancelling", "pausing", "done")]), (F.col("event_id") % 5 + 1).cast("int"))
     events = event_stream(spark, sf_dir).select(F.col("user_id").alias("item_id"), states.alias("state"), "ts", "event_id")
-    found = run_update(live.stalled_items_stream(events, 43_200, lambda item: item % 2 == 0), "stalled", ["item_id"])
+    with rocksdb_state(spark):
+        found = run_update(live.stalled_items_stream(events, 43_200, lambda item: item % 2 == 0, forget_s=366 * 86_400), "stalled", ["item_id"])
     return found.where("stalled").select("item_id", "state", "new_state")
 
 
@@ -210,7 +236,7 @@ def quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "script_units": units, "alignment_prefilter": prefilter, "align_script": aligned_tokens, "alignment_report": report, "read_asr": responses, "write_srt": srt, "read_srt": srt_read,
-    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": enriched, "pending_chunks": pending, "read_scripts": scripts_read, "publish_stage": published, "publish_changed": published_again, "carry_breaks": broken, "stalled_items_stream": stalled_live, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
+    "write_segments": segments, "parse_tolerant_json": tolerant, "enrich_incremental": enriched, "pending_chunks": pending, "read_scripts": scripts_read, "read_job_tree": job_tree, "publish_stage": published, "publish_changed": published_again, "carry_breaks": broken, "stalled_items_stream": stalled_live, "trace_rows": traces, "stage_progress_stream": progress, "usage_dedup_stream": dedup,
     "stage_latency_stream": latency, "ops_metrics_stream": metrics, "edit_sessions_stream": sessions, "stalled_items": stalled, "silence_stream": quiet,
 }
 
@@ -236,6 +262,9 @@ ORACLE_SQL = {
     "enrich_incremental": """WITH c AS (SELECT doc_id, coalesce(text, '') AS p, sha256('1' || chr(1) || 'analysis' || chr(1) || 'm' || chr(1) || coalesce(text, '')) AS content_key FROM documents), k AS (SELECT *, bool_or(doc_id % 2 = 0 AND doc_id % 3 <> 0) OVER (PARTITION BY content_key) AS cached FROM c)
       SELECT doc_id AS chunk_id, content_key, CASE WHEN NOT cached AND length(p) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN cached THEN 'from the cache' ELSE md5(p) END AS result, CASE WHEN cached THEN 0 ELSE len(regexp_extract_all(p, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS tokens, cached FROM k""",
     "read_scripts": "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN coalesce(source, '') || ' 中文' ELSE coalesce(text, '') END) AS text_md5 FROM documents",
+    "read_job_tree": """SELECT 'c' || o_custkey AS job_id, o_orderkey::VARCHAR AS item_id, CASE WHEN o_custkey % 7 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END END AS output_count,
+      CASE WHEN o_orderkey % 10 = 0 THEN '{}' WHEN o_orderkey % 2 = 0 THEN '{"deleted":' || o_orderkey || '}' END AS decisions, CASE WHEN o_orderkey % 3 = 0 THEN '{"original_duration":2.5}' END AS media, CASE WHEN o_orderkey % 10 = 0 THEN 'ai_decisions' END AS corrupt
+      FROM orders WHERE o_custkey % 7 <> 0 OR o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
     "publish_changed": "SELECT l_orderkey AS item_id, l_linenumber AS line, sum(l_quantity)::BIGINT + CASE WHEN l_orderkey % 5 = 0 THEN 1000 ELSE 0 END AS length FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey, l_linenumber",
     "publish_stage": f"WITH {TURNS_SQL} SELECT item_id, utt, start_us, '1' AS version FROM conv_turns UNION ALL SELECT item_id, utt, start_us, '2' FROM conv_turns WHERE utt < 2",
     "carry_breaks": f"WITH {TURNS_SQL}, p AS (SELECT item_id, pos, text, pos % 5 <> 4 AS paired, ['。', ',', NULL, '；'][pos % 4 + 1] AS sign FROM conv_tokens) SELECT item_id, pos, CASE WHEN paired AND pos % 3 = 0 THEN text || '+' ELSE text END AS text, text AS original_text, paired AND pos % 7 = 0 AS manual_break_after, CASE WHEN paired THEN sign END AS script_punctuation_after, paired AND coalesce(sign IN ('。', '；'), false) AS script_sentence_break_after, paired AND coalesce(sign = ',', false) AS script_phrase_break_after FROM p",

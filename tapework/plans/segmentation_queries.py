@@ -55,7 +55,20 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return segmentation.wrap_titles(parts, "p_partkey", "p_name").select("p_partkey", "lines")
+    return segmentation.wrap_titles(parts, "p_name").select("p_partkey", "lines")
+
+
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of documents as titles in lines of least cost, with no line after a part's second token."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    never = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":1")).alias("item_id"), F.lit(1).cast("long").alias("pos"), F.lit("forbidden").alias("kind"))
+    wrapped = segmentation.wrap_title_text(docs, "doc_id", "text", segmentation.Layout(400.0, 10.0), never)
+    return wrapped.select("doc_id", F.md5("lines").alias("lines_md5"), F.size(F.split("lines", "\n")).alias("n"))
+
+
+def own_text_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conv_turns(spark, sf_dir).select("item_id", F.col("utt").alias("seq"), "start_us", "end_us", "text")
+    return segmentation.cues_from_timing_text(turns, conv_media(spark, sf_dir), 100_000)
 
 
 def _even_lines(tokens: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "chunk_by_pause": by_pause, "chunk_by_breaks": by_breaks, "overlapping_chunks": overlapping, "line_options": options, "line_cost": costs, "segment_lines": lines,
     "layout_context": contexts, "wrap_titles": wrapped, "validate_layout": validated, "annotate_break_source": sources, "cues_from_lines": line_cues, "cues_from_script": script_cues,
-    "cues_script_on_timings": timed_cues, "reflow": reflowed,
+    "cues_script_on_timings": timed_cues, "reflow": reflowed, "wrap_title_text": wrapped_lines, "cues_from_timing_text": own_text_cues,
 }
 
 _KNOWN = f"""{TURNS_SQL}, known AS (
@@ -165,6 +178,11 @@ ORACLE_SQL = {
     "validate_layout": f"WITH {_KNOWN}, {_EVEN}, e AS (SELECT item_id, bool_or((item_id + line) % 50 = 49) AS cover, bool_or(through AND (item_id + line) % 50 <> 49) AS required, bool_or(ends_on AND (item_id + line) % 50 <> 49) AS forbidden, bool_or(u * 16 > 950.5 AND n > 1 AND (item_id + line) % 50 <> 49) AS wide FROM even GROUP BY item_id) SELECT item_id, concat_ws(',', CASE WHEN cover THEN 'cover' END, CASE WHEN required THEN 'required' END, CASE WHEN forbidden THEN 'forbidden' END, CASE WHEN wide THEN 'wide' END) AS errors FROM e WHERE cover OR required OR forbidden OR wide",
     "annotate_break_source": f"WITH {_KNOWN}, {_EVEN} SELECT e.item_id, line, CASE WHEN required THEN 'ai_final' WHEN preferred THEN 'ai_sentence' WHEN forbidden THEN 'ai_break' ELSE 'width' END AS break_source FROM even e JOIN known k ON k.item_id = e.item_id AND k.pos = e.last_pos WHERE (e.item_id + line) % 50 <> 49",
     "cues_from_lines": f"WITH {_KNOWN}, {_EVEN} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start_us, end_us, text) AS idx, least(duration_us, start_us + 120000)::BIGINT AS start_us, greatest(least(duration_us, start_us + 120000) + 50000, least(duration_us, end_us + 120000))::BIGINT AS end_us, trim(text) AS text FROM even JOIN conv_media USING (item_id) WHERE (item_id + line) % 50 <> 49 AND end_us > start_us AND trim(text) <> ''",
+    "wrap_titles": r"""WITH RECURSIVE t AS (SELECT p_partkey, regexp_extract_all(trim(coalesce(nullif(trim(p_name), ''), '未命名视频')), '[A-Za-z0-9_-]+|\s+|.') AS w FROM part),
+      r AS (SELECT p_partkey, w, 0 AS i, '' AS now, []::VARCHAR[] AS done FROM t
+        UNION ALL SELECT p_partkey, w, i + 1, CASE WHEN over THEN ltrim(w[i + 1]) ELSE now || w[i + 1] END, CASE WHEN over THEN list_append(done, trim(now)) ELSE done END
+        FROM (SELECT *, now <> '' AND round_even((length(replace(now || w[i + 1], ' ', '')) + length(regexp_replace(now || w[i + 1], '[\x00-\x7F]', '', 'g'))) / 2, 0) > 10 AS over FROM r WHERE i < len(w)))
+      SELECT p_partkey, array_to_string(list_append(done, trim(now))[1:3], chr(10)) AS lines FROM r WHERE i = len(w)""",
     "cues_script_on_timings": f"""WITH {TURNS_SQL}, l AS (SELECT conv_id AS item_id, turn AS utt, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))))) AS i FROM conversations WHERE conv_id % 2 = 0),
       s AS (SELECT item_id, utt, i, unnest(x) AS phrase, unnest(range(len(x))) AS k FROM (SELECT item_id, utt, i, regexp_extract_all(trim(line), '[^。！？!?；;，,、]*[。！？!?；;，,、]?') AS x FROM l)),
       o AS (SELECT item_id, utt AS a, i, k, trim(phrase) AS phrase FROM s WHERE trim(phrase) <> '' UNION ALL SELECT conv_id, turn // 2, 0, 0, string_agg(coalesce(text, ''), ' ' ORDER BY turn) FROM conversations WHERE conv_id % 2 = 1 GROUP BY conv_id, turn // 2),

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
 from ..functions.text import srt_time, to_us
 from ..operators.scripts import strip_marks
 from ..operators.tokens import tokens_from_words
@@ -148,17 +149,41 @@ def parse_tolerant_json(text: Column, schema: str) -> Column:
     return F.when(body == "", None).when(good(first), first).when(good(second), second).dropFields("_bad")
 
 
-def read_job_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Job folders as tables: jobs and items of */job.json, and each kind of */work/<item>/<kind>.json as JSON text.
+#: Kinds of files in an item's folder, in the folder itself or below.
+ITEM_FILES = ("transcript_analysis", "ai_decisions", "training_feedback", "media", "stage_validated", "stage_completed", "auto_edit_baseline")
+
+
+def split_job_files(files: DataFrame) -> DataFrame:
+    """job_id, item_id, kind, value, readable of files (path, value): */job.json, whose item_id is null, and */work/<item>/.../<kind>.json.
+
+    Ids and kinds come from the paths; other files are left out. value stays as it is, also where it isn't JSON (readable is false then).
+    """
+    name, item = F.regexp_extract("path", r"([^/]+)\.json$", 1), F.regexp_extract("path", r"/work/([^/]+)/", 1)
+    job = F.when(item == "", F.regexp_extract("path", r"([^/]+)/job\.json$", 1)).otherwise(F.regexp_extract("path", r"([^/]+)/work/[^/]+/", 1))
+    rows = files.select(job.alias("job_id"), F.nullif(item, F.lit("")).alias("item_id"), name.alias("kind"), "value")
+    known = (F.col("item_id").isNull() & (F.col("kind") == "job") & (F.col("job_id") != "")) | (F.col("item_id").isNotNull() & F.col("kind").isin(*ITEM_FILES))
+    return rows.where(known).withColumn("readable", F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False)))
 
-    Ids come from the paths. A file that can't be read is an empty record, and a missing one is no row.
+
+def job_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """Files (path, value) of job folders as tables: jobs and items of the job files, each of ITEM_FILES as JSON text, and corrupt.
+
+    The files are read once, into a table in the shared folder that is partitioned by kind, so each table reads its own files' rows only.
+    A file that can't be read is an empty record, and its text is in corrupt; a missing one is no row.
     """
-    jobs = spark.read.option("pathGlobFilter", "job.json").option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    spark, path = files.sparkSession, shared_path(files.sparkSession, "jobs")
+    rows = split_job_files(files)
+    rows.write.partitionBy("kind").parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
     item = "struct<id:string,status:string,source_name:string,video:string,outputs:map<string,string>>"
-    jobs = jobs.select(F.regexp_extract("file", r"([^/]+)/job\.json$", 1).alias("job_id"), F.from_json("value", f"status string, created_at string, updated_at string, params struct<title:string,items:array<{item}>>").alias("j"))
+    jobs = kept.where("kind = 'job'").select("job_id", F.from_json(F.when(F.col("readable"), F.col("value")).otherwise("{}"), f"status string, created_at string, updated_at string, params struct<title:string,items:array<{item}>>").alias("j"))
     tables = {"jobs": jobs.select("job_id", "j.status", "j.created_at", "j.updated_at", "j.params.title"), "items": jobs.select("job_id", F.explode("j.params.items").alias("i")).select("job_id", F.coalesce("i.id", F.lit("001")).alias("item_id"), "i.status", "i.source_name", F.coalesce(F.size("i.outputs"), F.lit(0)).alias("output_count"))}
-    for kind in ("transcript_analysis", "ai_decisions", "training_feedback", "media", "stage_validated", "stage_completed", "auto_edit_baseline"):
-        files = spark.read.option("pathGlobFilter", f"{kind}.json").option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.input_file_name().alias("file"), "value")
-        valid = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise("{}")
-        tables[kind] = files.select(F.regexp_extract("file", r"([^/]+)/work/", 1).alias("job_id"), F.regexp_extract("file", r"/work/([^/]+)/", 1).alias("item_id"), valid.alias("value"))
-    return tables
+    for kind in ITEM_FILES:
+        tables[kind] = kept.where(F.col("kind") == kind).select("job_id", "item_id", F.when(F.col("readable"), F.col("value")).otherwise("{}").alias("value"))
+    return tables | {"corrupt": kept.where("NOT readable").select("job_id", "item_id", "kind", "value")}
+
+
+def read_job_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The job folders below root as tables, in one scan of their files; see job_tables()."""
+    scan = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return job_tables(scan.select(F.col("_metadata.file_path").alias("path"), "value"))

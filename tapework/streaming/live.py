@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.shared import stored
 
@@ -60,34 +60,63 @@ def stalled_items(events: DataFrame, now: Column, timeout_s: int, resumable: Col
     return last.select("item_id", "state", new.alias("new_state"))
 
 
-def stalled_items_stream(events: DataFrame, timeout_s: int, resumable: Callable[[object], bool], delay: str = "10 minutes") -> DataFrame:
-    """item_id, state, new_state, stalled: a row when an item has been without an event for timeout_s of event time, and one when it goes on.
+class _Stalled(StatefulProcessor):
+    """An item's last event, whether it has stalled, and when its timer is due, as state variables."""
 
-    new_state is as in stalled_items(); resumable(item_id) tells whether an item can be resumed. Use update mode. An item's state
-    is its last event and a timer; late events beyond the delay are dropped, and one before the last event changes nothing.
-    """
+    def __init__(self, timeout_s: int, forget_s: int, resumable: Callable[[object], bool]):
+        self.timeout_ms, self.forget_ms, self.resumable = timeout_s * 1000, forget_s * 1000, resumable
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        was_stalled = bool(held and held[3])
-        if state.hasTimedOut:
-            now = held[2]
-            new = {"cancelling": "cancelled", "pausing": "paused"}.get(now, ("queued" if resumable(key[0]) else "paused") if now in ("running", "queued") else now)
-            state.update((*held[:3], True))
-            yield pd.DataFrame({"item_id": [key[0]], "state": [now], "new_state": [new], "stalled": [True]})
-            return
-        for batch in batches:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_us long, event_id long, state string")
+        self.stalled = handle.getValueState("stalled", "stalled boolean")
+        self.due = handle.getValueState("due", "at_ms long")
+
+    def _wait_until(self, at_ms: int) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(at_ms)
+        self.due.update((at_ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = tuple(self.last.get()) if self.last.exists() else None
+        held = known
+        for batch in rows:
             for ts, event_id, name in zip(batch["ts"], batch["event_id"], batch["state"], strict=True):
-                held = max(held or (-(2**62), 0, "", False), (int(ts.value // 1000), int(event_id), name, False), key=lambda x: x[:2])
-        state.update((*held[:3], held[3]))
-        if not held[3]:
-            state.setTimeoutTimestamp(max(held[0] // 1000 + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
-            if was_stalled:
-                yield pd.DataFrame({"item_id": [key[0]], "state": [held[2]], "new_state": [held[2]], "stalled": [False]})
+                event = (int(ts.value // 1000), int(event_id), name)
+                held = event if held is None else max(held, event, key=lambda x: x[:2])
+        if held == known:
+            return
+        self.last.update(held)
+        self._wait_until(max(held[0] // 1000 + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        if self.stalled.exists():
+            self.stalled.clear()
+            yield pd.DataFrame({"item_id": [key[0]], "state": [held[2]], "new_state": [held[2]], "stalled": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self.due.clear()
+        if self.stalled.exists():
+            self.last.clear()
+            self.stalled.clear()
+            return
+        now = self.last.get()[2]
+        new = {"cancelling": "cancelled", "pausing": "paused"}.get(now, ("queued" if self.resumable(key[0]) else "paused") if now in ("running", "queued") else now)
+        self.stalled.update((True,))
+        self._wait_until(at + self.forget_ms)
+        yield pd.DataFrame({"item_id": [key[0]], "state": [now], "new_state": [new], "stalled": [True]})
+
 
+def stalled_items_stream(events: DataFrame, timeout_s: int, resumable: Callable[[object], bool], delay: str = "10 minutes", forget_s: int = 7 * 86_400) -> DataFrame:
+    """item_id, state, new_state, stalled: a row when an item has been without an event for timeout_s of event time, and one when it goes on.
+
+    new_state is as in stalled_items(); resumable(item_id) tells whether an item can be resumed. Use update mode, and RocksDB as the state
+    store (streaming.run.rocksdb_state()). An item's state is its last event and a timer; late events beyond the delay are dropped, and one
+    before the last event changes nothing. forget_s after it has stalled an item leaves no state; what comes then is a new item's.
+    """
     kind = events.schema["item_id"].dataType.simpleString()
     by = events.select("item_id", "state", "ts", "event_id").withWatermark("ts", delay).groupBy("item_id")
-    return by.applyInPandasWithState(step, f"item_id {kind}, state string, new_state string, stalled boolean", "ts_us long, event_id long, state string, stalled boolean", "update", GroupStateTimeout.EventTimeTimeout)
+    return by.transformWithStateInPandas(_Stalled(timeout_s, forget_s, resumable), f"item_id {kind}, state string, new_state string, stalled boolean", "update", "eventTime")
 
 
 def silence(levels: DataFrame, threshold: float, frame: str, min_s: float, delay: str = "10 minutes") -> DataFrame:

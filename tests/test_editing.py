@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapework.operators import alignment, sanitize
 from tapework.sources import files
 from tapework.streaming import live
+from tapework.streaming.run import rocksdb_state
 
 US = 1_000_000
 
@@ -151,6 +152,40 @@ def test_job_tree(spark, tmp_path):
     assert {r["item_id"] for r in tree["ai_decisions"].collect()} == {"001"} and tree["training_feedback"].count() == 0
 
 
+# -- streams of several files, with rows that come too late
+
+
+HOUR = 3600
+#: What the times count from, a full hour. A row is late if it is behind the watermark that the batch before was done with.
+BASE = 472_222 * HOUR
+
+
+class Feed:
+    """A folder that gets one file after the other, each of which is a micro-batch."""
+
+    def __init__(self, spark, tmp_path, columns):
+        self.spark, self.tmp, self.n = spark, tmp_path, 0
+        self.columns = columns
+        (tmp_path / "in").mkdir()
+
+    def add(self, *rows):
+        self.n += 1
+        frame = self.spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in self.columns.items()))
+        frame.toPandas().to_parquet(self.tmp / f"{self.n:03}.parquet", coerce_timestamps="us")
+        (self.tmp / f"{self.n:03}.parquet").rename(self.tmp / "in" / f"{self.n:03}.parquet")
+
+    def stream(self):
+        shape = ", ".join(f"{c} {t}" for c, t in self.columns.items())
+        raw = self.spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(self.tmp / "in"))
+        return raw.withColumn("ts", F.timestamp_seconds(F.col("at") + BASE)).drop("at")
+
+    def run(self, stream, mode):
+        """All that the stream emits for the files that are there; its checkpoint goes on where the last run stopped."""
+        seen = []
+        query = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, _: seen.extend(r.asDict() for r in rows.collect())).option("checkpointLocation", str(self.tmp / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return seen
+
 
 def test_late_rows_of_metrics(spark, tmp_path):
     feed = Feed(spark, tmp_path, {"at": "long", "ok": "boolean", "tokens": "long"})
@@ -214,16 +249,26 @@ def test_progress_over_batches(spark, tmp_path):
 
 def test_stalled_items_over_batches(spark, tmp_path):
     feed = Feed(spark, tmp_path, {"at": "long", "item_id": "long", "state": "string", "event_id": "long"})
-    stalled = lambda: live.stalled_items_stream(feed.stream(), HOUR, lambda item: item % 2 == 0)
+    stalled = lambda: live.stalled_items_stream(feed.stream(), HOUR, lambda item: item % 2 == 0, forget_s=24 * HOUR)
+    held = lambda name: {r["key"]["item_id"] for r in spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "checkpoint")).select("key").collect()}
     feed.add((0, 1, "running", 1), (0, 2, "queued", 2), (0, 3, "cancelling", 3), (0, 4, "done", 4))
     feed.add((HOUR, 2, "running", 5))
     feed.add((2 * HOUR, 9, "running", 6))
-    first = feed.run(stalled(), "update")
-    assert {(r["item_id"], r["new_state"]) for r in first if r["stalled"]} == {(1, "paused"), (3, "cancelled"), (4, "done")}
-    feed.add((2 * HOUR + 60, 1, "running", 7))  # item 1 goes on
-    feed.add((5, 3, "running", 8))  # comes too late
-    feed.add((9 * HOUR, 9, "pausing", 9))
-    second = feed.run(stalled(), "update")
-    last = {r["item_id"]: (r["new_state"], r["stalled"]) for r in second}
-    assert [r["stalled"] for r in second if r["item_id"] == 1] == [False, True]
-    assert last[1] == ("paused", True) and last[2] == ("queued", True) and 3 not in last and 9 not in last
+    with rocksdb_state(spark):
+        first = feed.run(stalled(), "update")
+        assert {(r["item_id"], r["new_state"]) for r in first if r["stalled"]} == {(1, "paused"), (3, "cancelled"), (4, "done")}
+        assert held("last") == {1, 2, 3, 4, 9} and held("stalled") == {1, 3, 4}
+        # The stream starts again from its checkpoint, in the middle of what it holds.
+        feed.add((2 * HOUR + 60, 1, "running", 7))  # item 1 goes on
+        feed.add((5, 3, "running", 8))  # comes too late
+        feed.add((9 * HOUR, 9, "pausing", 9))
+        second = feed.run(stalled(), "update")
+        last = {r["item_id"]: (r["new_state"], r["stalled"]) for r in second}
+        assert [r["stalled"] for r in second if r["item_id"] == 1] == [False, True]
+        assert last[1] == ("paused", True) and last[2] == ("queued", True) and 3 not in last and 9 not in last
+        # A day after they stalled items leave nothing, and what comes then is a new item's.
+        feed.add((40 * HOUR, 9, "done", 10))
+        feed.run(stalled(), "update")
+        assert all(held(name) == {9} for name in ("last", "due")) and held("stalled") == set()
+        feed.add((40 * HOUR + 5, 1, "running", 11))
+        assert [r for r in feed.run(stalled(), "update") if r["item_id"] == 1] == [] and held("last") == {1, 9}

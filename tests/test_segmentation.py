@@ -181,20 +181,59 @@ def test_phrases_keep_their_text(part):
     assert "".join(pack_phrases(part, 12, 18)).replace(" ", "") == part.replace(" ", "")
 
 
+def units(text):
+    """Visual units, blanks left out, an ASCII sign for a half; a half at the end goes to the even number."""
+    return round(sum(1.0 if ord(c) > 127 else 0.5 for c in text if not c.isspace()))
+
+
 def test_wrap_titles(spark):
-    titles = ["almond antique blue chocolate", "one\nmanual break that is long enough to wrap", "字字字字字字字字字字字字", "", None, "a" * 50, "x y z"]
-    got = {r["k"]: r["lines"] for r in segmentation.wrap_titles(spark.createDataFrame(list(enumerate(titles)), "k long, title string"), "k", "title").collect()}
+    titles = ["almond antique blue chocolate", "aaaaaaaaaa bbbbbbbbbbb", "aaaaaaaaaa bbbbbbbbbbbb", "a+b/c#d.e one-two_three (four) five", "one\nmanual break that is long enough to wrap\r\n\r\nthree", "字字字字字字字字字字字字", "字字字字字字字字字字aa b", "", None, "  ", "a" * 50, "x y z"]
+    got = {r["k"]: r["lines"] for r in segmentation.wrap_titles(spark.createDataFrame(list(enumerate(titles)), "k long, title string"), "title").collect()}
     for k, title in enumerate(titles):
         wanted = []
-        for line in (title or "").split("\n"):
-            now = ""
-            for word in re.findall(r"[A-Za-z0-9_+\-./#]+|\s+|.", line.strip(" ")):
-                if now and weigh(now.replace(" ", "") or "x") * bool(now.strip()) + weigh(word) > 20:
-                    wanted.append(now.strip(" "))
-                    now = ""
-                now += word
-            wanted.append(now.strip(" "))
-        assert (got[k] or "") == "\n".join([w for w in wanted if w][:3]), title
+        for line in ((title or "").strip() or "未命名视频").splitlines():
+            words = re.findall(r"[A-Za-z0-9_-]+|\s+|.", line.strip())
+            # Every line is the longest start of the rest whose every start up to there is within ten units, and one word at least.
+            while words:
+                n = next((n for n in range(2, len(words) + 1) if units("".join(words[:n])) > 10 and "".join(words[: n - 1])), len(words) + 1) - 1
+                wanted.append("".join(words[:n]).strip())
+                words = words[n:]
+                if words and not words[0].strip():
+                    words = words[1:]
+        assert got[k] == "\n".join([w for w in wanted if w][:3]), title
+    assert got[1] == "aaaaaaaaaa bbbbbbbbbbb" and got[2] == "aaaaaaaaaa\nbbbbbbbbbbbb" and got[7] == "未命名视频"
+
+
+def test_wrap_title_text(spark):
+    """Every line of a title is an item of segment_lines(); breaks hold, own line feeds stay, blank lines go."""
+    layout = segmentation.Layout(200.0, 10.0)
+    titles = [(1, "one two three four five six\r\n\r\n  seven  "), (2, ""), (3, None), (4, "ab cd")]
+    df = spark.createDataFrame(titles, "k long, title string")
+    got = {r["k"]: r["lines"] for r in segmentation.wrap_title_text(df, "k", "title", layout).collect()}
+    assert got[2] == got[3] == "" and got[4] == "ab cd"
+    lines = got[1].split("\n")
+    assert lines[-1] == "seven" and " ".join(lines[:-1]) == "one two three four five six" and len(lines) > 2 and all(10 * len(x.replace(" ", "")) <= layout.hard for x in lines)
+    must = spark.createDataFrame([("4:1", 1, "required")], "item_id string, pos long, kind string")
+    assert {r["k"]: r["lines"] for r in segmentation.wrap_title_text(df, "k", "title", layout, must).collect()}[4] == "ab\ncd"
+
+
+def test_cues_from_timing_text(spark):
+    rows = [(1, 1, 0, 1_000_000, "short"), (1, 2, 1_000_000, 5_000_000, "eins zwei drei vier fünf。sechs"), (1, 3, 5_000_000, 5_000_000, "no time"), (1, 4, 5_000_000, 6_000_000, "  "), (1, 5, 7_990_000, 7_995_000, "late"), (2, 1, 0, 5, "no media")]
+    media = spark.createDataFrame([(1, 8_000_000)], "item_id long, duration_us long")
+    got = segmentation.cues_from_timing_text(spark.createDataFrame(rows, "item_id long, seq long, start_us long, end_us long, text string"), media, 100_000).orderBy("idx").collect()
+    wanted, idx = [], 0
+    for _, _, start, end, text in rows[:5]:
+        if end <= start or not text.strip():
+            continue
+        phrases = [p for part in re.split("(?<=。)", text) for p in scripts.pack_phrases(part, 12, 18)]
+        s = min(8_000_000, start + 100_000)
+        e = max(s + 200_000, min(8_000_000, end + 100_000))
+        weights = [max(4, len(p)) for p in phrases]
+        for k, p in enumerate(phrases):
+            idx += 1
+            at = lambda n: s + (e - s) * sum(weights[:n]) // sum(weights)  # noqa: B023, E731
+            wanted.append((idx, at(k), at(k + 1), p))
+    assert [(r["idx"], r["start_us"], r["end_us"], r["text"]) for r in got] == wanted and len(wanted) > 4
 
 
 def test_reflow(spark):
