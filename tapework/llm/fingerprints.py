@@ -207,33 +207,37 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-_PLACES = ", ".join(f"{c}::HUGEINT" for c in multipliers(SHINGLE))
+_PRODUCTS = " + ".join(f"({f'coalesce(lead(w, {k}) OVER o, 0)' if k else 'w'} * {c}::HUGEINT) % 18446744073709551616" for k, c in enumerate(multipliers(SHINGLE)))
 OP11_SQL = f"""
 WITH docs AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id,
     coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following
   FROM documents
 ), edited AS (
   SELECT *, left(text, length(text) - length(text) // 4) || left(following, length(text) // 4) AS edited_text FROM docs
 ), texts AS (
-  SELECT doc_id, 'own' AS kind, text FROM edited UNION ALL SELECT doc_id, 'edited', edited_text FROM edited UNION ALL SELECT doc_id, 'next', following FROM edited
+  SELECT doc_id, 'own' AS kind, text FROM edited UNION ALL SELECT doc_id, 'edited', edited_text FROM edited
+), split AS (
+  SELECT doc_id, kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM texts
 ), words AS (
-  SELECT doc_id, kind, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda w: ('0x' || substr(md5(w), 1, 16))::UBIGINT::HUGEINT) AS w
-  FROM texts
+  SELECT doc_id, kind, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i FROM split
+), vocabulary AS (
+  SELECT word, ('0x' || substr(md5(word), 1, 16))::UBIGINT::HUGEINT AS w FROM (SELECT DISTINCT word FROM words)
 ), shingles AS (
-  SELECT doc_id, kind, w, unnest(range(1, greatest(len(w) - {SHINGLE} + 1, least(len(w), 1)) + 1)) AS i FROM words
+  SELECT doc_id, kind, i, n, ({_PRODUCTS}) % 18446744073709551616 AS h FROM words JOIN vocabulary USING (word) WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)
 ), hashed AS (
-  SELECT DISTINCT doc_id, kind, list_sum(list_transform(list_zip(w[i:i + {SHINGLE} - 1], [{_PLACES}][1:len(w[i:i + {SHINGLE} - 1])]), lambda p: (p[1] * p[2]) % 18446744073709551616)) % 18446744073709551616 AS h
-  FROM shingles
+  SELECT DISTINCT doc_id, kind, h FROM shingles WHERE i <= greatest(n - {SHINGLE}, 0)
+), least_of AS (
+  SELECT doc_id, kind, min(h) AS least FROM hashed GROUP BY ALL
 ), kept AS (
-  SELECT doc_id, kind, h FROM hashed QUALIFY h < {2**64 // SCALE} OR h = min(h) OVER (PARTITION BY doc_id, kind) AND min(h) OVER (PARTITION BY doc_id, kind) >= {2**64 // SCALE}
+  SELECT doc_id, kind, h FROM hashed JOIN least_of USING (doc_id, kind) WHERE h < {2**64 // SCALE} OR (h = least AND least >= {2**64 // SCALE})
 ), written AS (
   SELECT doc_id, kind, string_agg(lpad(lower(hex(h::UBIGINT)), {DIGITS}, '0'), '' ORDER BY h) AS digits, list(h) AS hashes FROM kept GROUP BY ALL
 ), compared AS (
   SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited_text) AS edited_sha256, coalesce(a.digits, '') AS fingerprint, coalesce(b.digits, '') AS edited_fingerprint,
     coalesce(len(a.hashes), 0) AS n_a, coalesce(len(b.hashes), 0) AS n_b, coalesce(len(c.hashes), 0) AS n_c,
     coalesce(len(list_intersect(a.hashes, b.hashes)), 0) AS ab, coalesce(len(list_intersect(a.hashes, c.hashes)), 0) AS ac
-  FROM edited e LEFT JOIN written a ON a.doc_id = e.doc_id AND a.kind = 'own' LEFT JOIN written b ON b.doc_id = e.doc_id AND b.kind = 'edited' LEFT JOIN written c ON c.doc_id = e.doc_id AND c.kind = 'next'
+  FROM edited e LEFT JOIN written a ON a.doc_id = e.doc_id AND a.kind = 'own' LEFT JOIN written b ON b.doc_id = e.doc_id AND b.kind = 'edited' LEFT JOIN written c ON c.doc_id = e.next_id AND c.kind = 'own'
 )
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   CASE WHEN n_a + n_b = 0 THEN 1.0 ELSE ab::DOUBLE / (n_a + n_b - ab) END::DOUBLE AS near_edited, CASE WHEN n_a + n_c = 0 THEN 1.0 ELSE ac::DOUBLE / (n_a + n_c - ac) END::DOUBLE AS near_next
