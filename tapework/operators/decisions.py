@@ -6,8 +6,12 @@ token_ids or positions, confidence, text, replacement. A proposed deletion has i
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import span_form
 
@@ -102,11 +106,31 @@ def delete_evidence(deletes: DataFrame, tokens: DataFrame, mode: str, more: tupl
     return out.withColumn("evidence_reason", told).withColumn("evidence", F.col("evidence_reason").isin(accepted))
 
 
+def _settle(proposals: pa.Table) -> pa.Table:
+    """An item's proposals in order of seq, with skip_reason. Accepted ranges don't overlap, so only their neighbour in order is looked at."""
+    proposals = proposals.sort_by([(c, "ascending") for c in ("seq", "type", "confidence", "first_pos")])
+    columns = [proposals[c].to_pylist() for c in ("_early", "_late", "first_pos", "last_pos", "n_tokens")]
+    budget, used, firsts, lasts, told = max(1, proposals["_total"][0].as_py() * 2 // 5), 0, [], [], []
+    for early, late, first, last, n in zip(*columns, strict=True):
+        why = early
+        if why is None:
+            k = bisect_right(firsts, last)  # the last accepted range that begins before this one ends
+            why = "overlapping_delete" if k and lasts[k - 1] >= first else late
+        if why is None and used + n > budget:
+            why = "deletion_budget_exceeded"
+        if why is None:
+            firsts.insert(k, first)
+            lasts.insert(k, last)
+            used += n
+        told.append(why)
+    return proposals.append_column("skip_reason", pa.array(told, pa.string()))
+
+
 def accept_deletes(deletes: DataFrame, tokens: DataFrame, mode: str, spans: DataFrame | None = None, protect_latin: bool = True) -> DataFrame:
     """Each proposed deletion with applied, skip_reason or validation, and the range start_us to end_us that an applied one cuts.
 
     Rules in order: policy, contiguity, protected content, overlap with an accepted deletion, evidence, and the budget of 40 %
-    of the item's tokens. Overlap and budget depend on what was accepted before, so an item's proposals are folded in order of
+    of the item's tokens. Overlap and budget depend on what was accepted before, so an item's proposals are settled in order of
     seq; everything else is joined.
     """
     guarded = protected_tokens(tokens, spans, protect_latin).withColumn("_guarded", F.lit(True))
@@ -118,25 +142,11 @@ def accept_deletes(deletes: DataFrame, tokens: DataFrame, mode: str, spans: Data
     )
     known = delete_evidence(contiguity(delete_policy(deletes, mode)), read, mode, more)
     early = F.when(~F.col("passes_policy"), "policy_or_confidence").when(~F.col("contiguous"), "non_contiguous_tokens").when(F.coalesce("_protected", F.lit(False)), "protected_content")
-    op = F.struct("seq", "type", "confidence", "positions", "n_tokens", "first_pos", "last_pos", early.alias("early"), F.when(~F.col("evidence"), F.col("evidence_reason")).alias("late"), "evidence_reason", "_s", "_e")
-    listed = known.groupBy(ITEM).agg(F.array_sort(F.collect_list(op)).alias("_ops"))
     totals = tokens.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_total"))
-    listed = listed.join(totals, ITEM).withColumn("_budget", F.greatest(F.lit(1), F.floor(F.col("_total") * 2 / 5)).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)").alias("taken"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        overlap = F.exists(state["taken"], lambda t: (t["a"] <= x["last_pos"]) & (x["first_pos"] <= t["b"]))
-        over = state["used"] + x["n_tokens"] > F.col("_budget")
-        why = F.when(x["early"].isNotNull(), x["early"]).when(overlap, "overlapping_delete").when(x["late"].isNotNull(), x["late"]).when(over, "deletion_budget_exceeded")
-        good = why.isNull()
-        return F.struct(
-            (state["used"] + F.when(good, x["n_tokens"]).otherwise(0)).alias("used"),
-            F.when(good, F.concat(state["taken"], F.array(F.struct(x["first_pos"].alias("a"), x["last_pos"].alias("b"))))).otherwise(state["taken"]).alias("taken"),
-            F.concat(state["out"], F.array(why)).alias("out"),
-        )
-
-    folded = listed.select(ITEM, "_ops", F.aggregate("_ops", start, step)["out"].alias("_out"))
-    each = folded.select(ITEM, F.explode(F.arrays_zip("_ops", "_out")).alias("z")).select(ITEM, "z._ops.*", F.col("z._out").alias("skip_reason"))
+    judged = known.withColumns({"_early": early, "_late": F.when(~F.col("evidence"), F.col("evidence_reason"))}).join(totals, ITEM)
+    judged = judged.select(ITEM, "seq", "type", "confidence", "positions", "n_tokens", "first_pos", "last_pos", "evidence_reason", "_early", "_late", "_s", "_e", "_total")
+    shape = T.StructType([*judged.schema.fields, T.StructField("skip_reason", T.StringType())])
+    each = judged.groupBy(ITEM).applyInArrow(_settle, shape)
     each = each.withColumn("applied", F.col("skip_reason").isNull())
     first = F.greatest(F.lit(0), F.col("_s") - 25_000)
     times = {"start_us": F.when(F.col("applied"), first), "end_us": F.when(F.col("applied"), F.greatest(first + 40_000, F.col("_e") + 25_000)), "validation": F.when(F.col("applied"), F.col("evidence_reason"))}

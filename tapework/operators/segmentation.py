@@ -6,7 +6,7 @@ end_us. breaks: item_id, pos and kind (preferred, required, forbidden), as break
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,38 +207,98 @@ def line_cost(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame
     return options.withColumn("cost", F.round(_cost(F.col("width"), n, F.col("_end")["last"], F.col("_end"), layout), 6)).drop("_end")
 
 
-def _least_lines(layout: Layout):
-    """Lines of one item. Of every end so far the best cost is known; a start stays open while a line from it may still end."""
+def _span_lines(layout: Layout, t: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of least cost of spans of tokens of t, at first and of so many tokens, as the tokens that they begin and end at.
 
-    def run(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        n, units, chars, pause = len(t["pos"]), _sums(t["units"]), _sums(t["chars"]), t["pause_us"]
-        rest = np.where(pause >= PAUSE_US, -np.minimum(5.0, pause / 1_000_000 * 8), np.where(pause < SOFT_PAUSE_US, 1.2, 0.0))
-        rest = rest - np.where(t["signed"], 3.0, 0.0) - np.where(t["preferred"], 4.0, 0.0) + np.where(t["latin"], 1000.0, 0.0)
-        rest[n - 1] = 0.0
-        ends = t["required"].copy()
-        ends[n - 1] = True
-        start_of, open_, spent = np.zeros(n, np.int64), np.zeros(1, np.int64), np.zeros(1)
-        for i in range(n):
-            if t["forbidden"][i] and not ends[i]:
+    The spans go through their tokens side by side. At a span's i-th token column w of the state is the line that would start w tokens
+    before: whether it may still end here or later, and the least cost of all lines before it.
+    """
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    rows, most = len(size), int(size[0])
+    at = np.minimum(first[:, None] + np.arange(most), first[:, None] + size[:, None] - 1)
+    sums = {c: np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(t[c][at], axis=1)], axis=1) for c in ("units", "chars")}
+    allowed, rest, final = t["allowed"][at], t["rest"][at], t["final"][at]
+    start_of = np.zeros((rows, most), np.int64)
+    open_, spent = np.zeros((rows, 8), bool), np.zeros((rows, 8))
+    open_[:, 0] = True
+    for i in range(most):
+        m = int(np.searchsorted(-size, -i))  # spans of more than i tokens
+        if open_[:m, -1].any():
+            open_, spent = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (open_, spent))
+        w = np.arange(min(open_.shape[1], i + 1))
+        units, chars = (x[:m, i + 1, None] - x[:m, i - w] for x in (sums["units"], sums["chars"]))
+        width = units * layout.half_width + (chars - 1) * layout.spacing
+        ratio = width / max(1.0, layout.comfort) - 0.82
+        cost = 8 * (ratio * ratio) + np.where((w <= 1) & ~final[:m, i, None], 5.0, 0.0) + np.where(width > layout.hard, 1000.0, 0.0)
+        total = np.where(open_[:m, : len(w)], spent[:m, : len(w)] + (cost + rest[:m, i, None]), np.inf)
+        best = len(w) - 1 - total[:, ::-1].argmin(axis=1)  # of equal ones the earliest start
+        ends = allowed[:m, i]
+        start_of[:m, i] = i - best
+        # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
+        alive = open_[:m, : len(w)] & ((width <= layout.hard) | (w == 0) | ~ends[:, None])
+        open_[:m, 1 : len(w) + 1] = alive[:, : open_.shape[1] - 1]
+        spent[:m, 1 : len(w) + 1] = spent[:m, : len(w)][:, : open_.shape[1] - 1].copy()
+        open_[:m, 0], spent[:m, 0] = ends, total[np.arange(m), best]
+    starts, ends, row, end = [], [], np.arange(rows), size - 1
+    while len(row):
+        start = start_of[row, end]
+        starts.append(first[row] + start)
+        ends.append(first[row] + end)
+        row, end = row[start > 0], start[start > 0] - 1
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _lines_of(layout: Layout, tokens: pa.Table) -> pa.Table:
+    """Lines of whole items, whose tokens are in order."""
+    t = {c: tokens[c].to_numpy() for c in ("pos", "units", "chars", "preferred", "required", "forbidden", "pause_us", "signed", "latin")}
+    item = tokens[ITEM].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    t["final"] = np.append(item[1:] != item[:-1], True)
+    rest = np.where(t["pause_us"] >= PAUSE_US, -np.minimum(5.0, t["pause_us"] / 1_000_000 * 8), np.where(t["pause_us"] < SOFT_PAUSE_US, 1.2, 0.0))
+    rest = rest - np.where(t["signed"], 3.0, 0.0) - np.where(t["preferred"], 4.0, 0.0) + np.where(t["latin"], 1000.0, 0.0)
+    t["rest"] = np.where(t["final"], 0.0, rest)
+    last = t["required"] | t["final"]
+    t["allowed"] = last | ~t["forbidden"]
+    stop = np.flatnonzero(last) + 1
+    first = np.concatenate([[0], stop[:-1]])
+    size = stop - first
+    parts = []
+    # Spans of about a length go side by side, so many that their state stays small.
+    of_length = np.floor(np.log2(size)).astype(np.int64)
+    for length in np.unique(of_length):
+        which = np.flatnonzero(of_length == length)
+        step = max(1, SPAN_TOKENS >> int(length))
+        parts += [_span_lines(layout, t, first[w], size[w]) for w in (which[k : k + step] for k in range(0, len(which), step))]
+    start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(start)
+    start, end = start[order], end[order]
+    of = item[start]
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    line = np.arange(len(start)) - np.repeat(head, np.diff(np.append(head, len(start)))) + 1
+    return pa.table({ITEM: tokens[ITEM].take(pa.array(start)), "first_pos": pa.array(t["pos"][start]), "last_pos": pa.array(t["pos"][end]), "line": pa.array(line)})
+
+
+#: Tokens that are segmented at once: whole items, and of them spans side by side.
+ITEM_TOKENS, SPAN_TOKENS = 200_000, 65_536
+
+
+def _lines(layout: Layout):
+    """Tokens come ordered by item and place; whole items are worked on together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < ITEM_TOKENS:
                 continue
-            width = (units[i + 1] - units[open_]) * layout.half_width + (chars[i + 1] - chars[open_] - 1) * layout.spacing
-            ratio = width / max(1.0, layout.comfort) - 0.82
-            cost = 8 * (ratio * ratio) + np.where((open_ >= i - 1) & (i < n - 1), 5.0, 0.0) + np.where(width > layout.hard, 1000.0, 0.0)
-            total = spent + (cost + rest[i])
-            best = int(total.argmin())  # of equal ones the earliest start
-            start_of[i] = open_[best]
-            if ends[i]:
-                open_, spent = np.array([i + 1]), np.zeros(1)
-            else:
-                # A start is closed once a line from it that may end here is over the hard width, unless the line is one token.
-                alive = (width <= layout.hard) | (open_ == i)
-                open_, spent = np.append(open_[alive], i + 1), np.append(spent[alive], total[best])
-        lines, end = [], n - 1
-        while end >= 0:
-            lines.append((start_of[end], end))
-            end = start_of[end] - 1
-        first, last = (t["pos"][np.array(side)] for side in zip(*reversed(lines), strict=True))
-        return {"first_pos": first, "last_pos": last, "line": np.arange(1, len(lines) + 1)}
+            tokens = pa.Table.from_batches(held)
+            code = tokens[ITEM].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            whole = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0  # the last item may go on
+            if whole:
+                yield from _lines_of(layout, tokens.slice(0, whole)).combine_chunks().to_batches()
+                held = tokens.slice(whole).combine_chunks().to_batches()
+        if sum(map(len, held)):
+            yield from _lines_of(layout, pa.Table.from_batches(held)).combine_chunks().to_batches()
 
     return run
 
@@ -247,11 +307,14 @@ def segment_lines(tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataF
     """Each item in lines of least total cost: item_id, line, first_pos, last_pos. No line passes a required break.
 
     Candidates from a start end at every allowed token up to and including the first allowed one over the hard width.
-    Of equal costs the earliest start wins. An item's tokens are read once, and those that a line can still start from are
-    weighed together, as arrays.
+    Of equal costs the earliest start wins. Spans between required breaks are the units of work: they don't depend on each other but
+    for the pause and signs at their ends, so spans of many items are segmented side by side, as arrays.
     """
+    known = measured(tokens, breaks)
     columns = ["pos", "units", "chars", "preferred", "required", "forbidden", "pause_us", "signed", "latin"]
-    return _by_item(measured(tokens, breaks), columns, _least_lines(layout), "first_pos long, last_pos long, line long")
+    dealt = known.select(ITEM, *columns).repartition(F.col(ITEM)).sortWithinPartitions(ITEM, "pos")
+    found = dealt.mapInArrow(_lines(layout), f"{ITEM} {known.schema[ITEM].dataType.simpleString()}, first_pos long, last_pos long, line long")
+    return found.select(ITEM, "first_pos", "last_pos", "line")
 
 
 def validate_layout(lines: DataFrame, tokens: DataFrame, breaks: DataFrame, layout: Layout) -> DataFrame:
