@@ -22,7 +22,7 @@ _RESPONSE = f"""CASE WHEN event_id % 89 = 7 THEN '{{"delete_ranges": [' ELSE con
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.expr(_RESPONSE).alias("value"))
     cleaned = sanitize.sanitize_annotations(raw)
-    return cleaned.withColumns({"token_ids": F.array_join("token_ids", ","), "text": F.md5("text")})
+    return cleaned.withColumns({"token_ids": F.array_join("token_ids", ","), "text": F.md5("text"), "reason": F.md5("reason")})
 
 
 _ID = "CASE WHEN utt % 4 < 2 THEN 's001' WHEN utt % 4 = 2 THEN 's001-2' WHEN utt = 7 THEN '!' ELSE concat('x ', utt, '!') END"
@@ -103,9 +103,9 @@ _ENTRIES = """read AS (SELECT event_id AS item_id, CASE WHEN json_valid(b) THEN
 
 ORACLE_SQL = {
     "sanitize_annotations": f"""WITH raw AS (SELECT event_id, {_RESPONSE} AS value FROM events), {_ENTRIES}
-      SELECT item_id, kind, seq, CASE WHEN boundary THEN '' ELSE array_to_string(ids, ',') END AS token_ids, CASE WHEN boundary THEN a END AS after_token_id, CASE WHEN kind = 'delete_ranges' THEN CASE WHEN t IN ('stutter', 'false_start', 'exact_repeat', 'semantic_repeat', 'filler', 'redundant') THEN t ELSE 'redundant' END END AS type,
+      SELECT * REPLACE (md5(reason) AS reason) FROM (SELECT item_id, kind, seq, CASE WHEN boundary THEN '' ELSE array_to_string(ids, ',') END AS token_ids, CASE WHEN boundary THEN a END AS after_token_id, CASE WHEN kind = 'delete_ranges' THEN CASE WHEN t IN ('stutter', 'false_start', 'exact_repeat', 'semantic_repeat', 'filler', 'redundant') THEN t ELSE 'redundant' END END AS type,
         CASE WHEN kind IN ('protected_spans', 'final_sentences') OR (kind = 'forbidden_breaks' AND span) THEN md5(x) END AS text, CASE WHEN kind = 'corrections' THEN r END AS replacement, CASE WHEN kind <> 'final_sentences' THEN CASE WHEN given THEN greatest(0.0, least(1.0, c)) ELSE 0.0 END END::DOUBLE AS confidence, CASE WHEN kind <> 'final_sentences' THEN why END AS reason FROM good
-      UNION ALL SELECT item_id, 'quarantined', 0, '', NULL, NULL, NULL, NULL, NULL, NULL FROM failed""",
+      UNION ALL SELECT item_id, 'quarantined', 0, '', NULL, NULL, NULL, NULL, NULL, NULL FROM failed)""",
     "sanitize_sentences": f"""WITH RECURSIVE {TURNS_SQL}, turns AS (SELECT c.*, coalesce(s.text, '') AS text, row_number() OVER (PARTITION BY item_id ORDER BY utt) AS idx FROM conv_turns c JOIN conversations s ON s.conv_id = c.item_id AND s.turn = c.utt),
       handed AS (SELECT item_id, idx, {_ID} AS id, {_pick(_NEW)} FROM turns), {_ids_sql("s")},
       old AS (SELECT item_id, id, {_pick(_OLD)} FROM (SELECT DISTINCT item_id FROM turns), (SELECT unnest({_OLD_IDS}) AS id, unnest(range(4)) AS k)),
