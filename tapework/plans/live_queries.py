@@ -24,12 +24,13 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as speech, and a script of each: every ninth item has another item's words, others have changed words and breaks."""
+    """Conversations as speech, and a script of each: of every fourth turn it lacks the first word, every ninth item has other vowels, others have changed words and breaks."""
     tokens = conv_tokens(spark, sf_dir).where("trim(text) <> ''").select("item_id", F.col("pos"), "token_id", "text")
     order = F.row_number().over(segmentation.Window.partitionBy("item_id").orderBy("pos")).cast("long") - 1
     tokens = tokens.withColumn("pos", order)
     turns = conv_turns(spark, sf_dir).select("item_id", "utt", F.replace(F.replace("text", F.lit(" the "), F.lit(" THE | ")), F.lit(" and "), F.lit(" ")).alias("t"))
-    scripts = turns.where("utt % 4 <> 3").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt", "t"))), lambda x: x["t"]), " ").alias("script"))
+    turns = turns.withColumn("t", F.when(F.col("utt") % 4 == 3, F.regexp_replace("t", r"^[^ \n]+[ \n]*", "")).otherwise(F.col("t")))
+    scripts = turns.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt", "t"))), lambda x: x["t"]), " ").alias("script"))
     return tokens, scripts.withColumn("script", F.when(F.col("item_id") % 9 == 0, F.translate("script", "aeiou", "qqqqq")).otherwise(F.col("script")))
 
 
@@ -245,7 +246,7 @@ _UNITS = r"""cut AS (SELECT item_id, unnest(p) AS text, unnest(range(len(p))) AS
   numbered AS (SELECT *, count(*) FILTER (WHERE kind = 'unit') OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS unit FROM kinds WHERE kind <> 'none'),
   units AS (SELECT item_id, unit, arg_max(text, k) FILTER (WHERE kind = 'unit') AS text, bool_or(kind = 'break') AS manual_break, arg_max(text, k) FILTER (WHERE kind = 'sign') AS punctuation FROM numbered WHERE unit >= 0 GROUP BY item_id, unit)"""
 _SPOKEN = f"""{TURNS_SQL}, scripts AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN translate(script, 'aeiou', 'qqqqq') ELSE script END AS script FROM (
-    SELECT conv_id AS item_id, string_agg(replace(replace(coalesce(text, ''), ' the ', ' THE | '), ' and ', ' '), ' ' ORDER BY turn) AS script FROM conversations WHERE turn % 4 <> 3 GROUP BY conv_id)), {_UNITS}"""
+    SELECT conv_id AS item_id, string_agg(CASE WHEN turn % 4 = 3 THEN regexp_replace(t, '^[^ \\n]+[ \\n]*', '') ELSE t END, ' ' ORDER BY turn) AS script FROM (SELECT conv_id, turn, replace(replace(coalesce(text, ''), ' the ', ' THE | '), ' and ', ' ') AS t FROM conversations) GROUP BY conv_id)), {_UNITS}"""
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 ORACLE_SQL = {
