@@ -7,6 +7,9 @@ so text of which nothing occurs once is matched too. What stays open between mat
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -67,25 +70,65 @@ def _anchors(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
     return _calm(each.distinct())
 
 
+#: Bytes of rows that are held to read a pairing from.
+HELD = 16 << 20
+
+
+def _rows(a: np.ndarray, b: np.ndarray) -> Iterator[int]:
+    """For each beginning of a the row of lengths of longest common subsequences with all beginnings of b, bit-parallel.
+
+    A row is one whole number: bit j is 0 where the length rises with b's j-th unit. So a step is a few operations on words of 64 cells: an
+    addition carries each rise to the first match before it.
+    """
+    n = len(b)
+    order = np.argsort(b, kind="stable")
+    heads = np.flatnonzero(np.diff(b[order], prepend=b[order[0]] - 1)).tolist()
+    wanted, at = set(a.tolist()), {}
+    for head, end in zip(heads, [*heads[1:], n], strict=True):
+        places = order[head:end]
+        if (symbol := int(b[places[0]])) in wanted:
+            bits = np.zeros(n // 8 + 1, np.uint8)
+            np.bitwise_or.at(bits, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+            at[symbol] = int.from_bytes(bits.tobytes(), "little")
+    every = (1 << n) - 1
+    row = every
+    for symbol in a.tolist():
+        if hit := at.get(symbol):
+            met = row & hit
+            row = ((row + met) | (row - met)) & every
+        yield row
+
+
 def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The length of a longest common subsequence of a with each beginning of b."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        np.maximum.accumulate(row, out=row)
-    return row
+    last = deque(_rows(a, b), maxlen=1)[0]
+    flat = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - flat.astype(np.int64))])
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of two sequences, in rows of memory: halves of a meet the parts of b that suit them best."""
+    """Places of a longest common subsequence of two sequences.
+
+    It is read from all rows where they take little memory; else halves of a meet the parts of b that suit them best.
+    """
     if not len(a) or not len(b):
         return []
-    if len(a) == 1:
-        found = np.flatnonzero(b == a[0])
-        return [(0, int(found[0]))] if len(found) else []
-    half = len(a) // 2
-    cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
-    return common_subsequence(a[:half], b[:cut]) + [(half + x, cut + y) for x, y in common_subsequence(a[half:], b[cut:])]
+    if len(a) * len(b) > 8 * HELD and len(a) > 1:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return common_subsequence(a[:half], b[:cut]) + [(half + x, cut + y) for x, y in common_subsequence(a[half:], b[cut:])]
+    rows = [r.to_bytes(len(b) // 8 + 1, "little") for r in _rows(a, b)]
+    rises = lambda i, j: not rows[i][j >> 3] >> (j & 7) & 1
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if not rises(i, j):
+            j -= 1
+        elif i and rises(i - 1, j):
+            i -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
 
 
 def _stretches(side: DataFrame, matched: DataFrame, name: str) -> DataFrame:

@@ -122,6 +122,17 @@ def test_common_subsequence(a, b):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
+def test_common_subsequence_in_halves(monkeypatch):
+    """Where rows aren't held, halves are paired, as long as before; repeats, and units that only one side has, in long texts."""
+    rng = np.random.default_rng(5)
+    cases = [(rng.integers(0, k, n), rng.integers(0, k, m)) for k, n, m in ((1, 40, 70), (3, 200, 150), (50, 300, 400), (900, 500, 333))]
+    whole = [alignment.common_subsequence(a, b) for a, b in cases]
+    monkeypatch.setattr(alignment, "HELD", 8)
+    for (a, b), known in zip(cases, whole, strict=True):
+        got = alignment.common_subsequence(a, b)
+        assert len(got) == len(known) and all(a[i] == b[j] for i, j in got) and all(x < y and u < v for (x, u), (y, v) in zip(got, got[1:], strict=False))
+
+
 # -- files
 
 
