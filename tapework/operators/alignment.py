@@ -113,6 +113,9 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """
     if not len(a) or not len(b):
         return []
+    if len(a) == 1 or len(b) == 1:
+        found = np.flatnonzero(a == b)[:1].tolist()
+        return [(0, k) if len(a) == 1 else (k, 0) for k in found]
     if len(a) * len(b) > 8 * HELD and len(a) > 1:
         half = len(a) // 2
         cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
