@@ -27,8 +27,12 @@ SEED = 42
 CHUNK = 65_536
 #: Rows and columns of one block of the comparison within a meeting point.
 BLOCK = 2_048
-#: Rows of a block where most prints meet by chance.
+#: Rows that are held against a block at once.
 PART = 256
+#: Sketches: mixes of 64 bits, keys of them and their bits, and bits of a key that variants flip.
+MIXES, KEYS, KEY_BITS, DOUBTFUL = 4, 9, 28, 5
+#: Rows of a meeting place that a task holds; more are dealt to blocks of so many.
+CROWD = 8_192
 #: Texts of a block of a candidate group about.
 GROUP = 256
 
@@ -193,54 +197,59 @@ def simhash_dedup(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFra
     return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
-def _pieces(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of radius // 2 + 1 pieces of the 64 bits: prints within radius have a piece within 1 bit."""
-    n = radius // 2 + 1
-    ends = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def two_prints(hashes: np.ndarray) -> np.ndarray:
-    """A fingerprint of a set of hashes, and a second one of the same hashes, mixed."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of a set of hashes each of their 64 bits is set, then the same for three further mixes of them: 256 counts."""
+    mixes = [hashes]
     with np.errstate(over="ignore"):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    out = np.zeros(2, np.uint64)
-    for k, h in enumerate((hashes, mixed ^ (mixed >> np.uint64(31)))):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), CHUNK):
-            ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def _two_prints(shingle: int):
+        for _ in range(MIXES - 1):
+            m = (mixes[-1] ^ (mixes[-1] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixes.append(m ^ (m >> np.uint64(31)))
+    ones = np.zeros(64 * MIXES, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        some = np.column_stack([m[at : at + CHUNK] for m in mixes])
+        # A byte for each bit, eight of them added at a time: up to 255 rows can't carry over.
+        lanes = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+        ones += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """256 bits, each set if it is in over half of the hashes, and for each key of 28 bits the places of its most doubtful bits."""
+    ones = bit_counts(hashes)
+    margin = np.abs(2 * ones - len(hashes))[: KEYS * KEY_BITS].reshape(KEYS, KEY_BITS)
+    doubtful = np.argsort(margin, axis=1, kind="stable")[:, :DOUBTFUL].astype(np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes() + doubtful.tobytes()
+
+
+def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [two_prints(shingles(t, shingle)) for _, texts in some_at_a_time(batch.column("text")) for t in texts.cast(pa.binary()).to_pylist()]
-            prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], ["doc_id", "text_hash", "print", "second"])
+            made = [sketch(shingles(t, shingle)) for _, texts in some_at_a_time(batch.column("text")) for t in texts.cast(pa.binary()).to_pylist()]
+            prints = np.frombuffer(b"".join(s[:16] for s in made), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(made, pa.binary())], ["doc_id", "text_hash", "print", "second", "sketch"])
 
     return run
 
 
-def _emit_pieces(radius: int):
-    """For each piece the piece itself, and all values with one of its set bits cleared: of two that differ in a bit, one has it set."""
+def places(sketches: list[bytes]) -> np.ndarray:
+    """A row for each sketch: for each of its keys the key itself and all variants with one or two of its most doubtful bits flipped."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    bits = np.unpackbits(rows[:, : 8 * MIXES], axis=1, bitorder="little")[:, : KEYS * KEY_BITS].reshape(-1, KEYS, KEY_BITS)
+    own = bits @ (1 << np.arange(KEY_BITS, dtype=np.int64)) | (np.arange(KEYS, dtype=np.int64) << KEY_BITS)
+    flips = 1 << rows[:, 8 * MIXES :].reshape(-1, KEYS, DOUBTFUL).astype(np.int64)
+    some = [np.zeros_like(own), *(flips[:, :, k] for k in range(DOUBTFUL)), *(flips[:, :, j] | flips[:, :, k] for k in range(DOUBTFUL) for j in range(k))]
+    return np.concatenate([own ^ flip for flip in some], axis=1).astype(np.uint32).view(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = batch.column("print").to_numpy().view(np.uint64)
-            rest = [batch.column(n).to_numpy() for n in ("text_hash", "print", "second")]
-            for k, (first, width) in enumerate(_pieces(radius)):
-                own = ((prints >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                at, places = [np.arange(len(own))], [own]
-                for bit in range(width):
-                    at.append(np.flatnonzero((own >> bit) & 1))
-                    places.append(own[at[-1]] ^ (1 << bit))
-                who = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places) | (k << 48)), *[pa.array(r[who]) for r in rest]], ["place", "text_hash", "print", "second"])
 
-    return run
+def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            some = batch.slice(at, BLOCK)
+            where = places(some.column("sketch").to_pylist())
+            who = np.repeat(np.arange(len(where)), where.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(where.ravel()), *(pa.array(some.column(n).to_numpy()[who]) for n in ("text_hash", "print", "second"))], ["place", "text_hash", "print", "second"])
 
 
 def _hits(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,70 +259,147 @@ def _hits(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return x[both], y[both]
 
 
+def _like_first(prints: list[np.ndarray], first: np.ndarray | int, radius: int) -> np.ndarray:
+    """Whether each row is as near as a link asks to the row first of it."""
+    apart, more = (np.bitwise_count(p ^ p[first]).astype(np.int64) for p in prints)
+    return (apart <= radius) & (apart + more <= 2 * radius + 2)
+
+
+def _rest_links(rest: np.ndarray, ids: np.ndarray, prints: list[np.ndarray], others: np.ndarray, other_prints: list[np.ndarray], radius: int) -> tuple[list, list]:
+    """Links between the rows numbered in rest and all others, block by block; only those that join what isn't joined yet."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = k = root.get(up, up)
+        return k
+
+    a, b = [], []
+    for at in range(0, len(rest), PART):
+        part = rest[at : at + PART]
+        for to in range(0, len(others), BLOCK):
+            x, y = _hits([p[part] for p in prints], [p[to : to + BLOCK] for p in other_prints], radius)
+            for i, j in zip(ids[part[x]].tolist(), others[y + to].tolist(), strict=True):
+                if (p := find(i)) != (q := find(j)):
+                    root[q] = p
+                    a.append(i)
+                    b.append(j)
+    return a, b
+
+
+_FOUND = "left long, right long, place int, block int, rest_block int, print long, second long"
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
 def _meet_wide(radius: int):
-    """Links of a place, where many meet by chance: block by block, those that join what no earlier block has joined."""
+    """Rows arrive sorted by (place, text_hash). All rows of a place are held against its first; what isn't like that one against all.
 
-    def links(place: int, ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, width = _pieces(radius)[place >> 48]
-        own = (prints[0] >> np.uint64(first)) & np.uint64((1 << width) - 1) == np.uint64(place & ((1 << 48) - 1))
-        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
-        ids, prints, n = ids[order], [p[order] for p in prints], int(own.sum())
-        root: dict[int, int] = {}
+    Gives links, as left and right. Of a place with more than CROWD rows no more than those are held: its rows are given as left,
+    place, block, print and second, with the first row as right, or where they aren't like it with rest_block instead.
+    """
 
-        def find(k: int) -> int:
-            while (up := root.get(k, k)) != k:
-                root[k] = k = root.get(up, up)
-            return k
+    def links(left, right) -> pa.RecordBatch:
+        n = len(left)
+        empty = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), *empty], _FOUND_NAMES)
 
-        a, b = [], []
-        for at in range(0, n, PART):
-            part = [p[at : at + PART] for p in prints]
-            for to in range(at, len(ids), BLOCK):
-                x, y = _hits(part, [p[to : to + BLOCK] for p in prints], radius)
-                for i, j in zip((x + at).tolist(), (y + to).tolist(), strict=True):
-                    if i < j and (p := find(i)) != (q := find(j)):
-                        root[q] = p
-                        a.append(i)
-                        b.append(j)
-        return ids[a], ids[b]
+    def small(place: np.ndarray, ids: np.ndarray, prints: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole places."""
+        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sizes = np.diff(np.append(heads, len(place)))
+        first = np.repeat(heads, sizes)
+        like = _like_first(prints, first, radius)
+        linked = np.flatnonzero(like & (first != np.arange(len(place))))
+        left, right = [ids[first[linked]]], [ids[linked]]
+        unlike = np.flatnonzero(~like & (np.repeat(sizes, sizes) > 2))
+        for head in np.unique(first[unlike]).tolist():
+            end = head + int(sizes[np.searchsorted(heads, head)])
+            rest = np.flatnonzero(~like[head:end])
+            here = [p[head:end] for p in prints]
+            a, b = _rest_links(rest, ids[head:end], here, ids[head:end], here, radius)
+            left.append(np.array(a, np.int64))
+            right.append(np.array(b, np.int64))
+        if sum(map(len, left)):
+            yield links(np.concatenate(left), np.concatenate(right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, ids, *prints in _by_key(batches, "place", "place", "text_hash", "print", "second"):
-            if len(ids) > 1:
-                a, b = links(int(place[0]), ids, [p.view(np.uint64) for p in prints])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["left", "right"])
+        held: list[list[np.ndarray]] = []
+        crowd = None  # place, id and prints of the first row, rows so far and rows unlike it
+
+        def crowded(place: np.ndarray, ids: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
+            nonlocal crowd
+            if crowd is None:
+                crowd = [place[0], ids[0], [p[:1] for p in prints], 0, 0]
+            n = len(ids)
+            like = _like_first([np.concatenate([f, p]) for f, p in zip(crowd[2], prints, strict=True)], 0, radius)[1:]
+            block, rest = (crowd[3] + np.arange(n)) // CROWD, (crowd[4] + np.cumsum(~like) - 1) // CROWD
+            crowd[3], crowd[4] = crowd[3] + n, crowd[4] + int((~like).sum())
+            columns = [pa.array(ids), pa.array(np.full(n, crowd[1]), mask=~like), pa.array(place), pa.array(block.astype(np.int32)), pa.array(rest.astype(np.int32), mask=like)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(p.view(np.int64)) for p in prints)], _FOUND_NAMES)
+
+        for batch in batches:
+            new = [batch.column("place").to_numpy(), batch.column("text_hash").to_numpy(), *(batch.column(c).to_numpy().view(np.uint64) for c in ("print", "second"))]
+            if not len(new[0]):
+                continue
+            if crowd is not None:
+                end = int(np.searchsorted(new[0], crowd[0], "right"))
+                if end:
+                    yield crowded(*(c[:end] for c in new))
+                if end == len(new[0]):
+                    continue
+                crowd, new = None, [c[end:] for c in new]
+            last = int(np.searchsorted(new[0], new[0][-1]))  # the last place may go on in the next batch
+            if held and (last or held[-1][0][-1] != new[0][0]):
+                yield from small(*_joined(held, [c[:last] for c in new]))
+                held = []
+            elif last:
+                yield from small(new[0][:last], new[1][:last], [c[:last] for c in new[2:]])
+            held.append([c[last:] for c in new])
+            if sum(len(h[0]) for h in held) > CROWD:
+                for part in held:
+                    yield crowded(*part)
+                held = []
+        if held:
+            yield from small(*_joined(held, [c[:0] for c in held[0]]))
 
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[list[np.ndarray]]:
-    """The named columns of each run of equal keys, as arrays. A run may go on over many batches."""
-    open_key, held = None, []
-    for batch in batches:
-        keys = batch.column(key).to_numpy()
-        if not len(keys):
-            continue
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
-        for head, end in zip(heads[:-1], heads[1:], strict=True):
-            if held and keys[head] != open_key:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            open_key = keys[head]
-            held.append([c[head:end] for c in columns])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+def _joined(held: list[list[np.ndarray]], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    place, ids, *prints = (np.concatenate(x) for x in zip(*held, more, strict=True))
+    return place, ids, prints
+
+
+def _crowd_links(radius: int):
+    """Links between a block of a crowded place's rows that aren't like its first one and a block of all its rows."""
+
+    def run(rest: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(rest) and len(members):
+            (ids, prints), (others, other_prints) = ((t["left"].to_numpy(), [t[c].to_numpy().view(np.uint64) for c in ("print", "second")]) for t in (rest, members))
+            a, b = _rest_links(np.arange(len(ids)), ids, prints, others, other_prints, radius)
+        return pa.table({"left": pa.array(a, pa.int64()), "right": pa.array(b, pa.int64())})
+
+    return run
 
 
 def wide_links(texts: DataFrame, radius: int) -> DataFrame:
-    """left and right: links that connect the texts (text_hash, print, second) within radius bits of print, and 2 * radius + 2 of both.
+    """left and right: links that connect the texts (text_hash, print, second, sketch) that meet and are within radius bits of print, and 2 * radius + 2 of both.
 
-    At a wide radius many prints of 64 bits meet by chance; the second print lets nearly none of those pass.
+    Texts meet in variants of keys of 28 bits. At a wide radius many prints of 64 bits are near by chance; the second print lets
+    nearly none of those pass. A place that more than CROWD texts share is dealt to blocks.
     """
-    emitted = texts.select("text_hash", "print", "second").mapInArrow(_emit_pieces(radius), "place long, text_hash long, print long, second long")
-    dealt = emitted.repartition(partitions(texts.sparkSession), "place").sortWithinPartitions("place")
-    return dealt.mapInArrow(_meet_wide(radius), "left long, right long")
+    emitted = texts.select("text_hash", "print", "second", "sketch").mapInArrow(_emit_places, "place int, text_hash long, print long, second long")
+    dealt = emitted.repartition(partitions(texts.sparkSession), "place").sortWithinPartitions("place", "text_hash")
+    found = cut(dealt.mapInArrow(_meet_wide(radius), _FOUND))
+    crowd = found.where("place IS NOT NULL").select("place", "block", "rest_block", "left", "print", "second")
+    blocks = crowd.groupBy("place").agg((F.max("block") + 1).alias("blocks"), (F.max("rest_block") + 1).alias("rest_blocks")).where("rest_blocks IS NOT NULL")
+    key = ["place", "rest_block", "block"]
+    every = {"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "rest_block": F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))}
+    side = lambda rows, name: rows.join(blocks, "place").withColumn(name, every[name]).select(*key, "left", "print", "second").toDF(*key, "left", "print", "second")
+    asked, others = side(crowd.where("rest_block IS NOT NULL"), "block"), side(crowd, "rest_block")
+    more = asked.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(_crowd_links(radius), "left long, right long")
+    return found.where("right IS NOT NULL").select("left", "right").unionByName(more)
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -428,19 +514,21 @@ def _verified(members: DataFrame, shingle: int, radius: int, least: float) -> Da
     return nodes.withColumnRenamed("node", "text_hash")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 17, least: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies: that of the smallest doc_id, with all columns of docs.
 
-    Texts are linked if their fingerprints are near (see wide_links(); here of the distinct shingles) and their sets of
+    Texts are linked if their fingerprints meet and are near (see wide_links(); here of the distinct shingles) and their sets of
     shingles share at least `least` of their union; links are followed. Which row stays is as in simhash_dedup().
     Fingerprints alone make candidate groups, whose distinct texts are compared by their shingles, in blocks (see _verified()).
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    prints = read.mapInArrow(_two_prints(shingle), f"doc_id {id_type}, text_hash long, print long, second long")
+    prints = read.mapInArrow(_sketches(shingle), f"doc_id {id_type}, text_hash long, print long, second long, sketch binary")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
-    texts = cut(prints.groupBy("text_hash", "print", "second").agg(first))
-    nodes = connected_components(wide_links(texts, radius), "left", "right").withColumnRenamed("node", "text_hash")
+    texts = cut(prints.groupBy("text_hash", "print", "second", "sketch").agg(first))
+    links = wide_links(texts, radius)
+    nodes = connected_components(links, "left", "right").withColumnRenamed("node", "text_hash")
+    forget(links)
     group = texts.join(nodes, "text_hash").select("text_hash", "print", "second", "component", F.col("first.doc_id").alias("_first"))
     # Of a text's copies the one with the first doc_id brings the text; rows that repeat it too are dropped.
     brought = read.join(group, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["text_hash"])

@@ -240,6 +240,12 @@ def test_simhash_rows(docs, nothing):
     assert simhash.simhash_components(nothing).count() == 0 and simhash.simhash_dedup(nothing).count() == 0
 
 
+def met_and_near(a, b, radius):
+    """Whether two sketches share a place, and are within radius bits of the first print and 2 * radius + 2 of both."""
+    apart = [(int.from_bytes(a[k : k + 8], "little") ^ int.from_bytes(b[k : k + 8], "little")).bit_count() for k in (0, 8)]
+    return apart[0] <= radius and sum(apart) <= 2 * radius + 2 and bool(np.intersect1d(*simhash.places([a, b])).size)
+
+
 def near_copies():
     """Texts of 40 to 300 words, and of each a copy with some words changed; ids of copies are 1,000 higher."""
     rng, rows = np.random.default_rng(5), []
@@ -258,15 +264,14 @@ def test_pipeline_finds_copies_of_four_fifths(spark, monkeypatch, group):
     rows = near_copies()
     of = [set(zip(*[w[i:] for i in range(5)], strict=False)) if len(w := (t or "").lower().split()) > 5 else {tuple(w)} for _, t in rows]
     root, wide, reached, alike = list(range(len(rows))), 0, 0, 0
-    both = [simhash.two_prints(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+    sketches = [simhash.sketch(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
     for a in range(len(rows)):
         for b in range(a):
             if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
                 bits = [simhash.fingerprint((rows[x][1] or "").encode(), 3) for x in (a, b)]
                 wide += (bits[0] ^ bits[1]).bit_count() > 3
                 alike += 1
-                apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(both[a], both[b], strict=True)]
-                if apart[0] > 15 or sum(apart) > 32:
+                if not met_and_near(sketches[a], sketches[b], 17):
                     continue
                 reached += 1
                 root = [root[b] if x == root[a] else x for x in root]
@@ -296,17 +301,67 @@ def test_group_of_many_near_copies(spark, monkeypatch, group):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 1_000]
 
 
-def test_wide_links_find_all(spark):
+@pytest.mark.parametrize("crowd", [8_192, 7])
+def test_wide_links_find_all(spark, monkeypatch, crowd):
+    """What meets in a key and is near is joined, and nothing else, also where a place is dealt to blocks."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PART", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
-    flip = lambda x, most: int(x) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, most)), replace=False))
-    prints = [(int(x), int(y)) for x, y in base] + [(flip(x, 18), flip(y, 24)) for x, y in base]
-    bits = lambda a, b: [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
-    want = {(b, a) for a in range(120) for b in range(a) if (d := bits(a, b))[0] <= 15 and sum(d) <= 32}
-    signed = lambda x: int(np.uint64(x).view(np.int64))
-    frame = spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(prints)], "text_hash long, print long, second long")
-    got = {tuple(sorted((r["left"], r["right"]))) for r in simhash.wide_links(frame, 15).collect()}
-    assert got == want and 20 < len(want) < 60
+    changed = lambda h, part: np.concatenate([h[int(part * len(h)) :], rng.integers(0, 2**63, int(part * len(h))).astype(np.uint64)])
+    sets = []
+    for k in range(60):
+        base = rng.integers(0, 2**63, 300).astype(np.uint64)
+        sets += [base, *(changed(base, p) for p in ([0.02, 0.06, 0.12, 0.3] if k else np.linspace(0, 0.2, 80)))]
+    sketches = [simhash.sketch(h) for h in sets]
+    root = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            if root[x] != root[y] and met_and_near(sketches[x], sketches[y], 17):
+                root = [root[y] if r == root[x] else r for r in root]
+    rows = [(k, *np.frombuffer(c[:16], np.int64).tolist(), c) for k, c in enumerate(sketches)]
+    links = simhash.wide_links(spark.createDataFrame(rows, "text_hash long, print long, second long, sketch binary"), 17)
+    nodes = {r["node"]: r["component"] for r in connected_components(links, "left", "right").collect()}
+    groups = lambda of: {frozenset(k for k in range(len(sets)) if of[k] == c) for c in set(of)}
+    assert groups([nodes.get(k, k) for k in range(len(sets))]) == groups(root) and 60 < len(set(root)) < 200
+
+
+def test_sketch_by_hand():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 70_000):
+        hashes = rng.integers(0, 2**63, n).astype(np.uint64)
+        ones = simhash.bit_counts(hashes)
+        assert ones[:64].tolist() == [int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+        code = simhash.sketch(hashes)
+        where = simhash.places([code])[0].view(np.uint32).tolist()
+        bits = [2 * c > n for c in ones.tolist()]
+        want = set()
+        for k in range(9):
+            mine = list(range(28 * k, 28 * k + 28))
+            doubtful = sorted(mine, key=lambda b: (abs(2 * int(ones[b]) - n), b))[:5]
+            for some in itertools.chain(*(itertools.combinations(doubtful, r) for r in range(3))):
+                want.add(sum((bits[b] ^ (b in some)) << (b - 28 * k) for b in mine) | k << 28)
+        assert sorted(where) == sorted(want) and len(where) == 144
+
+
+def test_copies_of_four_fifths_meet():
+    """Of pairs of texts that share exactly 0.8 of their union nine in ten are found at least, and nearly all at 0.9."""
+    rng = np.random.default_rng(1)
+    found = {}
+    for both, own in ((320, 40), (360, 20)):
+        pairs = [(h := rng.integers(0, 2**63, both + 2 * own).astype(np.uint64), h[own:], h[: both + own]) for _ in range(1_500)]
+        found[both] = np.mean([met_and_near(simhash.sketch(a), simhash.sketch(b), 17) for _, a, b in pairs])
+    assert found[320] >= 0.9 and found[360] >= 0.99
+
+
+@pytest.mark.parametrize("n", [2_000, 32_000])
+def test_chance_meetings_dont_grow(n):
+    """Unlike texts hardly share a place, at either size: work for each text stays as it is."""
+    rng = np.random.default_rng(n)
+    codes = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    doubtful = rng.random((n, 9, 28)).argsort(axis=2)[:, :, :5].astype(np.uint8).reshape(n, -1)
+    where = simhash.places([c.tobytes() for c in np.concatenate([codes, doubtful], axis=1)])
+    assert np.unique(where, return_counts=True)[1].max() <= 4
 
 
 # -- mixing
