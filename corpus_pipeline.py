@@ -51,7 +51,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_any_columns
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, verified to be shared by 0.8 or more."""
-    return simhash.near_dedup(docs, shingle=5, radius=15, least=0.8)
+    return simhash.near_dedup(docs, shingle=5, radius=17, least=0.8)
 
 
 @_any_columns
