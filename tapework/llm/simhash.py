@@ -30,7 +30,7 @@ BLOCK = 2_048
 #: Rows that are held against a block at once.
 PART = 256
 #: Sketches: mixes of 64 bits, keys of them and their bits, and bits of a key that variants flip.
-MIXES, KEYS, KEY_BITS, DOUBTFUL = 4, 9, 28, 5
+MIXES, KEYS, KEY_BITS, DOUBTFUL = 4, 9, 28, 6
 #: Rows of a meeting place that a task holds; more are dealt to blocks of so many.
 CROWD = 8_192
 #: Texts of a block of a candidate group about.

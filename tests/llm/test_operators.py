@@ -338,10 +338,10 @@ def test_sketch_by_hand():
         want = set()
         for k in range(9):
             mine = list(range(28 * k, 28 * k + 28))
-            doubtful = sorted(mine, key=lambda b: (abs(2 * int(ones[b]) - n), b))[:5]
+            doubtful = sorted(mine, key=lambda b: (abs(2 * int(ones[b]) - n), b))[:6]
             for some in itertools.chain(*(itertools.combinations(doubtful, r) for r in range(3))):
                 want.add(sum((bits[b] ^ (b in some)) << (b - 28 * k) for b in mine) | k << 28)
-        assert sorted(where) == sorted(want) and len(where) == 144
+        assert sorted(where) == sorted(want) and len(where) == 198
 
 
 def test_copies_of_four_fifths_meet():
@@ -351,7 +351,7 @@ def test_copies_of_four_fifths_meet():
     for both, own in ((320, 40), (360, 20)):
         pairs = [(h := rng.integers(0, 2**63, both + 2 * own).astype(np.uint64), h[own:], h[: both + own]) for _ in range(1_500)]
         found[both] = np.mean([met_and_near(simhash.sketch(a), simhash.sketch(b), 17) for _, a, b in pairs])
-    assert found[320] >= 0.9 and found[360] >= 0.99
+    assert found[320] >= 0.95 and found[360] >= 0.99
 
 
 @pytest.mark.parametrize("n", [2_000, 32_000])
@@ -359,7 +359,7 @@ def test_chance_meetings_dont_grow(n):
     """Unlike texts hardly share a place, at either size: work for each text stays as it is."""
     rng = np.random.default_rng(n)
     codes = rng.integers(0, 256, (n, 32), dtype=np.uint8)
-    doubtful = rng.random((n, 9, 28)).argsort(axis=2)[:, :, :5].astype(np.uint8).reshape(n, -1)
+    doubtful = rng.random((n, 9, 28)).argsort(axis=2)[:, :, :6].astype(np.uint8).reshape(n, -1)
     where = simhash.places([c.tobytes() for c in np.concatenate([codes, doubtful], axis=1)])
     assert np.unique(where, return_counts=True)[1].max() <= 4
 
