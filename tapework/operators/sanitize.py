@@ -133,7 +133,8 @@ def sanitize_sentences(new: DataFrame, old: DataFrame, media: DataFrame) -> Data
     rows = rows.withColumns({"_cs": _within(F.coalesce(had("clip_start_us"), F.col("_start")), top), "_ce": _within(F.coalesce(had("clip_end_us"), F.col("_end")), top)})
     rows = rows.withColumn("_ce", F.when(F.col("_ce") <= F.col("_cs"), F.least(top, F.col("_cs") + 50_000)).otherwise(F.col("_ce")))
     rows = rows.withColumn("_text", F.left(_strip(F.coalesce(had("text"), F.lit(""))), F.lit(SENTENCE_CHARS)))
-    rows = rows.withColumn("_original", F.left(_strip(F.coalesce(had("original_text"), F.col("_text"))), F.lit(SENTENCE_CHARS)))
+    # A text that stands in for a missing original is stripped already; it may be cut at a line feed, and then only blanks go.
+    rows = rows.withColumn("_original", F.left(F.coalesce(_strip(had("original_text")), F.trim("_text")), F.lit(SENTENCE_CHARS)))
     order = F.greatest(F.lit(0.0), F.least(F.lit(MOST_ORDER), F.coalesce(had("timeline_order"), F.col("idx")).cast("double")))
     item = Window.partitionBy(ITEM)
     rows = rows.withColumns({"_order": order, "_stretch": F.max(had("clip_start_us").isNull() | had("clip_end_us").isNull()).over(item)})

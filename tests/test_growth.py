@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tapework.operators import sanitize
 from tapework.plans import decision_queries, segmentation_queries, text_queries
 
 
@@ -22,3 +23,13 @@ def test_pages_of_many_words(spark, tmp_path):
     got = {r["item_id"]: r for r in tokens.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max("end_us").alias("end_us"), F.max_by("token_id", "pos").alias("last")).collect()}
     assert got[5]["n"] == n and got[5]["last"] == f"u0001-w{n}" and got[5]["end_us"] == n * 300_000  # the first word, of no length, ends with its utterance
     assert got[-6]["n"] == 2 * n - 1 and got[-6]["end_us"] == n * 300_000
+
+
+def test_a_text_cut_at_a_line_feed_is_its_own_original(spark):
+    text = "a" * 999 + "\nb"
+    names = "start_us long, end_us long, clip_start_us long, clip_end_us long, text string, original_text string, enabled boolean, remove_video boolean, gap boolean, synthetic_gap boolean, edited boolean, timing_pending boolean, timeline_order double, layout_source string, layout_reason string"
+    none = [None] * 9
+    new = spark.createDataFrame([(1, 1, "s1", 0, 5, 0, 5, text, None, *none)], "item_id long, idx long, sentence_id string, " + names)
+    old = spark.createDataFrame([], "item_id long, sentence_id string, " + names)
+    got = sanitize.sanitize_sentences(new, old, spark.createDataFrame([(1, 10)], "item_id long, duration_us long")).first()
+    assert got["text"] == got["original_text"] == text[:1000] and not got["edited"]
