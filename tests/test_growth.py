@@ -33,3 +33,12 @@ def test_a_text_cut_at_a_line_feed_is_its_own_original(spark):
     old = spark.createDataFrame([], "item_id long, sentence_id string, " + names)
     got = sanitize.sanitize_sentences(new, old, spark.createDataFrame([(1, 10)], "item_id long, duration_us long")).first()
     assert got["text"] == got["original_text"] == text[:1000] and not got["edited"]
+
+
+def test_options_are_rows_made_without_a_second_shuffle(spark, data):
+    options, costs = segmentation_queries.options(spark, data), segmentation_queries.costs(spark, data)
+    assert options.columns == ["item_id", "start_pos", "end_pos", "width", "natural", "fill", "option_id"]
+    for df in (options, costs):
+        plan = plan_of(df).split("Initial Plan")[-1]
+        assert "Join" not in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    assert options.count() == costs.agg(F.sum("n")).first()[0]
