@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tapework.operators import sanitize
+from tapework.operators import sanitize, segmentation
 from tapework.plans import decision_queries, segmentation_queries, text_queries
 
 
@@ -42,3 +42,13 @@ def test_options_are_rows_made_without_a_second_shuffle(spark, data):
         plan = plan_of(df).split("Initial Plan")[-1]
         assert "Join" not in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
     assert options.count() == costs.agg(F.sum("n")).first()[0]
+
+
+def test_titles_are_wrapped_where_they_are(spark):
+    df = spark.createDataFrame([(k, "one two three\n\nfour five") for k in range(50)], "k long, title string")
+    never = spark.createDataFrame([("7:3", 1, "required"), ("8:2", 0, "required"), ("9:99", 0, "required"), ("10:1", 99, "required")], "item_id string, pos long, kind string")
+    wrapped = segmentation.wrap_title_text(df, "k", "title", segmentation.Layout(1000.0, 10.0), never)
+    plan = plan_of(wrapped)
+    assert "Generate" not in plan and plan.split("Initial Plan")[-1].count("SortMergeJoin") <= 1
+    got = {r["k"]: r["lines"] for r in wrapped.collect()}
+    assert got.pop(7) == "one two three\nfour\nfive" and set(got.values()) == {"one two three\nfour five"}
