@@ -32,9 +32,3 @@ def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """
     found = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(sample), F.col("_id") == F.col("doc_id"))
     return cut(found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text"))
-
-
-def class_counts(labels: DataFrame, column: str, fold: int = 5, remainder: int = 0) -> dict[int, int]:
-    """How many learnable rows each class 0 and 1 has."""
-    rows = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(fold=fold, remainder=remainder))
-    return {r[column]: r["n"] for r in rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -562,6 +562,25 @@ def test_quality(graded, docs, nothing):
     assert quality.score_quality(nothing, quality.fit_quality(nothing, labels)).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of a class than the 8,000 that were once the most; each is in a pair, and borders are those of all rows."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', cast(id % 7 + 1 as int)) || id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 40 != 0).cast("int").alias("quality"))
+    rows = quality.learned_rows(docs, labels)
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    free = [i for i in range(12_000) if not held(i, 5, 0)]
+    assert n == {0: sum(i % 40 == 0 for i in free), 1: sum(i % 40 != 0 for i in free)} and n[1] > 8_000
+    ranks = rows.groupBy("label", "part").agg(F.max("number").alias("last"), F.count_distinct("number").alias("n"))
+    assert ranks.where("last <> n").count() == 0 and ranks.agg(F.sum("n")).first()[0] == len(free)
+    pairs = quality._pairs(rows, n)
+    of = lambda c, label: pairs.select(F.col(c).alias("x")).distinct().count() == rows.where(f"label = {label}").select("x").distinct().count()
+    assert pairs.count() >= 2 * n[1] and of("good", 1) and of("bad", 0)
+    x = np.array([r["x"] for r in rows.collect()])
+    edges = quality._edges(rows)
+    assert np.array_equal(edges[:, 0], x.min(axis=0)) and (edges[:, -1] >= x.max(axis=0)).all()
+    assert np.allclose(edges[:, 1:-1], np.quantile(x, np.linspace(0, 1, 11)[1:-1], axis=0, method="inverted_cdf").T, rtol=0.005)
+
+
 def test_toxicity(graded, docs, nothing):
     texts, labels, rows = graded
     grammar = toxicity.fit_toxicity(texts, labels)
