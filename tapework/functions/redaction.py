@@ -1,7 +1,7 @@
 """Removing keys that mustn't leave from columns of any type: structs, arrays, maps, VARIANT values, and JSON inside text.
 
 What the schema shows is rebuilt without those keys by Spark's own functions. Texts go to Python in Arrow batches, each column with the
-type it has; only texts that may name such a key are looked into there.
+type it has, all columns together and a few MB at a time; only texts that may name such a key are looked into there.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import slices
+
 # Keys that never leave, at any depth; so does every key that ends in _path.
 SENSITIVE_KEYS = {"api_key", "authorization", "volc_access_token", "access_token", "current_video", "render_source_video"}
 ENDING = "_path"
@@ -141,27 +143,34 @@ def _shape(kind: T.DataType, text: bool) -> T.DataType:
     return T.StringType() if text and isinstance(kind, T.VariantType) else kind
 
 
-def redacted(value: Column, kind: T.DataType) -> Column:
-    """A column of this type without the keys that mustn't leave. A VARIANT is cleaned as its JSON and read again."""
+def _cleaned(value: Column, kind: T.DataType) -> Column:
+    """A column of this type without the keys that mustn't leave; in the place of VARIANT values it has their cleaned JSON."""
     as_text = lambda v, k: F.to_json(v) if isinstance(k, T.VariantType) else v
-    out = _walk(value, kind, as_text)
-    if _holds(kind, (T.StringType, T.VariantType)):
 
-        @F.arrow_udf(_shape(kind, text=True))
-        def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for values in batches:
-                yield clean_array(values)
+    @F.arrow_udf(_shape(kind, text=True))
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.concat_arrays([clean_array(some) for some in slices(values)])
 
-        out = clean.asNondeterministic()(out)
-    if _holds(kind, T.VariantType):
-        out = _walk_back(out, _shape(kind, text=False))
-    return out
+    return clean.asNondeterministic()(_walk(value, kind, as_text))
 
 
-def _walk_back(value: Column, kind: T.DataType) -> Column:
-    return _walk(value, kind, lambda v, k: F.try_parse_json(v) if isinstance(k, T.VariantType) else v)
+def redacted_columns(df: DataFrame, columns: list[tuple[Column, T.DataType]]) -> tuple[DataFrame, list[Column]]:
+    """A table of df's rows, and the columns in it that are these without the keys that mustn't leave. A VARIANT is cleaned as its JSON and read again.
 
+    All that holds texts goes to Python together, so that a task has one Python worker, however many columns there are.
+    """
+    read = {k: kind for k, (_, kind) in enumerate(columns) if _holds(kind, (T.StringType, T.VariantType))}
+    given = [value.alias(f"g{k}") for k, (value, _) in enumerate(columns)]
+    if read:
+        together = T.StructType([T.StructField(f"c{k}", kind) for k, kind in read.items()])
+        given.append(_cleaned(F.struct(*[columns[k][0].alias(f"c{k}") for k in read]), together).alias("clean"))
+    out = []
+    for k, (_, kind) in enumerate(columns):
+        value = F.col(f"clean.c{k}") if k in read else _walk(F.col(f"g{k}"), kind, lambda v, _: v)
+        out.append(_walk_back(value, _shape(kind, text=False)) if _holds(kind, T.VariantType) else value)
+    return df.select(*given), out
 
-def redacted_json(text: Column) -> Column:
-    """A text that has to be JSON: without the keys that mustn't leave, and null if it can't be read."""
-    return F.when(F.try_parse_json(text).isNotNull(), redacted(text, T.StringType()))
+
+def _walk_back(value: Column, kind: T.DataType) -> Column:
+    return _walk(value, kind, lambda v, k: F.try_parse_json(v) if isinstance(k, T.VariantType) else v)

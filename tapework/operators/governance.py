@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Windo
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.redaction import allowed, redacted, redacted_json
+from ..functions.redaction import allowed, redacted_columns
 from ..functions.shared import remove, stored
 
 ITEM = "item_id"
@@ -89,8 +89,10 @@ def redact(df: DataFrame, json_columns: Iterable[str] = ()) -> DataFrame:
     or broken JSON that shows one, which is null.
     """
     strict = set(json_columns)
-    columns = [(f.name, F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if allowed(f.name)]
-    return df.select(*[(redacted_json(c) if name in strict else redacted(c, kind)).alias(name) for name, c, kind in columns])
+    fields = [f for f in df.schema.fields if allowed(f.name)]
+    rows, clean = redacted_columns(df, [(F.col(f"`{f.name}`"), f.dataType) for f in fields])
+    json = lambda k, c: F.when(F.try_parse_json(F.col(f"g{k}")).isNotNull(), c)
+    return rows.select(*[(json(k, c) if f.name in strict else c).alias(f.name) for k, (f, c) in enumerate(zip(fields, clean, strict=True))])
 
 
 def feedback_records(files: DataFrame, text: str = "value") -> DataFrame:

@@ -1,10 +1,12 @@
 """Cases of larger tables: what must not be sent to every task, and numbers that need more than 32 bits."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tapework.functions.shared import slices
 from tapework.operators import sanitize, segmentation
-from tapework.plans import decision_queries, segmentation_queries, text_queries
+from tapework.plans import decision_queries, evaluation_queries, segmentation_queries, text_queries
 
 
 def plan_of(df):
@@ -52,3 +54,11 @@ def test_titles_are_wrapped_where_they_are(spark):
     assert "Generate" not in plan and plan.split("Initial Plan")[-1].count("SortMergeJoin") <= 1
     got = {r["k"]: r["lines"] for r in wrapped.collect()}
     assert got.pop(7) == "one two three\nfour\nfive" and set(got.values()) == {"one two three\nfour five"}
+
+
+def test_redacted_columns_go_to_python_together(spark, data):
+    """A task has one Python worker for all columns, not one for each, and gets slices of a batch."""
+    assert plan_of(evaluation_queries.redacted(spark, data)).split("Initial Plan")[-1].count("ArrowEvalPython") == 1
+    texts = pa.array(["a" * 1000, None, "", "b"] * 3000)
+    parts = list(slices(texts))
+    assert len(parts) > 2 and pa.concat_arrays(parts).equals(texts) and len(list(slices(texts[:0]))) == 1
