@@ -115,24 +115,28 @@ def map_points(points: DataFrame, intervals: DataFrame, policy: str = "snap", po
     return found.withColumn("mapped_us", mapped.cast("long")).drop("_end", "_gone")
 
 
-def map_tokens(tokens: DataFrame, keeps: DataFrame, bucket_us: int = 10_000_000) -> DataFrame:
+def map_tokens(tokens: DataFrame, keeps: DataFrame) -> DataFrame:
     """Tokens on the cut timeline: those that overlap what is kept, from their first to their last overlap.
 
-    keeps don't overlap; pos numbers an item's tokens. Both sides meet in time buckets of one item, so a long recording isn't compared as a whole.
-    source_start_us and source_end_us keep the old times; a token that would not last gets 40 to 300 ms of its length.
+    keeps don't overlap; pos numbers an item's tokens. The last kept intervals that begin by a token's start, and before its end, are found by
+    two windows over one shuffle, so no token meets many intervals. source_start_us and source_end_us keep the old times; a token that would
+    not last gets 40 to 300 ms of its length.
     """
-    spans = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_us), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket_us)))
-    steps = keep_steps(keeps).where("end_us > start_us").select(ITEM, F.col("start_us").alias("_ks"), F.col("end_us").alias("_ke"), "_before")
-    left = tokens.select(ITEM, "pos", "start_us", "end_us").withColumn("_bucket", spans("start_us", "end_us"))
-    right = steps.withColumn("_bucket", spans("_ks", "_ke"))
-    start, end = F.greatest("start_us", "_ks"), F.least("end_us", "_ke")
-    met = left.join(right, [ITEM, "_bucket"]).where(end > start)
-    met = met.withColumns({"_from": F.col("_before") + start - F.col("_ks"), "_to": F.col("_before") + end - F.col("_ks")})
-    found = tokens.join(met.groupBy(ITEM, "pos").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")), [ITEM, "pos"])
+    steps = keep_steps(keeps).where("end_us > start_us").select(ITEM, F.lit(0).alias("_is_token"), F.struct(F.col("start_us").alias("from"), F.col("end_us").alias("to"), F.col("_before").alias("before")).alias("_step"), F.col("start_us").alias("_first"), F.col("start_us").alias("_last"))
+    left = tokens.withColumns({"_is_token": F.lit(1), "_first": F.col("start_us"), "_last": F.col("end_us") - 1})
+    every = left.unionByName(steps, allowMissingColumns=True)
+    for name, at in (("_a", "_first"), ("_b", "_last")):
+        order = Window.partitionBy(ITEM).orderBy(at, "_is_token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = every.withColumn(name, F.last("_step", ignorenulls=True).over(order))
+    # The intervals lie end to end on the cut timeline: a start in a hole goes to where the next one begins.
+    found = every.where("_is_token = 1 AND end_us > start_us AND _b.to > start_us")
+    first = F.coalesce(F.col("_a.before") + F.least("start_us", "_a.to") - F.col("_a.from"), F.lit(0)).cast("long")
+    last = (F.col("_b.before") + F.least("end_us", "_b.to") - F.col("_b.from")).cast("long")
+    found = found.withColumns({"_from": first, "_to": last})
     length = F.col("end_us") - F.col("start_us")
     to = F.when(F.col("_to") <= F.col("_from"), F.col("_from") + F.greatest(F.lit(40_000), F.least(F.lit(300_000), length))).otherwise(F.col("_to"))
     moved = found.withColumns({"source_start_us": F.col("start_us"), "source_end_us": F.col("end_us")})
-    return moved.withColumns({"end_us": to, "start_us": F.col("_from")}).drop("_from", "_to")
+    return moved.withColumns({"end_us": to, "start_us": F.col("_from")}).drop("_from", "_to", "_is_token", "_step", "_first", "_last", "_a", "_b")
 
 
 def map_segments(segments: DataFrame, keeps: DataFrame) -> DataFrame:
