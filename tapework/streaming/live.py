@@ -157,7 +157,14 @@ def enrich_incremental(chunks: DataFrame, cache: DataFrame, annotate: Callable[[
 
 
 def trace_rows(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One trace for each chunk: its first and last token, how many, and the hash of its text. chunks: item_id, chunk, first_pos, last_pos."""
-    inside = chunks.select("item_id", "chunk", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(tokens.select("item_id", "pos", "token_id", "text"), ["item_id", "pos"])
+    """One trace for each chunk: its first and last token, how many, and the hash of its text. chunks: item_id, chunk, first_pos, last_pos, without overlaps.
+
+    A token finds its chunk by a window over its item, so tokens are shuffled once.
+    """
+    starts = chunks.select("item_id", F.col("first_pos").alias("pos"), F.lit(0).alias("_is_token"), F.struct("chunk", "last_pos").alias("_c"))
+    every = tokens.select("item_id", "pos", "token_id", "text", F.lit(1).alias("_is_token")).unionByName(starts, allowMissingColumns=True)
+    so_far = Window.partitionBy("item_id").orderBy("pos", "_is_token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("_c", F.last("_c", ignorenulls=True).over(so_far)).where("_is_token = 1")
+    inside = every.select("item_id", "_c.chunk", "_c.last_pos", "pos", "token_id", "text").where("pos <= last_pos")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), "")
     return inside.groupBy("item_id", "chunk").agg(F.min_by("token_id", "pos").alias("first_token"), F.max_by("token_id", "pos").alias("last_token"), F.count(F.lit(1)).alias("tokens"), F.sha2(text, 256).alias("text_sha256"))
