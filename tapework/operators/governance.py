@@ -181,8 +181,9 @@ def forget_in_tables(spark: SparkSession, tables: dict[str, list[str]], keys: Da
         partitions = table.select(*by).distinct().count()
         held = stored(table.join(wanted, ITEM, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("deleted")))
         touched = held.select(*[F.col(c).alias(f"_{c}") for c in by])
-        rest = stored(table.join(touched, _same(table, touched, by), "left_semi").join(wanted, ITEM, "left_anti"))
-        rest.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        # Partitions are few and may be large: their names go to every task, and a large one is written by several.
+        rest = stored(table.join(F.broadcast(touched), _same(table, touched, by), "left_semi").join(wanted, ITEM, "left_anti"))
+        rest.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         kept = rest.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
         emptied = [remove(spark, f"{path}/{_folder(row)}") for row in held.join(kept, _same(held, kept, by), "left_anti").select(*by).toLocalIterator()]
         spark.catalog.refreshByPath(path)

@@ -173,12 +173,12 @@ def forgotten_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback and baseline of orders as two tables by priority and day of the month, after orders of two customers in a hundred are deleted from both."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_custkey")
     feedback, baseline = shared_path(spark, "feedback"), shared_path(spark, "baseline")
-    orders.repartition("priority").write.partitionBy("priority").parquet(feedback)
-    orders.repartition("month").write.partitionBy("month").parquet(baseline)
+    orders.hint("rebalance", "priority").write.partitionBy("priority").parquet(feedback)
+    orders.hint("rebalance", "month").write.partitionBy("month").parquet(baseline)
     gone = orders.where("o_custkey % 50 = 7 OR month = '1995-03'").select("item_id")
     report = governance.forget_in_tables(spark, {feedback: ["priority"], baseline: ["month"]}, gone)
     read = lambda path, name: spark.read.parquet(path).select(F.lit(name).alias("name"), F.lit(path).alias("path"), "item_id")
-    left = read(feedback, "feedback").unionByName(read(baseline, "baseline")).join(report, "path")
+    left = read(feedback, "feedback").unionByName(read(baseline, "baseline")).join(F.broadcast(report), "path")  # a row for each of two tables
     return left.select("name", "item_id", "partitions", "rewritten", "emptied", "deleted", F.col("left").alias("found"))
 
 
