@@ -141,12 +141,17 @@ def parse_tolerant_json(text: Column, schema: str) -> Column:
     The outermost braces are taken; if that can't be read, every backslash that starts no escape is doubled.
     """
     body = F.regexp_extract(F.regexp_replace(text, "^﻿", ""), r"(?s)\{.*\}", 0)
-    doubled = F.regexp_replace(body, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrtu])', r"$1\\\\")
+    double = lambda b: F.regexp_replace(b, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrtu])', r"$1\\\\")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     read = lambda c: F.from_json(c, f"{schema}, _bad string", options)
-    first, second = read(body), read(doubled)
     good = lambda r: r.isNotNull() & r["_bad"].isNull()
-    return F.when(body == "", None).when(good(first), first).when(good(second), second).dropFields("_bad")
+    # Each step is a lambda's argument, so that Spark works it out once for a row, however often it is used below.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    second = lambda d: once(read(d), lambda r: F.when(good(r), r.dropFields("_bad")))
+    # Quotes aside (they may be escaped where strings are in single ones), what was doubled can't be read as it is.
+    hopeless = lambda b, d: (d != b) & ~F.contains(b, F.lit("\\'"))
+    again = lambda b, d: F.when(hopeless(b, d), second(d)).otherwise(once(read(b), lambda r: F.when(good(r), r.dropFields("_bad")).when(d != b, second(d))))
+    return once(body, lambda b: F.when(b != "", once(double(b), lambda d: again(b, d))))
 
 
 #: Kinds of files in an item's folder, in the folder itself or below.

@@ -6,7 +6,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from tapework.operators import governance
-from tapework.plans import evaluation_queries
+from tapework.plans import evaluation_queries, live_queries
+from tapework.sources import files
 
 
 def plan_of(df):
@@ -34,3 +35,18 @@ def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
 def test_tables_are_not_sorted_by_their_report(spark, data):
     with settings(spark, autoBroadcastJoinThreshold="-1"):
         assert "SortMergeJoin" not in plan_of(evaluation_queries.forgotten_in_tables(spark, data))
+
+
+def test_tolerant_json_is_read_once_for_a_row(spark, data):
+    plan = live_queries.tolerant(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("jsontostructs(") <= 3  # as it is, and doubled where that fails or can't but fail
+
+
+def test_tolerant_json_of_odd_texts(spark):
+    texts = {
+        r'''{"a":"it\'s"}''': "it's", r'''{'a':'it\'s'} \d}''': "it's", r'{"a":"\d"}': r"\d", r'{"a":"\\\d\\"}': "\\\\d\\", r'{"a":"\u00e9"}': "é", r'{"a":"\ud"}': None, r'''x {"a":"\d it\'s"} y''': r"\d it\'s",
+        r'{"a":"x"} \d }': "x", '﻿{"a":"b"}': "b", "{}": None, "": None, "no": None, "{": None, '{"a":"x\\': None, '{"a":1': None, 'so {"a":"b\n"} x': None, None: None, '{"a":"C:\\dir\\new"}': "C:\\dir\new",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    got = {r["k"]: r["a"] for r in df.select("k", files.parse_tolerant_json(F.col("t"), "a string")["a"].alias("a")).collect()}
+    assert got == dict(enumerate(texts.values()))
