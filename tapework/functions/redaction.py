@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ _SHOWS_KEY = re.compile(rf'"(?:{_NAMES}|[^"\\]*{ENDING})\\*"\s*:', re.IGNORECASE
 
 def allowed(name: str) -> bool:
     """Whether values under this key may leave."""
-    return name.lower() not in SENSITIVE_KEYS and not name.lower().endswith(ENDING)
+    name = name.lower()
+    return name not in SENSITIVE_KEYS and not name.endswith(ENDING)
 
 
 class _Number(str):
@@ -45,25 +47,23 @@ def _refuse(name: str) -> None:
 _DECODER = json.JSONDecoder(object_pairs_hook=tuple, parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
 
 
-def _write(value: object) -> str:
+def _write(value: object, removed: list[bool]) -> str:
+    """The value as JSON without the keys that mustn't leave; removed gets an entry for each that is left out, also from JSON inside strings."""
     if isinstance(value, tuple):  # the pairs of an object
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(v)}" for k, v in value if allowed(k)) + "}"
+        kept = [(k, v) for k, v in value if allowed(k)]
+        if len(kept) < len(value):
+            removed.append(True)
+        return "{" + ",".join([f"{encode_basestring(k)}:{_write(v, removed)}" for k, v in kept]) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(map(_write, value)) + "]"
+        return "[" + ",".join([_write(v, removed) for v in value]) + "]"
     if isinstance(value, _Number):
         return str(value)
     if isinstance(value, str):
-        value = clean_text(value)
-    return json.dumps(value, ensure_ascii=False)
-
-
-def _names(value: object) -> bool:
-    """Whether a key in it, or in JSON inside its strings, mustn't leave."""
-    if isinstance(value, tuple):
-        return any(not allowed(k) or _names(v) for k, v in value)
-    if isinstance(value, list):
-        return any(map(_names, value))
-    return isinstance(value, str) and not isinstance(value, _Number) and clean_text(value) != value
+        clean = clean_text(value) if '"' in value else value  # without quotes there is no key in it
+        if clean != value:
+            removed.append(True)
+        return "null" if clean is None else encode_basestring(clean)
+    return "null" if value is None else "true" if value else "false"
 
 
 def clean_text(text: str) -> str | None:
@@ -75,8 +75,9 @@ def clean_text(text: str) -> str | None:
     if text.lstrip()[:1] not in ("{", "[", '"'):
         return None if _SHOWS_KEY.search(text) else text
     try:
-        value = _DECODER.decode(text.strip().removeprefix("﻿"))
-        return _write(value) if _names(value) else text
+        removed: list[bool] = []
+        clean = _write(_DECODER.decode(text.strip().removeprefix("﻿")), removed)
+        return clean if removed else text
     except (ValueError, RecursionError):
         return None if _SHOWS_KEY.search(text) else text
 
@@ -173,4 +174,6 @@ def redacted_columns(df: DataFrame, columns: list[tuple[Column, T.DataType]]) ->
 
 
 def _walk_back(value: Column, kind: T.DataType) -> Column:
-    return _walk(value, kind, lambda v, k: F.try_parse_json(v) if isinstance(k, T.VariantType) else v)
+    # Most parts of a record are empty, and reading JSON costs much for each text, however short.
+    empty = lambda v, text, other: F.when(v == text, F.parse_json(F.lit(text))).otherwise(other)
+    return _walk(value, kind, lambda v, k: empty(v, "[]", empty(v, "{}", F.try_parse_json(v))) if isinstance(k, T.VariantType) else v)

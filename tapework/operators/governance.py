@@ -97,7 +97,9 @@ def redact(df: DataFrame, json_columns: Iterable[str] = ()) -> DataFrame:
 
 def feedback_records(files: DataFrame, text: str = "value") -> DataFrame:
     """Feedback files (a JSON text each) as rows that training_export() takes, their free parts as VARIANT. Unreadable files give no row."""
-    read = files.select(F.try_parse_json(text).alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    # Exploded, not filtered: a filter on a parsed text moves down to the rows the text is made of, and makes and parses it again for each of its conditions.
+    parsed = F.filter(F.array(F.try_parse_json(text)), lambda v: v.isNotNull() & F.rlike(F.col(text), F.lit(r"^[ \t\r\n]*\{")))
+    read = files.select(F.explode(parsed).alias("v"))
     part = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
     consent = F.coalesce(part("data_policy.training_consent", "boolean"), F.lit(False))
     or_empty = lambda name, empty: F.coalesce(part(name, "variant"), F.parse_json(F.lit(empty))).alias(name)

@@ -156,11 +156,11 @@ def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("{"), F.to_json(file))).otherwise(F.to_json(file))
     path = shared_path(spark, "export")
     done, skipped = governance.write_training_export(governance.feedback_records(orders.select(value.alias("value"))), path)
-    rows = spark.read.text(path)
-    at = lambda p: F.get_json_object("value", f"$.{p}")
+    parts = ["id", "prompt", "rejected", "chosen", "ai_decision", "user_changes"]
+    rows = spark.read.text(path).select("value", F.json_tuple("value", *parts).alias(*parts))
     return rows.select(
-        at("id").alias("id"), at("prompt.auto_edit_mode").alias("mode"), F.size(F.from_json(at("prompt.raw_transcript"), "array<struct<n:int>>")).cast("long").alias("lines"), at("rejected").alias("rejected"), at("chosen.sentences[0].state").alias("state"),
-        at("ai_decision.corrections").alias("corrections"), at("ai_decision.final_sentences").alias("final_sentences"), at("user_changes").alias("user_changes"), (F.col("value").contains("S3CRET") | F.col("value").contains("_path")).alias("leaks"), F.lit(done).alias("exported"), F.lit(skipped).alias("skipped"),
+        "id", F.get_json_object("prompt", "$.auto_edit_mode").alias("mode"), F.size(F.from_json(F.get_json_object("prompt", "$.raw_transcript"), "array<struct<n:int>>")).cast("long").alias("lines"), "rejected", F.get_json_object("chosen", "$.sentences[0].state").alias("state"),
+        F.get_json_object("ai_decision", "$.corrections").alias("corrections"), F.get_json_object("ai_decision", "$.final_sentences").alias("final_sentences"), "user_changes", (F.col("value").contains("S3CRET") | F.col("value").contains("_path")).alias("leaks"), F.lit(done).alias("exported"), F.lit(skipped).alias("skipped"),
     )
 
 

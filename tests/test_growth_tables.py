@@ -1,10 +1,12 @@
 """Larger tables again: few keys mustn't mean few tasks, and what costs most is done once for a row."""
 
+import json
 import os
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tapework.functions import redaction
 from tapework.operators import governance
 from tapework.plans import evaluation_queries, live_queries
 from tapework.sources import files
@@ -50,3 +52,23 @@ def test_tolerant_json_of_odd_texts(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
     got = {r["k"]: r["a"] for r in df.select("k", files.parse_tolerant_json(F.col("t"), "a string")["a"].alias("a")).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_feedback_files_are_parsed_once(spark, data, monkeypatch):
+    """A file's text is made by a join here; a condition on its parsed form would move down there and parse it again."""
+    plans, export = [], governance.training_export
+    monkeypatch.setattr(governance, "training_export", lambda feedback: plans.append(feedback._jdf.queryExecution().optimizedPlan().toString()) or export(feedback))
+    rows = evaluation_queries.exported(spark, data)
+    assert plans[0].count("parseJson(") == 1 and rows.count() > 0
+    odd = ["{broken", "[]", "1", '"{}"', "null", None, "", " \n\t{}", '{"job_id":"j"}', '[{"job_id":"j"}]', "\v{}"]
+    got = governance.feedback_records(spark.createDataFrame([(t,) for t in odd], "value string"))
+    assert sorted(str(r["job_id"]) for r in got.select("job_id").collect()) == ["None", "j"]
+
+
+def test_json_inside_json_is_read_once_at_each_depth(monkeypatch):
+    text, read = '{"api_key":"S3CRET","n":1}', []
+    for _ in range(6):
+        text = json.dumps({"s": text, "plain": "a"})
+    looked = redaction.clean_text
+    monkeypatch.setattr(redaction, "clean_text", lambda t: read.append(t) or looked(t))
+    assert redaction.clean_text(text).count("n") > 0 and "S3CRET" not in redaction.clean_text(text) and len(read) == 14
