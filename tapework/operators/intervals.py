@@ -47,14 +47,15 @@ def complement_intervals(removed: DataFrame, media: DataFrame, min_gap_us: int =
 
     Shorter gaps, slivers, vanish from both sides.
     """
-    before = _ordered().rowsBetween(Window.unboundedPreceding, -1)
-    cursor = F.greatest(F.lit(0), F.coalesce(F.max("end_us").over(before), F.lit(0)))
-    gaps = removed.select(ITEM, "start_us", "end_us").withColumn("_from", cursor).select(ITEM, F.col("_from").alias("start_us"), F.col("start_us").alias("end_us"))
-    last = removed.groupBy(ITEM).agg(F.max("end_us").alias("_last"))
-    ends = media.join(last, ITEM, "left").select(ITEM, F.greatest(F.lit(0), F.coalesce("_last", F.lit(0))).alias("start_us"), F.col("duration_us").alias("end_us"))
-    kept = gaps.unionByName(ends).where(F.col("end_us") - F.col("start_us") > min_gap_us)
-    whole = media.join(kept.select(ITEM).distinct(), ITEM, "left_anti").select(ITEM, F.lit(0).cast("long").alias("start_us"), F.col("duration_us").alias("end_us"))
-    return kept.unionByName(whole)
+    # An item's end is one more row after its intervals, so one window finds all gaps, and nothing is joined.
+    ends = media.select(ITEM, F.lit(True).alias("_end"), F.col("duration_us").alias("start_us"), F.lit(None).cast("long").alias("end_us"))
+    rows = removed.select(ITEM, F.lit(False).alias("_end"), "start_us", "end_us").unionByName(ends)
+    order = Window.partitionBy(ITEM).orderBy("_end", "start_us", "end_us")
+    cursor = F.greatest(F.lit(0), F.coalesce(F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_from", cursor).withColumn("_gap", F.col("start_us") - F.col("_from") > min_gap_us)
+    none = F.col("_end") & (F.count_if("_gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0)
+    kept = rows.withColumn("_whole", none).where("_gap OR _whole")
+    return kept.select(ITEM, F.when(F.col("_whole"), F.lit(0)).otherwise(F.col("_from")).cast("long").alias("start_us"), F.col("start_us").alias("end_us"))
 
 
 def subtract_intervals(a: DataFrame, b: DataFrame, min_us: int = 40_000) -> DataFrame:
@@ -62,8 +63,10 @@ def subtract_intervals(a: DataFrame, b: DataFrame, min_us: int = 40_000) -> Data
 
     A sweep over the ends of both: linear in the ends, without a range join.
     """
-    edge = lambda df, at, da, db: df.where("end_us > start_us").select(ITEM, F.col(at).alias("at"), F.lit(da).alias("da"), F.lit(db).alias("db"))
-    edges = edge(a, "start_us", 1, 0).union(edge(a, "end_us", -1, 0)).union(edge(b, "start_us", 0, 1)).union(edge(b, "end_us", 0, -1))
+    ends = lambda da, db: F.array(*[F.struct(F.col(c).alias("at"), F.lit(s * da).alias("da"), F.lit(s * db).alias("db")) for c, s in (("start_us", 1), ("end_us", -1))])
+    edges = a.where("end_us > start_us").select(ITEM, F.inline(ends(1, 0))).union(b.where("end_us > start_us").select(ITEM, F.inline(ends(0, 1))))
+    # No two ends of an item meet often, so they are dealt by item at once, which serves all that follows.
+    edges = edges.repartition(F.col(ITEM))
     points = edges.groupBy(ITEM, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     order = Window.partitionBy(ITEM).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

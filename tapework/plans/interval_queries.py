@@ -57,21 +57,22 @@ def cut_plan(tokens: DataFrame, silences: DataFrame, decided: DataFrame, media:
     speech = _speech(tokens.join(gone, ["item_id", "pos"], "left_anti"))
     quiet = intervals.subtract_intervals(intervals.pad_intervals(silences, media, padding_us), speech)
     cuts = quiet.unionByName(decided.where("applied").select("item_id", "start_us", "end_us"))
-    removed = intervals.merge_intervals(cuts, media)
+    # What is kept comes from what is removed, and most readers want both.
+    removed = stored(intervals.merge_intervals(cuts, media))
     return removed, intervals.complement_intervals(removed, media)
 
 
-def _conv_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _conv_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Turns, tokens and decisions are read in many places of the plan, so each is made once.
     turns = stored(conv_turns(spark, sf_dir))
     tokens, media = stored(conv_tokens(spark, sf_dir, turns)), conv_media(spark, sf_dir, turns)
     decided = stored(decisions.accept_deletes(conv_deletes(tokens), tokens, "aggressive", protect_latin=False))
     removed, keeps = cut_plan(tokens, conv_silences(spark, sf_dir, MIN_SILENCE_US, turns), decided, media)
-    return tokens, decided, removed, keeps
+    return media, removed, keeps
 
 
 def build_cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, removed, keeps = _conv_plan(spark, sf_dir)
+    _, removed, keeps = _conv_plan(spark, sf_dir)
     return removed.withColumn("kind", F.lit("removed")).unionByName(keeps.withColumn("kind", F.lit("kept")))
 
 
@@ -198,12 +199,14 @@ def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of the original and the cut of each item, and how many ranges are kept and removed."""
-    _, _, removed, keeps = _conv_plan(spark, sf_dir)
-    sums = keeps.groupBy("item_id").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("cut_us"), F.count(F.lit(1)).alias("kept"))
-    gone = removed.groupBy("item_id").agg(F.count(F.lit(1)).alias("removed"))
-    joined = conv_media(spark, sf_dir).join(sums, "item_id").join(gone, "item_id", "left")
+    media, removed, keeps = _conv_plan(spark, sf_dir)
+    # All three are counted as rows of one union, so that no side of a join is sent or sorted while the others are still made.
+    length = F.col("end_us") - F.col("start_us")
+    rows = keeps.select("item_id", F.lit("kept").alias("kind"), length.alias("us")).unionByName(removed.select("item_id", F.lit("removed").alias("kind"), length.alias("us"))).unionByName(media.select("item_id", F.lit("whole").alias("kind"), F.col("duration_us").alias("us")))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("us"))
+    sums = rows.groupBy("item_id").agg(F.max(of("whole")).alias("duration_us"), F.sum(of("kept")).alias("cut_us"), F.count_if(F.col("kind") == "kept").alias("kept"), F.count_if(F.col("kind") == "removed").alias("removed")).where("kept > 0 AND duration_us IS NOT NULL")
     seconds = lambda us: F.round(us / 1_000_000, 3)
-    return joined.select("item_id", seconds(F.col("duration_us")).alias("original_s"), seconds(F.col("cut_us")).alias("cut_s"), seconds(F.col("duration_us") - F.col("cut_us")).alias("removed_s"), "kept", F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
+    return sums.select("item_id", seconds(F.col("duration_us")).alias("original_s"), seconds(F.col("cut_us")).alias("cut_s"), seconds(F.col("duration_us") - F.col("cut_us")).alias("removed_s"), "kept", "removed")
 
 
 QUERIES = {

@@ -29,3 +29,10 @@ def test_tokens_are_dealt_out_without_sorting_them(spark):
 def test_tokens_meet_intervals_without_a_join(spark, data, query):
     """Neither by time buckets nor by positions: both sides are one sorted union."""
     assert not [line for line in plan_of(query(spark, data)).splitlines() if "Join" in line and ("pos" in line or "_bucket" in line)]
+
+
+def test_a_cut_is_planned_once_and_summed_without_a_join(spark, data):
+    """What is removed is stored before gaps, counts and sums are made of it, so the plans of it don't stand in one stage five times over."""
+    plan = plan_of(interval_queries.cut_summary(spark, data))
+    assert "Join" not in plan and "Generate" not in plan and plan.count("Window") == 2
+    assert "Join" not in plan_of(interval_queries.build_cut_plan(spark, data))
