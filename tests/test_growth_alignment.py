@@ -3,6 +3,7 @@
 import random
 
 from tapework.operators import alignment
+from tapework.plans import live_queries
 
 
 def plan_of(df):
@@ -33,3 +34,8 @@ def test_stretches_go_to_python_together(spark):
     assert got == {(1, 0): (["x"], []), (1, 1): (["p", "q", "r"], ["q", "s", "p", "r"]), (1, 2): (["z"], []), (2, 0): (["x", "m", "p", "q", "r", "m2", "z"], ["m", "q", "s", "p", "r", "m2"])}
     lengths = {(r["item_id"], r["stretch"]): len(r["p"]) for r in paired.collect()}
     assert lengths == {(1, 0): 0, (1, 1): 2, (1, 2): 0, (2, 0): 4}
+
+
+def test_a_report_reads_what_lies_open_from_a_table(spark, data):
+    """Corrections and spans share it, so it isn't found anew, with its windows over all tokens, for each of them."""
+    assert "window" not in plan_of(live_queries.report(spark, data))
