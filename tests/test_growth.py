@@ -62,3 +62,9 @@ def test_redacted_columns_go_to_python_together(spark, data):
     texts = pa.array(["a" * 1000, None, "", "b"] * 3000)
     parts = list(slices(texts))
     assert len(parts) > 2 and pa.concat_arrays(parts).equals(texts) and len(list(slices(texts[:0]))) == 1
+
+
+def test_names_are_numbered_however_many_there_are(spark):
+    rows = spark.createDataFrame([(1, k, "s1") for k in range(1, 121)], "item_id long, idx long, sentence_id string")
+    got = {r["idx"]: r["sentence_id"] for r in sanitize.clean_ids(rows, "sentence_id", "s").collect()}
+    assert got == {1: "s1"} | {k: f"s1-{k}" for k in range(2, 121)}
